@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions.session import share_code
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return share_code(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _tokenizer() -> str:
