@@ -55,3 +55,21 @@ def test_longest_matches(spark):
     tests = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
     assert [tuple(r) for r in matches(docs, tests).collect()] == [(1, "9", 1, 3, 27)]
     assert matches(docs, tests.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "hot"), [(0, 64), (1, 2), (2, 6)])
+def test_suffix_dedup_is_exact(spark, seed, hot):
+    from tidemark.llm.suffix_dedup import suffix_dedup
+
+    rows = corpus(seed) + [(None, corpus(seed)[5][1]), (7, corpus(seed)[9][1])]
+    out = suffix_dedup(spark.createDataFrame(rows, SCHEMA), hot=hot).withColumn("h", F.sha2("kept", 256))
+    assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "h") == sorted(brute.byte_dedup(rows), key=repr)
+
+
+def test_suffix_dedup_cuts_whole_characters(spark):
+    from tidemark.llm.suffix_dedup import suffix_dedup
+
+    rows = [(1, "é" * 150 + "x"), (2, "z" + "é" * 150), (3, "ok")]
+    out = suffix_dedup(spark.createDataFrame(rows, SCHEMA), whole_chars=True).selectExpr("doc_id", "cast(kept as string) k")
+    assert rows_of(out, "doc_id", "k") == [(1, "x"), (2, "z"), (3, "ok")]
+    assert suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
