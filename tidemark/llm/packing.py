@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.token_counts import PieceEncoder, balanced
+from tidemark.llm.token_counts import balanced, encoder_for
 
 FAR = np.iinfo(np.int64).max
 
@@ -101,7 +101,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = PieceEncoder(tokenizer_path), LevelPacker(size)
+        encoder, packer = encoder_for(tokenizer_path), LevelPacker(size)
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         id_type = None

@@ -2,8 +2,10 @@
 
 A text is split at safe boundaries: before a single space between two characters that aren't white space. The
 byte-level pre-tokeniser begins a token at such a space whatever surrounds it, and no special string holds a space, so
-the pieces' ids end to end are the text's ids. Distinct pieces of a byte-balanced batch are encoded once by
-`encode_batch_fast`; a bounded table keeps them for later batches. Only lengths leave the worker.
+the pieces' ids end to end are the text's ids. A piece is cut further where a Latin letter meets an ASCII character
+that isn't one, and around a single line feed; there too a token always ends. Distinct cuttings of a byte-balanced batch
+are encoded once by `encode_batch_fast`; bounded tables keep them and the pieces for the worker's later batches. Only
+lengths leave the worker.
 
 Null text: empty, 0 tokens. Null doc_id: kept as it is. Other columns are ignored. An empty table gives no rows.
 """
@@ -11,6 +13,7 @@ Null text: empty, 0 tokens. Null doc_id: kept as it is. Other columns are ignore
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +24,13 @@ from pyspark.sql import DataFrame
 from tidemark.llm.text import by_bytes
 
 BATCH_BYTES = 1 << 20
-TABLE_PIECES = 400_000
+TABLE_PIECES = 600_000
 TABLE_CHARS = 1 << 25
 
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = "!-~À-ÖØ-öø-ɏ"
+_CUT = re.compile(rf"(?<=[{_LETTER}])(?=[\x00-@\[-`{{-\x7f])|(?<=[{_PLAIN}])(?=\n)|(?<=[{_PLAIN}]\n)(?=[{_PLAIN}])")
+
 
 class PieceEncoder:
     """Ids of pieces by a tokenizers file, kept in one pool; the table is emptied when it outgrows its bounds."""
@@ -38,6 +45,7 @@ class PieceEncoder:
     def _empty(self) -> None:
         self.later: dict[str, int] = {}  # a piece with one space before it
         self.first: dict[str, int] = {}
+        self.cuttings: dict[str, list[int]] = {}
         self.chars = 0
         self.n = self.used = 0
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -47,17 +55,28 @@ class PieceEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add(self, table: dict[str, int], pieces: list[str], before: str) -> None:
-        for piece, ids in zip(pieces, self._ids([before + p for p in pieces]), strict=True):
-            if self.n == len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.start[self.n], self.length[self.n] = self.used, len(ids)
-            self.pool[self.used : self.used + len(ids)] = ids
-            table[piece] = self.n
-            self.used += len(ids)
-            self.n += 1
-            self.chars += len(piece)
+        cut = [_CUT.split(before + p) if "<|" not in p else [before + p] for p in pieces]
+        new = [*({c for cs in cut for c in cs} - self.cuttings.keys())]
+        self.cuttings.update(zip(new, self._ids(new), strict=True))
+        flat: list[int] = []
+        ends = []
+        for cs in cut:
+            for c in cs:
+                flat += self.cuttings[c]
+            ends.append(len(flat))
+        k = len(pieces)
+        while self.n + k > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        size = np.diff(np.array([0, *ends], np.int64))
+        self.length[self.n : self.n + k] = size
+        self.start[self.n : self.n + k] = self.used + np.cumsum(size) - size
+        self.pool[self.used : self.used + len(flat)] = flat
+        table.update(zip(pieces, range(self.n, self.n + k), strict=True))
+        self.used += len(flat)
+        self.n += k
+        self.chars += sum(map(len, pieces)) + sum(map(len, new))
 
     @staticmethod
     def _clean(piece: str) -> bool:
@@ -107,6 +126,16 @@ class PieceEncoder:
                 yield np.array([i for ids in self._ids(at) for i in ids], np.uint32)
 
 
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder_for(path: str) -> PieceEncoder:
+    """The worker's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
 def balanced(batch: pa.RecordBatch, text: int, limit: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Slices of about limit bytes of text, and the bytes of each text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -119,7 +148,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         for batch in batches:
             for part, sizes in balanced(batch, 1):
                 n = np.array(encoder.counts([t or "" for t in part.column(1).to_pylist()]), np.int64)
