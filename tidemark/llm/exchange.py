@@ -19,19 +19,38 @@ from pyspark.sql import functions as F
 
 ROW = "grp int, bucket int, step int, n int, keys binary, extra binary"
 ANSWER = "grp int, bucket int, step int, n int, bits binary"
+STEPS = 8  # a row's step is 8 x the bucket's rank + its step in the operator
 NO_ID = np.iinfo(np.int64).max
 
 
-def counts_of(df: DataFrame) -> tuple[int, int]:
-    """Document groups and key buckets: a few for each shuffle partition."""
-    n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return n, n
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash (Murmur3, seed 42) of integers, by which it deals them to partitions."""
+    u = np.uint32
+    with np.errstate(over="ignore"):
+        k = np.asarray(x).astype(u) * u(0xCC9E2D51)
+        k = (k << u(15) | k >> u(17)) * u(0x1B873593)
+        h = u(42) ^ k
+        h = (h << u(13) | h >> u(19)) * u(5) + u(0xE6546B64)
+        h ^= u(4)
+        h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+        h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+        return (h ^ h >> u(16)).astype(np.int32)
 
 
-def dealt(docs: DataFrame, groups: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, grp: repeated ids spread by their texts."""
+def even_labels(df: DataFrame, each: int) -> np.ndarray:
+    """Integers of which each shuffle partition gets the same number when Spark deals by them."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = spark_hash(np.arange(n * (each * 8 + 40))).astype(np.int64) % n
+    order = np.argsort(place, kind="stable")
+    first = np.searchsorted(place[order], np.arange(n))
+    return np.sort(np.concatenate([order[first + k] for k in range(each)])).astype(np.int32)
+
+
+def dealt(docs: DataFrame, id_col: str, text_col: str, each: int = 2) -> DataFrame:
+    """doc_id, text, grp: an even number of groups for each shuffle partition; repeated ids spread by their texts."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    labels = even_labels(docs, each)
+    return rows.withColumn("grp", F.element_at(F.lit(labels.tolist()), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(labels))) + 1).cast("int")))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -52,12 +71,12 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def send(grp: int, step: int, keys: np.ndarray, buckets: int, extra: Callable[[int, int], bytes | None]) -> list[tuple]:
-    """One row per bucket of sorted distinct keys; extra(a, b) is sent with keys[a:b]."""
-    of = bucket_of(keys, buckets)
+def send(grp: int, step: int, keys: np.ndarray, buckets: np.ndarray, extra: Callable[[int, int], bytes | None]) -> list[tuple]:
+    """One row per bucket of sorted distinct keys; extra(a, b) is sent with keys[a:b]. buckets: their labels."""
+    of = bucket_of(keys, len(buckets))
     at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
     ends = np.r_[at[1:], len(of)]
-    return [(grp, int(of[a]), step, int(b - a), keys[a:b].astype("<u8").tobytes(), extra(int(a), int(b))) for a, b in zip(at, ends, strict=False)]
+    return [(grp, int(buckets[of[a]]), STEPS * int(of[a]) + step, int(b - a), keys[a:b].astype("<u8").tobytes(), extra(int(a), int(b))) for a, b in zip(at, ends, strict=False)]
 
 
 _ROW_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -93,8 +112,8 @@ def answers(heads: list[tuple], flags: np.ndarray) -> list[tuple]:
 
 def bits(table: pa.Table, step: int) -> np.ndarray:
     """The answers of a step in the order of the group's sorted keys."""
-    rows = [r for r in zip(*(table.column(c).to_pylist() for c in ANSWER_NAMES), strict=True) if r[2] == step]
-    rows.sort(key=lambda r: r[1])
+    rows = [r for r in zip(*(table.column(c).to_pylist() for c in ANSWER_NAMES), strict=True) if r[2] % STEPS == step]
+    rows.sort(key=lambda r: r[2])
     return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r[4], np.uint8), count=r[3]).astype(bool) for r in rows)])
 
 

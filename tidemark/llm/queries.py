@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.session import share_code
@@ -20,6 +20,11 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the doc_id as text, mod n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.substring_dedup import substring_dedup
 
@@ -27,6 +32,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame):
+    from tidemark.llm.toxicity import learn
+
+    return learn(docs, labels, _remainder(3) != 1)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import score
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.decontamination import contamination
 
@@ -46,6 +65,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language_id import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, learn(docs, _remainder(5) != 0))
+    return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import token_counts
 
@@ -60,9 +87,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_language_id": op6_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm import exchange as ex
 from tidemark.llm.text import SPACE_WORD, Words, covered, mix, prefix_sums, stretch, whole_windows
 
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 ROUNDS = 6
 
 
@@ -147,8 +147,8 @@ def _told(told: pa.Table, symbols: np.ndarray) -> np.ndarray:
 def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, span_starts, span_lengths (removed runs of words), kept_text (kept words, one space
     between) of every document."""
-    groups, buckets = ex.counts_of(docs)
-    rows = ex.dealt(docs, groups, id_col, text_col)
+    buckets = ex.even_labels(docs, 1)
+    rows = ex.dealt(docs, id_col, text_col)
 
     def name(grp: int, table: pa.Table) -> list[tuple]:
         key, many = _Group(table, width).symbols()

@@ -28,7 +28,7 @@ from tidemark.llm.text import byte_sums, covered, stretch, whole_windows, window
 PART_BYTES = 1 << 19
 GRAM = 48
 HOT = 64
-INDEX_BYTES = 1 << 21
+INDEX_BYTES = 1 << 18
 
 
 def minimizers(data: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -78,12 +78,12 @@ class RunIndex:
             s = key[order]
             new = np.ones(n, bool)
             new[1:] = s[1:] != s[:-1]
-            rank = np.empty(n, np.int64)
+            rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(new)
             self.ranks.append((depth, rank))
             if depth >= longest or new.all():
                 break
-            later = np.zeros(n, np.int64)
+            later = np.zeros(n, np.int32)
             later[: n - depth] = np.where(self.rest[: n - depth] > depth, rank[depth:], 0)
             key = rank.astype(np.uint64) << np.uint64(32) | later.astype(np.uint64)
             depth *= 2
@@ -237,8 +237,8 @@ def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, g
     """doc_id, n_bytes, n_removed, n_spans, span_starts, span_lengths, kept (binary, the bytes that stay) of every
     document. whole_chars: runs are narrowed so that no character is cut, and kept is UTF-8."""
     gram = min(gram, width)
-    groups, buckets = ex.counts_of(docs)
-    rows = ex.dealt(docs, groups, id_col, text_col)
+    buckets = ex.even_labels(docs, 1)
+    rows = ex.dealt(docs, id_col, text_col)
 
     def name(grp: int, table: pa.Table) -> list[tuple]:
         keys, count = _Group(table, width, gram).anchors()
@@ -252,7 +252,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, g
         for step, yes in ((0, total > 1), (1, total > hot)):
             flags = np.empty(len(keys), bool)
             flags[order] = yes[run]
-            out += [(g, b, step, n, x) for g, b, _, n, x in ex.answers(heads, flags)]
+            out += [(g, b, s + step, n, x) for g, b, s, n, x in ex.answers(heads, flags)]
         return out
 
     def evidence(grp: int, table: pa.Table, told: pa.Table) -> pa.Table:
@@ -269,7 +269,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, g
 
     def mark(table: pa.Table) -> list[tuple]:
         out = []
-        steps = np.array(table.column("step").to_pylist())
+        steps = table.column("step").to_numpy() % ex.STEPS
         if (part := table.filter(pa.array(steps == 2))).num_rows:
             heads, key, _, extras = ex.gathered(part)
             prints, count, n, text = [], [], [], []
