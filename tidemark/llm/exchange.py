@@ -119,7 +119,7 @@ def bits(table: pa.Table, step: int) -> np.ndarray:
 
 def by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order that sorts the keys, starts of equal runs in it, and the run of each sorted key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     s = keys[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]

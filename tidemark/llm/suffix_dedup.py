@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import exchange as ex
-from tidemark.llm.text import byte_sums, covered, stretch, whole_windows, windows
+from tidemark.llm.text import byte_sums, covered, mix, stretch, whole_windows, windows
 
 PART_BYTES = 1 << 19
 GRAM = 48
@@ -52,7 +52,7 @@ def minimizers(data: np.ndarray, off: np.ndarray, width: int, gram: int) -> tupl
     new = np.ones(len(start), bool)
     new[1:] = (at[1:] != at[:-1]) | (np.diff(start) != 1)
     first = np.flatnonzero(new)
-    return sums, start[first], np.diff(np.r_[first, len(start)]), prints[at[first]]
+    return sums, start[first], np.diff(np.r_[first, len(start)]), mix(prints[at[first]], 3)  # least values aren't spread
 
 
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ class RunIndex:
             key = key << np.uint64(8) | np.where(self.rest > j, padded[j : n + j], 0).astype(np.uint64)
         depth, longest = 8, int(np.diff(off).max(initial=0))
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             s = key[order]
             new = np.ones(n, bool)
             new[1:] = s[1:] != s[:-1]
@@ -87,7 +87,7 @@ class RunIndex:
             later[: n - depth] = np.where(self.rest[: n - depth] > depth, rank[depth:], 0)
             key = rank.astype(np.uint64) << np.uint64(32) | later.astype(np.uint64)
             depth *= 2
-        self.order = order
+        self.order = order if new.all() else np.argsort(rank, kind="stable")  # equal suffixes by place
         before = np.where(np.isin(np.arange(n), off[:-1]), -1 - np.arange(n), np.r_[0, data[:-1]].astype(np.int64))[order]
         self.heads = np.ones(n, bool)
         self.heads[1:] = before[1:] != before[:-1]
