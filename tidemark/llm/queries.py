@@ -73,6 +73,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import token_counts
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
