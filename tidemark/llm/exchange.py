@@ -46,9 +46,11 @@ def even_labels(df: DataFrame, each: int) -> np.ndarray:
     return np.sort(np.concatenate([order[first + k] for k in range(each)])).astype(np.int32)
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, each: int = 2) -> DataFrame:
-    """doc_id, text, grp: an even number of groups for each shuffle partition; repeated ids spread by their texts."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+def dealt(docs: DataFrame, id_col: str, text_col: str, each: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, grp: as many groups for each shuffle partition; repeated ids spread by their texts. More groups mean
+    more packed rows: groups x buckets. carry: columns that go along in a struct, rest."""
+    rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *rest)
     labels = even_labels(docs, each)
     return rows.withColumn("grp", F.element_at(F.lit(labels.tolist()), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(labels))) + 1).cast("int")))
 
@@ -104,17 +106,17 @@ def gathered(table: pa.Table) -> tuple[list[tuple[int, int, int, int]], np.ndarr
     return heads, keys, np.repeat(np.arange(len(heads)), [h[3] for h in heads]), table.column("extra").to_pylist()
 
 
-def answers(heads: list[tuple], flags: np.ndarray) -> list[tuple]:
-    """A packed row of bits for each row of entries."""
+def answers(heads: list[tuple], *flags: np.ndarray) -> list[tuple]:
+    """A packed row of bits, one plane for each array of flags, for each row of entries."""
     at = np.cumsum([0, *(h[3] for h in heads)])
-    return [(*h, np.packbits(flags[a:b]).tobytes()) for h, a, b in zip(heads, at[:-1], at[1:], strict=True)]
+    return [(*h, b"".join(np.packbits(f[a:b]).tobytes() for f in flags)) for h, a, b in zip(heads, at[:-1], at[1:], strict=True)]
 
 
-def bits(table: pa.Table, step: int) -> np.ndarray:
-    """The answers of a step in the order of the group's sorted keys."""
+def bits(table: pa.Table, step: int, plane: int = 0) -> np.ndarray:
+    """The answers of a step, one plane of them, in the order of the group's sorted keys."""
     rows = [r for r in zip(*(table.column(c).to_pylist() for c in ANSWER_NAMES), strict=True) if r[2] % STEPS == step]
     rows.sort(key=lambda r: r[2])
-    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r[4], np.uint8), count=r[3]).astype(bool) for r in rows)])
+    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r[4], np.uint8, (r[3] + 7) // 8, plane * ((r[3] + 7) // 8)), count=r[3]).astype(bool) for r in rows)])
 
 
 def by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
