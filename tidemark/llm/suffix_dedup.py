@@ -21,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm import exchange as ex
 from tidemark.llm.text import byte_sums, covered, mix, stretch, whole_windows, windows
@@ -32,13 +33,12 @@ INDEX_BYTES = 1 << 18
 
 
 def minimizers(data: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Prefix sums of the bytes, and of each fragment: its first byte, its number of windows, its anchor."""
-    sums = byte_sums(data)
+    """Of each fragment: its first byte, its number of windows, its anchor."""
     start = whole_windows(off, width)
     none = np.empty(0, np.int64)
     if not len(start):
-        return sums, none, none, np.empty(0, np.uint64)
-    prints = windows(sums, gram)
+        return none, none, np.empty(0, np.uint64)
+    prints = windows(byte_sums(data), gram)
     low = np.uint64((1 << int(len(prints)).bit_length()) - 1)
     least = prints & ~low | np.arange(len(prints), dtype=np.uint64)
     span, have = width - gram + 1, 1
@@ -52,7 +52,7 @@ def minimizers(data: np.ndarray, off: np.ndarray, width: int, gram: int) -> tupl
     new = np.ones(len(start), bool)
     new[1:] = (at[1:] != at[:-1]) | (np.diff(start) != 1)
     first = np.flatnonzero(new)
-    return sums, start[first], np.diff(np.r_[first, len(start)]), mix(prints[at[first]], 3)  # least values aren't spread
+    return start[first], np.diff(np.r_[first, len(start)]), mix(prints[at[first]], 3)  # least values aren't spread
 
 
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -140,22 +140,23 @@ class _Group:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors and their numbers of places in the group, up to 255."""
-        return (lambda k: (k[0], np.minimum(k[1], 255).astype(np.uint8)))(np.unique(np.concatenate([np.empty(0, np.uint64), *(p[6] for p in self.parts)]), return_counts=True))
+        return (lambda k: (k[0], np.minimum(k[1], 255).astype(np.uint8)))(np.unique(np.concatenate([np.empty(0, np.uint64), *(p[5] for p in self.parts)]), return_counts=True))
 
     def told(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Anchors that are repeated but not hot, and hot ones."""
         keys, _ = self.anchors()
         if not len(keys):
             return keys, keys
-        many, hot = ex.bits(table, 0), ex.bits(table, 1)
+        many, hot = ex.bits(table, 0), ex.bits(table, 0, 1)
         return keys[many & ~hot], keys[hot]
 
     def fragments(self, anchors: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """By part (fragment numbers, their entries); of each distinct fragment: anchor, fingerprint, count, windows,
         and all texts end to end."""
         picked, key, prints, count, texts = [], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
-        for _, data, _, sums, start, n, anchor in self.parts:
+        for _, data, _, start, n, anchor in self.parts:
             at = np.flatnonzero(ex.member(anchors, anchor)[0])
+            sums = byte_sums(data) if len(at) else np.zeros(1, np.uint64)
             picked.append(at)
             key.append(anchor[at])
             prints.append(stretch(sums, start[at], start[at] + n[at] + self.width - 1))
@@ -179,8 +180,9 @@ class _Group:
         """By part the windows at hot anchors and their fingerprints; distinct fingerprints, and whether the group has
         more than one of each."""
         picked = []
-        for _, _, _, sums, start, n, anchor in self.parts:
+        for _, data, _, start, n, anchor in self.parts:
             hit = ex.member(anchors, anchor)[0]
+            sums = byte_sums(data) if hit.any() else np.zeros(1, np.uint64)
             s, k = start[hit], n[hit]
             at = np.repeat(s - (np.cumsum(k) - k), k) + np.arange(k.sum())
             picked.append((at, stretch(sums, at, at + self.width)))
@@ -233,12 +235,13 @@ def _whole_chars(data: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, span_starts, span_lengths, kept (binary, the bytes that stay) of every
-    document. whole_chars: runs are narrowed so that no character is cut, and kept is UTF-8."""
+    document. whole_chars: runs are narrowed so that no character is cut, and kept is UTF-8. carry: columns of
+    the input that come along in a struct, rest."""
     gram = min(gram, width)
     buckets = ex.even_labels(docs, 1)
-    rows = ex.dealt(docs, id_col, text_col)
+    rows = ex.dealt(docs, id_col, text_col, carry=carry)
 
     def name(grp: int, table: pa.Table) -> list[tuple]:
         keys, count = _Group(table, width, gram).anchors()
@@ -248,12 +251,9 @@ def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, g
         heads, keys, _, extras = ex.gathered(table)
         order, at, run = ex.by_key(keys)
         total = np.add.reduceat(np.frombuffer(b"".join(extras), np.uint8).astype(np.int64)[order], at)
-        out = []
-        for step, yes in ((0, total > 1), (1, total > hot)):
-            flags = np.empty(len(keys), bool)
-            flags[order] = yes[run]
-            out += [(g, b, s + step, n, x) for g, b, s, n, x in ex.answers(heads, flags)]
-        return out
+        many, most = np.empty(len(keys), bool), np.empty(len(keys), bool)
+        many[order], most[order] = (total > 1)[run], (total > hot)[run]
+        return ex.answers(heads, many, most)
 
     def evidence(grp: int, table: pa.Table, told: pa.Table) -> pa.Table:
         group = _Group(table, width, gram)
@@ -299,7 +299,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, g
         marks, again = ex.bits(told, 2), ex.bits(told, 3)
         first = np.cumsum(n) - n
         out = []
-        for (ids, data, off, _, start, size, _), (at, entry), (win, prints) in zip(group.parts, by_part, picked, strict=True):
+        for (ids, data, off, start, size, _), (at, entry), (win, prints) in zip(group.parts, by_part, picked, strict=True):
             k = size[at]
             shift = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             yes = marks[np.repeat(first[entry], k) + shift] if len(k) else np.empty(0, bool)
@@ -318,8 +318,19 @@ def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, g
                         mine[a:b] = True
                 out.append((None if ids[d] == ex.NO_ID else int(ids[d]), len(raw), int(mine.sum()), len(spans), [a for a, _ in spans], [b - a for a, b in spans], (raw[~mine] if spans else raw).tobytes()))
         many = pa.list_(pa.int64())
-        return ex.as_table(out, [pa.int64()] * 4 + [many, many, pa.binary()], ["doc_id", "n_bytes", "n_removed", "n_spans", "span_starts", "span_lengths", "kept"])
+        done = ex.as_table(out, [pa.int64()] * 4 + [many, many, pa.binary()], ["doc_id", "n_bytes", "n_removed", "n_spans", "span_starts", "span_lengths", "kept"])
+        return done.append_column("rest", table.column("rest")) if carry else done  # the parts keep the rows' order
 
+    form = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_lengths array<long>, kept binary"
+    form += f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""
     anchors = ex.answer_pass(ex.send_pass(rows, name), shared)
     marks = ex.answer_pass(ex.joined_pass(rows, anchors, evidence, ex.ROW), mark)
-    return ex.joined_pass(rows, anchors.unionByName(marks), remove, "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_lengths array<long>, kept binary")
+    return ex.joined_pass(rows, anchors.unionByName(marks), remove, form)
+
+
+def cut_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with their texts' repeats cut out; n_chars, if there, follows. A null text stays."""
+    done = suffix_dedup(docs.withColumn("_null", F.when(F.col(text_col).isNull(), True)), width, True, id_col=id_col, text_col=text_col, carry=(*(c for c in docs.columns if c != text_col), "_null"))
+    text = F.when(F.col("rest._null").isNull(), F.col("kept").cast("string"))
+    cols = [text if c == text_col else F.char_length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"rest.`{c}`") for c in docs.columns]
+    return done.select(*(c.alias(n) for c, n in zip(cols, docs.columns, strict=True)))
