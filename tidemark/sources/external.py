@@ -1,0 +1,75 @@
+"""Sources outside: PostgreSQL over JDBC, log and text files, JSON out."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.events import parse_lines
+
+
+@dataclass(frozen=True)
+class View:
+    """A statistics view by server version: the query of the greatest version that isn't above the server's."""
+
+    name: str
+    period_s: int
+    queries: tuple[tuple[int, str], ...]
+
+    def query(self, version: int) -> str:
+        fit = [q for v, q in self.queries if v <= version]
+        if not fit:
+            raise ValueError(f"{self.name}: no query for version {version}")
+        return fit[-1]
+
+
+_NOW = "(extract(epoch FROM clock_timestamp()) * 1000000)::bigint AS ts"
+#: What is asked of the server, by the lowest version that a query fits.
+VIEWS = {
+    v.name: v
+    for v in [
+        View("pg_stat_activity", 5, ((100000, f"SELECT {_NOW}, pid, datname, usename, application_name, backend_type, state, wait_event_type, wait_event, query, backend_start, xact_start, query_start FROM pg_stat_activity ORDER BY pid"), (140000, f"SELECT {_NOW}, pid, leader_pid, datname, usename, application_name, backend_type, state, wait_event_type, wait_event, query, query_id, backend_start, xact_start, query_start FROM pg_stat_activity ORDER BY pid"))),
+        View("pg_stat_database", 10, ((100000, f"SELECT {_NOW}, d.oid AS datid, d.datname, d.datconnlimit, s.* FROM pg_database d LEFT JOIN pg_stat_database s ON s.datid = d.oid"),)),
+        View("pg_stat_wal", 10, ((140000, f"SELECT {_NOW}, wal_records, wal_fpi, wal_bytes, wal_buffers_full, wal_write, wal_sync, wal_write_time, wal_sync_time FROM pg_stat_wal"), (180000, f"SELECT {_NOW}, wal_records, wal_fpi, wal_bytes, wal_buffers_full FROM pg_stat_wal"))),
+        View("pg_stat_checkpointer", 10, ((100000, f"SELECT {_NOW}, checkpoints_timed, checkpoints_req, checkpoint_write_time AS write_time, checkpoint_sync_time AS sync_time, buffers_checkpoint AS buffers_written FROM pg_stat_bgwriter"), (170000, f"SELECT {_NOW}, num_timed AS checkpoints_timed, num_requested AS checkpoints_req, write_time, sync_time, buffers_written FROM pg_stat_checkpointer"))),
+        View("pg_stat_io", 10, ((160000, f"SELECT {_NOW}, backend_type, object, context, reads, read_time, writes, write_time, extends, hits, evictions, reuses, fsyncs FROM pg_stat_io"),)),
+        View("pg_stat_archiver", 30, ((100000, f"SELECT {_NOW}, archived_count, failed_count, last_failed_wal FROM pg_stat_archiver"),)),
+        View("pg_prepared_xacts", 30, ((100000, f"SELECT {_NOW}, database, count(*) AS n, max(age(transaction)) AS xid_age, greatest(0, extract(epoch FROM now() - min(prepared)) * 1000000)::bigint AS age_us FROM pg_prepared_xacts GROUP BY database"),)),
+        View("pg_settings", 3600, ((100000, f"SELECT {_NOW}, name, setting, unit, source FROM pg_settings"),)),
+        View("pg_replication_slots", 30, ((130000, f"SELECT {_NOW}, slot_name, slot_type, active, wal_status, safe_wal_size, pg_current_wal_lsn() - restart_lsn AS retained_bytes FROM pg_replication_slots"),)),
+        View("databases", 60, ((100000, "SELECT oid, datname FROM pg_database WHERE datallowconn AND NOT datistemplate ORDER BY datname"),)),
+    ]
+}
+
+
+def postgres(spark: SparkSession, url: str, view: str, version: int, properties: dict[str, str] | None = None) -> DataFrame:
+    """Rows of a view, by the query that fits the server."""
+    reader = spark.read.format("jdbc").option("url", url).option("query", VIEWS[view].query(version)).option("driver", "org.postgresql.Driver")
+    return reader.options(**(properties or {})).load()
+
+
+def candidates(statements: DataFrame, by: tuple[str, ...], k: int, key: str) -> DataFrame:
+    """Rows among the first k by any of several axes, with the number of all rows."""
+    from tidemark.operators.reduce import top_axes
+
+    total = statements.agg(F.count("*").alias("source_total"))
+    return top_axes(statements, [F.col(c).desc_nulls_last() for c in by], key, k).crossJoin(F.broadcast(total))
+
+
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of log files with their file and place, parsed."""
+    lines = spark.read.option("wholetext", "false").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    return parse_lines(lines)
+
+
+def log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of files as they appear; the checkpoint holds how far they are read."""
+    return parse_lines(spark.readStream.text(folder).withColumn("file", F.col("_metadata.file_path")))
+
+
+def as_json(df: DataFrame, out: str = "json") -> DataFrame:
+    """One JSON object a row; 64-bit and decimal numbers as text, so that no reader rounds them."""
+    cols = [F.col(f.name).cast("string").alias(f.name) if f.dataType.simpleString() in ("bigint",) or f.dataType.simpleString().startswith("decimal") else F.col(f.name) for f in df.schema]
+    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(out))
