@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from corpus import corpus
 from hypothesis import given, settings
@@ -29,18 +30,19 @@ def encoder():
 @pytest.mark.parametrize("text", ODD)
 def test_pieces_give_the_library_ids(library, encoder, text):
     want = library.encode(text, add_special_tokens=False).ids
-    assert next(encoder.ids([text])).tolist() == want
-    assert encoder.counts([text]) == [len(want)]
+    both = pa.array([None, text, "x", text])
+    assert [x.tolist() for x in encoder.ids(both)][1::2] == [want, want]
+    assert encoder.counts(both).tolist() == [0, len(want), 1, len(want)]
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.text(st.sampled_from(" \n\t.,'s1aéZ<|>endoftxt \x1c×ł中"), max_size=40))
+@settings(max_examples=1500, deadline=None)
+@given(st.text(st.sampled_from(" \n\t.,'s1aéZ<|>endoftxt \x1c×ł中"), max_size=60))
 def test_any_text(text):
     library, encoder = Tokenizer.from_file(PATH) if not hasattr(test_any_text, "kept") else test_any_text.kept[0], None
     if not hasattr(test_any_text, "kept"):
         test_any_text.kept = library, PieceEncoder(PATH)
     encoder = test_any_text.kept[1]
-    assert next(encoder.ids([text])).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert next(encoder.ids(pa.array([text]))).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_token_counts(spark, library):

@@ -123,8 +123,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
         for batch in batches:
             id_type = batch.column(0).type
             for part, _ in balanced(batch, 1):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(texts), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1)), strict=True):
                     close(packer.add(doc, np.append(ids, np.uint32(end_id))))
                 if rows:
                     yield out()

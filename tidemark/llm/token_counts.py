@@ -1,11 +1,11 @@
 """Token counts by batch encoding in Arrow functions.
 
-A text is split at safe boundaries: before a single space between two characters that aren't white space. The
-byte-level pre-tokeniser begins a token at such a space whatever surrounds it, and no special string holds a space, so
-the pieces' ids end to end are the text's ids. A piece is cut further where a Latin letter meets an ASCII character
-that isn't one, and around a single line feed; there too a token always ends. Distinct cuttings of a byte-balanced batch
-are encoded once by `encode_batch_fast`; bounded tables keep them and the pieces for the worker's later batches. Only
-lengths leave the worker.
+Texts are split at safe boundaries, where the byte-level pre-tokeniser ends a token whatever stands around:
+before a single space between two characters that aren't white space, where a Latin letter meets an ASCII character that
+isn't one, before a line feed, and after a single one. The pieces' ids end to end are the text's ids, so a long text never
+is encoded in one go. The pieces of a byte-balanced batch are found and fingerprinted in a few passes over the bytes;
+distinct new ones are encoded by `encode_batch_fast`, and a bounded table keeps their ids for the worker's later batches.
+A text that may hold a special string is encoded by the library as it is. Only lengths leave the worker.
 
 Null text: empty, 0 tokens. Null doc_id: kept as it is. Other columns are ignored. An empty table gives no rows.
 """
@@ -13,7 +13,6 @@ Null text: empty, 0 tokens. Null doc_id: kept as it is. Other columns are ignore
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +20,40 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidemark.llm.text import by_bytes
-
-BATCH_BYTES = 1 << 20
-TABLE_PIECES = 600_000
-TABLE_CHARS = 1 << 25
-
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = "!-~À-ÖØ-öø-ɏ"
-_CUT = re.compile(rf"(?<=[{_LETTER}])(?=[\x00-@\[-`{{-\x7f])|(?<=[{_PLAIN}])(?=\n)|(?<=[{_PLAIN}]\n)(?=[{_PLAIN}])")
+from tidemark.llm.text import by_bytes, byte_sums, flat, stretch
+
+BATCH_BYTES = 1 << 21
+TABLE_PIECES = 3_000_000
+TABLE_IDS = 1 << 24
+
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
+_PRINTED = np.zeros(256, bool)
+_PRINTED[0x21:0x7F] = True
+
+
+def boundaries(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of all texts, in bytes."""
+    n = len(data)
+    if not n:
+        return np.empty(0, np.int64)
+    before = np.r_[np.uint8(0), data[:-1]]
+    # the last byte of U+00C0 to U+024F, signs for times and division aside
+    latin = ((before == 0xC3) & (data != 0x97) & (data != 0xB7) | (before >= 0xC4) & (before <= 0xC8) | (before == 0xC9) & (data < 0x90)) & (data >= 0x80) & (data < 0xC0)
+    letter_end = _ASCII_LETTER[data] | latin
+    plain_end = _PRINTED[data] | latin
+    plain_start = _PRINTED[data] | (data >= 0xC3) & (data <= 0xC8)
+    cut = np.zeros(n, bool)
+    cut[1:] = letter_end[:-1] & (data[1:] < 0x80) & ~_ASCII_LETTER[data[1:]]
+    cut[1:] |= plain_end[:-1] & (data[1:] == 0x0A)
+    cut[1:-1] |= plain_end[:-2] & (data[1:-1] == 0x20) & plain_start[2:]
+    cut[2:] |= plain_end[:-2] & (data[1:-1] == 0x0A) & plain_start[2:]
+    cut[off[:-1][off[:-1] < n]] = True
+    return np.flatnonzero(cut)
 
 
 class PieceEncoder:
-    """Ids of pieces by a tokenizers file, kept in one pool; the table is emptied when it outgrows its bounds."""
+    """Ids of texts by a tokenizers file. The table of known pieces is emptied when it outgrows its bounds."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,87 +63,77 @@ class PieceEncoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.later: dict[str, int] = {}  # a piece with one space before it
-        self.first: dict[str, int] = {}
-        self.cuttings: dict[str, list[int]] = {}
-        self.chars = 0
+        self.names = np.empty(0, np.uint64)
+        self.place = np.empty(0, np.int64)  # of each name, in the arrays that follow
         self.n = self.used = 0
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.uint32)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _add(self, table: dict[str, int], pieces: list[str], before: str) -> None:
-        cut = [_CUT.split(before + p) if "<|" not in p else [before + p] for p in pieces]
-        new = [*({c for cs in cut for c in cs} - self.cuttings.keys())]
-        self.cuttings.update(zip(new, self._ids(new), strict=True))
-        flat: list[int] = []
-        ends = []
-        for cs in cut:
-            for c in cs:
-                flat += self.cuttings[c]
-            ends.append(len(flat))
+    def _learn(self, names: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Encodes new pieces, whose names are sorted; their places."""
+        flat_ids: list[int] = []
+        ends = [0]
+        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
+            flat_ids += e.ids
+            ends.append(len(flat_ids))
         k = len(pieces)
         while self.n + k > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        while self.used + len(flat) > len(self.pool):
+        while self.used + len(flat_ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        size = np.diff(np.array([0, *ends], np.int64))
-        self.length[self.n : self.n + k] = size
-        self.start[self.n : self.n + k] = self.used + np.cumsum(size) - size
-        self.pool[self.used : self.used + len(flat)] = flat
-        table.update(zip(pieces, range(self.n, self.n + k), strict=True))
-        self.used += len(flat)
+        size = np.diff(np.array(ends, np.int64))
+        place = np.arange(self.n, self.n + k)
+        self.length[place] = size
+        self.start[place] = self.used + np.cumsum(size) - size
+        self.pool[self.used : self.used + len(flat_ids)] = flat_ids
+        self.used += len(flat_ids)
         self.n += k
-        self.chars += sum(map(len, pieces)) + sum(map(len, new))
-
-    @staticmethod
-    def _clean(piece: str) -> bool:
-        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+        at = np.searchsorted(self.names, names)
+        self.names, self.place = np.insert(self.names, at, names), np.insert(self.place, at, place)
+        return place
 
-    def slots(self, texts: list[str]) -> list[np.ndarray | list[str]]:
-        """For each text the table places of its pieces, or its units as strings if some space isn't a safe boundary."""
-        if self.n > TABLE_PIECES or self.chars > TABLE_CHARS:
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, set[int]]:
+        """Places of the texts' pieces, the first of each text, and the texts that the library must encode whole."""
+        if self.n > TABLE_PIECES or self.used > TABLE_IDS:
             self._empty()
-        split = [t.split(" ") for t in texts]
-        later = set().union(*(p[1:] for p in split)) - self.later.keys()
-        first = {p[0] for p in split} - self.first.keys()
-        self._add(self.later, [p for p in later if self._clean(p)], " ")
-        self._add(self.first, [p for p in first if self._clean(p)], "")
-        out: list[np.ndarray | list[str]] = []
-        for pieces in split:
-            try:
-                at = np.empty(len(pieces), np.int64)
-                at[0] = self.first[pieces[0]]
-                at[1:] = [*map(self.later.__getitem__, pieces[1:])]
-                out.append(at)
-            except KeyError:
-                out.append(self._units(pieces))
-        return out
-
-    def _units(self, pieces: list[str]) -> list[str]:
-        units, open_ = [], [pieces[0]]
-        for before, piece in zip(pieces, pieces[1:], strict=False):
-            if before and piece and not before[-1].isspace() and not piece[0].isspace():
-                units.append("".join(open_))
-                open_ = []
-            open_.append(" " + piece)
-        return [*units, "".join(open_)]
-
-    def counts(self, texts: list[str]) -> list[int]:
-        out = []
-        for at in self.slots(texts):
-            out.append(int(self.length[at].sum()) if isinstance(at, np.ndarray) else sum(map(len, self._ids(at))))
+        data, off = flat(texts)
+        start = boundaries(data, off)
+        first = np.searchsorted(start, off)
+        sign = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        whole = set((np.searchsorted(off, sign, "right") - 1).tolist())
+        if not len(start):
+            return start, first, whole
+        end = np.r_[start[1:], len(data)]
+        names, pick, back = np.unique(stretch(byte_sums(data), start, end), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
+        new = self.names[at] != names if len(self.names) else np.ones(len(names), bool)
+        place = np.empty(len(names), np.int64)
+        place[~new] = self.place[at[~new]] if len(self.names) else 0
+        if new.any():
+            raw = data.tobytes()
+            place[new] = self._learn(names[new], [raw[a:b].decode() for a, b in zip(start[pick[new]].tolist(), end[pick[new]].tolist(), strict=True)])
+        return place[back], first, whole
+
+    def _whole(self, text: str | None) -> list[int]:
+        return self.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Numbers of tokens."""
+        place, first, whole = self.pieces(texts)
+        total = np.r_[0, np.cumsum(self.length[place])]
+        out = total[first[1:]] - total[first[:-1]]
+        for k in whole:
+            out[k] = len(self._whole(texts[k].as_py()))
         return out
 
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for at in self.slots(texts):
-            if isinstance(at, np.ndarray):
-                n = self.length[at]
-                yield self.pool[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            else:
-                yield np.array([i for ids in self._ids(at) for i in ids], np.uint32)
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        place, first, whole = self.pieces(texts)
+        n = self.length[place]
+        total = np.r_[0, np.cumsum(n)]
+        ids = self.pool[np.repeat(self.start[place] - total[:-1], n) + np.arange(total[-1])]
+        for k, (a, b) in enumerate(zip(total[first[:-1]].tolist(), total[first[1:]].tolist(), strict=True)):
+            yield np.array(self._whole(texts[k].as_py()), np.uint32) if k in whole else ids[a:b]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -151,7 +161,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
         encoder = encoder_for(tokenizer_path)
         for batch in batches:
             for part, sizes in balanced(batch, 1):
-                n = np.array(encoder.counts([t or "" for t in part.column(1).to_pylist()]), np.int64)
+                n = encoder.counts(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
