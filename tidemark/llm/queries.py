@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return share_code(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -92,13 +92,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _tokenizer())
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _tokenizer())
+    return pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
