@@ -11,8 +11,9 @@ MICROS = 1_000_000
 
 
 def micros(ts: Column | str) -> Column:
-    """Microseconds since the epoch of a timestamp without zone."""
-    return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
+    """Microseconds since the epoch of a time without zone, whatever the session's zone."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts.cast("timestamp_ntz"))
 
 
 def finite(x: Column) -> Column:

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 def total_variation(counts: DataFrame, keys: Sequence[str], category: str, reference: str, current: str, min_reference: int = 20, min_current: int = 20, threshold: float = 0.20) -> DataFrame:
     """Half the sum of the differences of shares, over one row a category with both counts: keys, totals,
     total_variation, max_abs_share_delta, outcome. At the threshold is a shift, no distance never is."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    rows = counts.where((F.col(reference) > 0) | (F.col(current) > 0)).groupBy(*keys, category).agg(F.sum(reference).alias("r"), F.sum(current).alias("c"))
-    rows = rows.withColumns({"rt": F.sum("r").over(w), "ct": F.sum("c").over(w)})
-    d = F.abs(F.try_divide(F.col("c"), F.col("ct")) - F.try_divide(F.col("r"), F.col("rt")))
-    out = rows.withColumn("d", F.round(d, 15)).groupBy(*keys).agg(F.max("rt").alias("reference_total"), F.max("ct").alias("current_total"), F.least(F.sum("d") / 2, F.lit(1.0)).alias("tv"), F.max("d").alias("max_abs_share_delta"))
+    w = Window.partitionBy(*keys, F.lit(0))
+    rows = counts.where((F.col(reference) > 0) | (F.col(current) > 0)).groupBy(*keys, category).agg(F.sum(reference).alias("_r"), F.sum(current).alias("_c"))
+    rows = rows.withColumns({"_rt": F.sum("_r").over(w), "_ct": F.sum("_c").over(w)})
+    d = F.abs(F.try_divide(F.col("_c"), F.col("_ct")) - F.try_divide(F.col("_r"), F.col("_rt")))
+    out = rows.withColumn("_d", F.round(d, 15)).groupBy(*keys).agg(F.max("_rt").alias("reference_total"), F.max("_ct").alias("current_total"), F.least(F.sum("_d") / 2, F.lit(1.0)).alias("tv"), F.max("_d").alias("max_abs_share_delta"))
     outcome = F.when(F.col("reference_total") < min_reference, "reference_too_small").when(F.col("current_total") < min_current, "current_too_small").when((F.col("tv") > 0) & (F.col("tv") >= threshold), "shift").otherwise("stable")
     out = out.withColumn("outcome", outcome)
     good = F.col("outcome").isin("shift", "stable")

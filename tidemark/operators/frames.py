@@ -89,7 +89,7 @@ def heatmap(df: DataFrame, entity: str, bucket: Column, value: str, how: str, to
     agg = {"sum": F.sum, "max": F.max}[how]
     cells = df.where(F.col(value).isNotNull()).groupBy(entity, bucket.alias("bucket")).agg(agg(value).alias("value"))
     best = cells.groupBy(entity).agg(agg("value").alias("score")).orderBy(F.desc("score"), entity).limit(top)
-    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), entity)))  # `top` rows
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), entity)).cast("bigint"))  # `top` rows
     return cells.join(F.broadcast(best), entity).select(entity, "rank", "score", "bucket", "value")
 
 

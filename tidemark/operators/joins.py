@@ -76,10 +76,10 @@ def wait_tree(edges: DataFrame, waiter: str, blocker: str, most_depth: int = 32)
         UNION ALL
         SELECT e.w, t.root, t.depth + 1, array_append(t.path, e.w) FROM t JOIN {name} e ON t.pid = e.b
         WHERE NOT array_contains(t.path, e.w) AND t.depth < {depth}"""
-    roots = f"SELECT DISTINCT b AS pid FROM {name} WHERE b NOT IN (SELECT w FROM {name} WHERE w IS NOT NULL)"
+    roots = f"SELECT DISTINCT x.b AS pid FROM {name} x LEFT ANTI JOIN {name} y ON x.b = y.w"
     tree = spark.sql(f"WITH RECURSIVE t(pid, root, depth, path) AS ({walk.format(roots=roots, name=name, depth=most_depth)}) SELECT * FROM t")
     tree.createOrReplaceTempView(f"{name}_tree")
-    left = spark.sql(f"SELECT w, b FROM {name} WHERE w NOT IN (SELECT pid FROM {name}_tree) AND b NOT IN (SELECT pid FROM {name}_tree)")
+    left = spark.sql(f"SELECT w, b FROM {name} x LEFT ANTI JOIN {name}_tree t ON x.w = t.pid")
     left.createOrReplaceTempView(f"{name}_left")
     inner = f"""
         SELECT b AS start, w AS pid, ARRAY(b, w) AS path, 1 AS depth FROM {name}_left

@@ -73,7 +73,7 @@ def percent_of_total(df: DataFrame, value: str, groups: Sequence[str] = ()) -> D
 
 def top(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """The first k rows of each group (planned as a limit below the window)."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col(out) <= k)
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col(out) <= k).withColumn(out, F.col(out).cast("bigint"))
 
 
 def top_axes(df: DataFrame, axes: Sequence[Column], key: str, k: int) -> DataFrame:
