@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 from corpus import corpus
 
-from tidemark.llm import jaccard_join
 from tidemark.llm.jaccard_join import Meeting, jaccard_components, keep_one
 
 SCHEMA = "doc_id long, text string"
@@ -24,10 +23,9 @@ def family(seed=5, n=150):
     return rows
 
 
-@pytest.mark.parametrize(("rows", "block"), [(corpus(0), 128), (corpus(1), 3), (family(), 128), (family(6), 8), (family(7, 90) + [(10_000 + i, t) for i, t in corpus(2)], 4)])
-def test_components_are_exact(spark, rows, block, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()))
+@pytest.mark.parametrize(("rows", "block", "quarters"), [(corpus(0), 128, 4), (corpus(1), 3, 1), (family(), 128, 4), (family(6), 8, 8), (family(8), 8, 1), (family(7, 90) + [(10_000 + i, t) for i, t in corpus(2)], 4, 4)])
+def test_components_are_exact(spark, rows, block, quarters):
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA), block=block, quarters=quarters).collect()))
     assert got == sorted(brute.jaccard_components(rows))
 
 

@@ -3,9 +3,12 @@
 1. One map gives each document's number of shingles and two 64-bit sums of its set; equal sets are one class, of which
    only the least doc_id goes on. The same map tells which shingles are frequent; the most frequent `ORDERED` come last in
    the order of tokens that all documents share, the others go by hash.
-2. A document's tokens of the one-match prefix are posted to buckets. Each posting list sends its documents to meet at
-   its first document (by a hash of the ids): documents that could link share a posting list, so they meet somewhere. A
-   posting list of more than `BLOCK` documents is split over as many meetings as needed, each with the first document.
+2. A document's prefix tokens are posted to buckets. The prefix is lengthened by l - 1 tokens, where l are `quarters` / 4
+   of the tokens that the document can lack, and then any partner shares l of its tokens. A posting list is split by sizes
+   that can link; each part with two documents sends them to meet at its first document (by a hash of the ids). Documents
+   that could link share such a part, so they meet somewhere. One that shares fewer than l tokens in all meets nobody: so
+   shared passages cost postings but no sets. A part of more than `block` documents is split over as many meetings as
+   needed, each with the first document.
 3. At a meeting the prefixes adapt: each document takes the number l of matches, and a prefix l - 1 tokens longer, for which
    the estimated cost of its candidates is least, and a pair is verified only if it shares min(l, l') prefix tokens. Pairs
    that are already connected are skipped, so a group of near copies costs its size, not its square.
@@ -33,6 +36,7 @@ from tidemark.llm.text import SPACE_WORD, Words, by_bytes, flat, mix, prefix_sum
 PART_BYTES = 1 << 20
 ORDERED = 1 << 16
 BLOCK = 128
+BROADCAST_IDS = 1 << 19
 MATCHES = (1, 2, 4, 8, 16)
 _SET = 6  # bytes of a token where sets meet: a meeting has few enough tokens to tell them apart
 
@@ -51,6 +55,11 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.nda
         yield a, [np.unique(name[f : f + c]) for f, c in zip(first.tolist(), count.tolist(), strict=True)]
 
 
+def _matches(n: np.ndarray | int, percent: int, quarters: int) -> np.ndarray | int:
+    """Prefix tokens that a set of n must share with a partner where sets are posted: quarters of what it can lack."""
+    return np.maximum(1, (n - _needed(n, percent)) * quarters // 4)
+
+
 def _needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     """The least overlap that a set of n can have with a partner."""
     return -(-n * percent // 100)
@@ -99,32 +108,87 @@ def _priority(doc: np.ndarray) -> np.ndarray:
     return mix(doc.astype(np.uint64), 77)
 
 
-def _posted(bucket: pa.Table) -> pa.Table:
-    """Meetings of a bucket's posting lists: meeting, doc, grp; block is 0 or, for split ones, 1 + its number."""
+def _compatible(key: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of posting lists by the sizes that can link: (list and size group, entry). Sizes fall in classes of ratio
+    100 / percent, and a group is two neighbouring classes, so sizes that can link share a group; groups that another holds
+    are left out, and so are entries without a size near enough."""
+    size_class = np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64)
+    entry = np.tile(np.arange(len(key)), 2)
+    lower = np.concatenate([size_class, size_class - 1])
+    order = np.lexsort((n[entry], lower, key[entry]))
+    entry, lower = entry[order], lower[order]
+    k, size, own = key[entry], n[entry], size_class[entry] == lower
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (lower[1:] != lower[:-1])
+    at = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    if not len(at):
+        return run, entry
+    has_low, has_high = np.logical_or.reduceat(own, at), np.logical_or.reduceat(~own, at)
+    below = np.zeros(len(at), bool)  # the group before, of the same list, one class down, holds the lower class already
+    first = entry[at]
+    below[1:] = (key[first][1:] == key[first][:-1]) & (lower[at][1:] == lower[at][:-1] + 1) & has_low[:-1]
+    keep = has_low & (has_high | ~below)
+    near = np.zeros(len(k), bool)
+    close = ~new[1:] & (100 * size[:-1] >= percent * size[1:])
+    near[1:] |= close
+    near[:-1] |= close
+    good = keep[run] & near
+    return run[good], entry[good]
+
+
+def _posted(bucket: pa.Table, percent: int, block_size: int) -> pa.Table:
+    """Meetings of a bucket's posting lists, a packed row a group: doc, centre, block (0 or, for split ones, their number +
+    the block's), the set's size and the number of lists."""
     heads, key, row, extras = ex.gathered(bucket)
-    doc = np.concatenate([ex.unplanes(x) for x in extras]).astype(np.int64)
+    doc = np.concatenate([ex.unplanes(x[: 8 * h[3]]) for h, x in zip(heads, extras, strict=True)]).astype(np.int64)
+    n = np.concatenate([ex.unplanes(x[8 * h[3] :]) for h, x in zip(heads, extras, strict=True)]).astype(np.int64)
     grp = np.array([h[0] for h in heads], np.int32)[row]
-    first = _priority(doc)
-    order = np.lexsort((first, key))
-    key, doc, grp = key[order], doc[order], grp[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
+    run, entry = _compatible(key, doc, n, percent)
+    doc, grp = doc[entry], grp[entry]
+    order = np.lexsort((_priority(doc), run))
+    run, doc, grp = run[order], doc[order], grp[order]
+    new = np.ones(len(run), bool)
+    new[1:] = run[1:] != run[:-1]
     at = np.flatnonzero(new)
-    size = np.diff(np.r_[at, len(key)])
-    run = np.cumsum(new) - 1
-    centre, centre_grp = doc[at][run], grp[at][run]
-    here = size[run] > 1
+    size = np.diff(np.r_[at, len(run)])
+    of = np.cumsum(new) - 1
     parts = np.ones(len(size), np.int64)
-    big = size > BLOCK
-    parts[big] = 1 << np.ceil(np.log2(size[big] / BLOCK)).astype(np.int64)
-    parts_of = parts[run]
+    big = size > block_size
+    parts[big] = 1 << np.ceil(np.log2(size[big] / block_size)).astype(np.int64)
+    parts_of = parts[of]
     block = np.where(parts_of > 1, parts_of + (mix(doc.astype(np.uint64), 5) % parts_of.astype(np.uint64)).astype(np.int64), 0)
-    rows = [np.stack([centre[here], doc[here], grp[here], block[here]])]
+    here = size[of] > 1
+    rows = [np.stack([doc[at][of][here], doc[here], grp[here], block[here]]).astype(np.int64)]
     for k in np.flatnonzero(big):  # the first document goes to every part
         p = int(parts[k])
-        rows.append(np.stack([np.full(p, doc[at[k]]), np.full(p, doc[at[k]]), np.full(p, grp[at[k]]), p + np.arange(p)]))
-    m = np.unique(np.concatenate(rows, axis=1), axis=1)
-    return pa.table({"centre": pa.array(m[0]), "doc": pa.array(m[1]), "grp": pa.array(m[2].astype(np.int32)), "block": pa.array(m[3])})
+        rows.append(np.stack([np.full(p, doc[at[k]]), np.full(p, doc[at[k]]), np.full(p, grp[at[k]]), p + np.arange(p)]).astype(np.int64))
+    n = n[entry][order]
+    seen = np.concatenate([np.full(r.shape[1], k == 0, np.int64) for k, r in enumerate(rows)])
+    size = np.concatenate([n[here] if k == 0 else np.zeros(r.shape[1], np.int64) for k, r in enumerate(rows)])
+    m, back = np.unique(np.concatenate(rows, axis=1)[[2, 1, 0, 3]], axis=1, return_inverse=True)
+    back = back.ravel()
+    times, most = np.bincount(back, seen, m.shape[1]).astype(np.int64), np.zeros(m.shape[1], np.int64)
+    np.maximum.at(most, back, size)
+    at = np.flatnonzero(np.r_[True, m[0][1:] != m[0][:-1]]) if m.shape[1] else np.empty(0, np.int64)
+    out = [(int(m[0][x]), y - x, b"".join(ex.planes(c[x:y]) for c in (m[1], m[2], m[3], most, times))) for x, y in zip(at.tolist(), [*at[1:].tolist(), m.shape[1]], strict=False)]
+    return ex.as_table(out, [pa.int32(), pa.int32(), pa.binary()], ["grp", "n", "packed"])
+
+
+def _invited(packed: pa.Table, percent: int, quarters: int) -> pa.Table:
+    """Who of a group goes to which meeting: what the buckets say of each document together, without those that share too
+    little."""
+    cols: list[list[np.ndarray]] = [[], [], [], [], []]
+    for k, raw in zip(packed.column("n").to_pylist(), packed.column("packed").to_pylist(), strict=True):
+        for j, c in enumerate(cols):
+            c.append(ex.unplanes(raw[8 * k * j : 8 * k * (j + 1)]).astype(np.int64))
+    doc, centre, block, n, times = (np.concatenate(c) for c in cols)
+    _, who = np.unique(doc, return_inverse=True)
+    size = np.zeros(int(who.max()) + 1, np.int64)
+    np.maximum.at(size, who, n)
+    good = (np.bincount(who, times) >= _matches(size, percent, quarters))[who]
+    m = np.unique(np.stack([centre, doc, block])[:, good], axis=1)
+    return pa.table({"grp": pa.array(np.full(m.shape[1], packed.column("grp")[0].as_py(), np.int32)), "centre": pa.array(m[0]), "doc": pa.array(m[1]), "block": pa.array(m[2]), "seed": pa.nulls(m.shape[1], pa.int64())})
 
 
 class Meeting:
@@ -268,7 +332,7 @@ def _meet(rows: DataFrame, asked: DataFrame, order, size: int, percent: int, bin
     return sent.groupBy("bin").applyInArrow(verify, "kind int, u long, v long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, quarters: int = 2, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: links need 100 * |both| >= percent * |either|."""
     spark = docs.sparkSession
     checkpoints(spark)
@@ -291,25 +355,27 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
         keep = np.sort(reps.column("doc_id").to_numpy())
         doc = ex.ids_of(table.column("doc_id")) if table.num_rows else np.empty(0, np.int64)
         mine = table.filter(pa.array(ex.member(keep, doc)[0])) if table.num_rows else table
-        token, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        token, owner, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if mine.num_rows:
             doc = ex.ids_of(mine.column("doc_id"))
             for a, sets in shingle_sets(mine.column("text"), size):
                 for k, s in enumerate(sets):
                     if len(s):
-                        prefix = order.value.sort(s)[: len(s) - _needed(len(s), percent) + 1]
+                        prefix = order.value.sort(s)[: len(s) - _needed(len(s), percent) + int(_matches(len(s), percent, quarters))]
                         token.append(prefix)
                         owner.append(np.full(len(prefix), doc[a + k]))
-        spread, owner = mix(np.concatenate(token), 9), np.concatenate(owner)
+                        sizes.append(np.full(len(prefix), len(s)))
+        spread, owner, sizes = mix(np.concatenate(token), 9), np.concatenate(owner), np.concatenate(sizes)
         at = np.lexsort((owner, spread))
-        spread, owner = spread[at], owner[at]
+        spread, owner, sizes = spread[at], owner[at], sizes[at]
         new = np.ones(len(at), bool)  # rows that repeat a doc_id
         new[1:] = (spread[1:] != spread[:-1]) | (owner[1:] != owner[:-1])
-        spread, owner = spread[new], owner[new]
-        return ex.row_table(ex.send(key[0].as_py(), 0, spread, buckets, lambda a, b: ex.planes(owner[a:b])))
+        spread, owner, sizes = spread[new], owner[new], sizes[new]
+        return ex.row_table(ex.send(key[0].as_py(), 0, spread, buckets, lambda a, b: ex.planes(owner[a:b]) + ex.planes(sizes[a:b])))
 
     posted = dealt.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(post, ex.ROW)
-    asked = posted.groupBy("bucket").applyInArrow(_posted, "centre long, doc long, grp int, block long").distinct().withColumn("seed", F.lit(None).cast("long"))
+    asked = posted.groupBy("bucket").applyInArrow(lambda t: _posted(t, percent, block), "grp int, n int, packed binary")
+    asked = asked.groupBy("grp").applyInArrow(lambda t: _invited(t, percent, quarters), "grp int, centre long, doc long, block long, seed long")
     met = _meet(dealt, asked, order, size, percent, bins).checkpoint()
     links = met.where("kind = 0").select("u", "v").union(copies)
     parts = connected_components(links)
@@ -318,7 +384,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
     split = split.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc")).checkpoint()
     sizes = split.groupBy("centre", "component").count()
     main = sizes.groupBy("centre").agg(F.max(F.struct("count", F.col("component"))).alias("m"), F.sum("count").alias("total"), F.count("*").alias("kinds")).where("kinds > 1")
-    main = main.select("centre", F.col("m.component").alias("main"), F.col("total") - F.col("m.count"), F.ceil((F.col("total") - F.col("m.count")) / BLOCK).cast("int").alias("loose_parts"), F.ceil(F.col("total") / BLOCK).cast("int").alias("parts")).checkpoint()
+    main = main.select("centre", F.col("m.component").alias("main"), F.col("total") - F.col("m.count"), F.ceil((F.col("total") - F.col("m.count")) / block).cast("int").alias("loose_parts"), F.ceil(F.col("total") / block).cast("int").alias("parts")).checkpoint()
     if not main.isEmpty():
         left = split.join(main, "centre")
         place = F.pmod(F.xxhash64("doc"), F.col("parts"))
@@ -326,7 +392,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
         every = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("loose_parts") - 1))).withColumn("i", place)
         few = left.where("component <> main").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", loose)
         pick = ["centre", "doc", "component", (F.col("i").cast("long") * (1 << 31) + F.col("j") + 1).alias("block")]
-        again = every.select(*pick).union(few.select(*pick)).distinct().withColumnRenamed("component", "seed").withColumn("grp", F.element_at(F.lit(groups.tolist()), (F.pmod(F.xxhash64("doc"), F.lit(len(groups))) + 1).cast("int")))
+        again = every.select(*pick).union(few.select(*pick)).distinct().withColumnRenamed("component", "seed").checkpoint().withColumn("grp", F.element_at(F.lit(groups.tolist()), (F.pmod(F.xxhash64("doc"), F.lit(len(groups))) + 1).cast("int")))
+        few_docs = again.select(F.col("doc").alias("doc_id")).distinct()
+        if few_docs.count() <= BROADCAST_IDS:  # then only their texts are dealt again
+            dealt = dealt.join(F.broadcast(few_docs), "doc_id", "left_semi")
         more = _meet(dealt, again, order, size, percent, bins).where("kind = 0").select("u", "v")
         stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
         parts = connected_components(stars.union(more))
@@ -335,5 +404,5 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, without those that link, directly or not, to one of a smaller id."""
-    gone = jaccard_components(docs, size, percent, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = jaccard_components(docs, size, percent, id_col=id_col, text_col=text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
