@@ -49,7 +49,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.decontamination import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +114,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _folded(column: str) -> str:
+    return f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM d WHERE len(ws) >= 50),
+w AS (SELECT doc_id, p, sha256(array_to_string(ws[p:p + 49], ' ')) AS k FROM s),
+m AS (SELECT k, min(doc_id) AS least FROM w GROUP BY k),
+g AS (SELECT doc_id, p FROM w JOIN m USING (k) WHERE least < doc_id),
+i AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+c AS (SELECT i.doc_id, i.i, i.word, coalesce(max(g.p) OVER (PARTITION BY i.doc_id ORDER BY i.i ROWS UNBOUNDED PRECEDING) >= i.i - 49, false) AS gone FROM i LEFT JOIN g ON g.doc_id = i.doc_id AND g.p = i.i),
+r AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)""",
+    "op3_decontamination": f"""
+WITH b AS (SELECT item_id, regexp_extract_all({_folded("text")}, {_ALNUM}) AS ws FROM benchmark),
+x AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[p:p + least(len(ws), 10) - 1], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS p FROM b WHERE len(ws) > 0)),
+d AS (SELECT doc_id, regexp_extract_all({_folded("text")}, {_ALNUM}) AS ws FROM documents),
+s AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM x) WHERE len(ws) >= n),
+h AS (SELECT s.doc_id, s.p, s.n, x.item_id FROM s JOIN x ON x.n = s.n AND x.k = array_to_string(s.ws[s.p:s.p + s.n - 1], ' ')),
+e AS (SELECT doc_id, p, max(p + n - 1) AS e FROM h GROUP BY ALL),
+i AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i FROM d),
+c AS (SELECT i.doc_id, coalesce(max(e.e) OVER (PARTITION BY i.doc_id ORDER BY i.i ROWS UNBOUNDED PRECEDING) >= i.i, false) AS hit FROM i LEFT JOIN e ON e.doc_id = i.doc_id AND e.p = i.i),
+r AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (hit) AS n_hit FROM c GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items, list(item ORDER BY item) AS item_ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+    "op7_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_folded("text")}, {_SPACED}) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + least(len(ws), 4) - 1], ' ') || ' ' || least(len(ws), 4) AS k FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS p FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)""",
+    "op5_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+s AS (SELECT doc_id, raw, unnest(range(1, octet_length(raw) - 198)) AS p FROM d WHERE octet_length(raw) >= 200),
+w AS (SELECT doc_id, p, md5_number(array_slice(raw, p, p + 199)) AS k FROM s),
+g AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+i AS (SELECT *, max(p + 199) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM g),
+o AS (SELECT *, sum(CASE WHEN seen IS NULL OR p > seen + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS span FROM i),
+r AS (SELECT doc_id, span, min(p) AS a, max(p) + 199 AS b FROM o GROUP BY ALL),
+k AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS x, a - 1 AS y FROM r UNION ALL SELECT doc_id, max(b) + 1, 9000000000 FROM r GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(hex(array_slice(raw, x, least(y, octet_length(raw)))), '' ORDER BY x) AS kept FROM k JOIN d USING (doc_id) WHERE x <= least(y, octet_length(raw)) GROUP BY k.doc_id),
+n AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, octet_length(raw) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN raw ELSE unhex(coalesce(kept, '')) END) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
