@@ -39,7 +39,7 @@ TEMPLATES = [
     ("Proprietary", "Copyright. All rights reserved."),
 ]
 # Words without which no line is taken for a licence statement.
-SIGNS = ["apache", "bsd", "cc", "cc0", "copying", "copyright", "gnu", "gpl", "lgpl", "licence", "licenced", "license", "licensed", "mit", "mozilla", "mpl", "spdx", "unlicense"]
+SIGNS = ["cc0", "copyright", "licence", "licenced", "license", "licensed", "mozilla", "spdx"]
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([.-][^/]*)?$"
 
 
@@ -75,7 +75,7 @@ def licence_scan(files: DataFrame, licence_file: Column | None = None, templates
     rarity = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
 
     sign = F.lit(SIGNS)
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike("(?i)licen[cs]e|copyright|spdx|copying|apache|bsd|cc|gnu|gpl|mit|mozilla|mpl") & F.arrays_overlap(_words(line), sign))
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike("(?i)licen[cs]e|copyright|spdx|mozilla|cc0") & F.arrays_overlap(_words(line), sign))
     units = rows.select("id", "path", F.when(F.col("grants"), F.concat(lines, F.array("text"))).otherwise(lines).alias("units"))
     words = units.where(F.size("units") > 0).select("id", "path", F.posexplode("units").alias("unit", "u")).select("id", "path", "unit", F.xxhash64("u").alias("hash"), F.explode(_words(F.col("u"))).alias("w"))
     counted = words.groupBy("id", "path", "unit", "hash", "w").count().withColumn("x", F.col("count") * F.coalesce(rarity[F.col("w")], F.lit(other)))
