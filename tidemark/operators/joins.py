@@ -80,6 +80,8 @@ def wait_tree(edges: DataFrame, waiter: str, blocker: str, most_depth: int = 32)
     tree = spark.sql(f"WITH RECURSIVE t(pid, root, depth, path) AS ({walk.format(roots=roots, name=name, depth=most_depth)}) SELECT * FROM t")
     tree.createOrReplaceTempView(f"{name}_tree")
     left = spark.sql(f"SELECT w, b FROM {name} x LEFT ANTI JOIN {name}_tree t ON x.w = t.pid")
+    if left.isEmpty():
+        return tree
     left.createOrReplaceTempView(f"{name}_left")
     inner = f"""
         SELECT b AS start, w AS pid, ARRAY(b, w) AS path, 1 AS depth FROM {name}_left

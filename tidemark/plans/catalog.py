@@ -312,12 +312,12 @@ def counter_reduction(s, d):
 
 
 @query(
-    f"WITH {_DIFF}, q AS (SELECT day, user_id, CASE WHEN reason IS NULL THEN n - pn END AS a, CASE WHEN reason IS NULL AND user_id % 5 <> 0 THEN us - prev_us END AS b FROM df) SELECT day, user_id % 10 AS u, CAST(sum(a) FILTER (a IS NOT NULL AND b IS NOT NULL) AS BIGINT) AS num, CAST(sum(b) FILTER (a IS NOT NULL AND b IS NOT NULL) AS BIGINT) AS den, count(*) FILTER ((a IS NULL) <> (b IS NULL)) AS unmatched, "
-    "round(CASE WHEN count(*) FILTER ((a IS NULL) <> (b IS NULL)) = 0 THEN CAST(sum(a) AS DOUBLE) / nullif(sum(b), 0) END, 12) AS ratio FROM q GROUP BY day, user_id % 10"
+    f"WITH {_DIFF}, q AS (SELECT day, event_type, CASE WHEN reason IS NULL THEN n - pn END AS a, CASE WHEN reason IS NULL AND event_type <> 'view' THEN us - prev_us END AS b FROM df) SELECT day, event_type, CAST(sum(a) FILTER (a IS NOT NULL AND b IS NOT NULL) AS BIGINT) AS num, CAST(sum(b) FILTER (a IS NOT NULL AND b IS NOT NULL) AS BIGINT) AS den, count(*) FILTER ((a IS NULL) <> (b IS NULL)) AS unmatched, "
+    "round(CASE WHEN count(*) FILTER ((a IS NULL) <> (b IS NULL)) = 0 THEN CAST(sum(a) AS DOUBLE) / nullif(sum(b), 0) END, 12) AS ratio FROM q GROUP BY day, event_type"
 )
 def ratio_reduction(s, d):
-    q = df(s, d).withColumn("b", F.when(F.col("user_id") % 5 != 0, F.col("dt"))).withColumn("u", F.col("user_id") % 10)
-    return reduce.ratio_reduction(q, ["day", "u"], "delta", "b").withColumn("ratio", F.round("ratio", 12))
+    q = df(s, d).withColumn("b", F.when(F.col("event_type") != "view", F.col("dt")))
+    return reduce.ratio_reduction(q, ["day", "event_type"], "delta", "b").withColumn("ratio", F.round("ratio", 12))
 
 
 @query(f"WITH {_EV} SELECT event_type, day, min(v) AS min, max(v) AS max, round(avg(v), 9) AS mean, count(v) AS samples FROM ev GROUP BY ALL")
@@ -690,20 +690,20 @@ def predecessor_join(s, d):
 
 
 @query(
-    "WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem WHERE l_orderkey < 200), s1 AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 = 0), w AS (SELECT p.*, s_name, 0 AS way FROM p JOIN s1 ON l_suppkey = s_suppkey UNION ALL SELECT p.*, s_name, 1 FROM p JOIN s1 ON l_partkey = s_suppkey) "
-    "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, s_name, way FROM w UNION ALL SELECT DISTINCT p.*, NULL, NULL FROM p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.l_orderkey = p.l_orderkey AND w.l_linenumber = p.l_linenumber AND w.l_suppkey = p.l_suppkey AND w.l_partkey = p.l_partkey)"
+    "WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem), s1 AS (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal >= 5000), w AS (SELECT p.*, s_name, 0 AS way FROM p JOIN s1 ON l_suppkey = s_suppkey UNION ALL SELECT p.*, s_name, 1 FROM p JOIN s1 ON l_partkey = s_suppkey) "
+    "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, s_name, way FROM w UNION ALL SELECT p.*, NULL, NULL FROM p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.l_orderkey = p.l_orderkey AND w.l_linenumber = p.l_linenumber AND w.l_suppkey = p.l_suppkey AND w.l_partkey = p.l_partkey)"
 )
 def plan_attribution(s, d):
-    p = table(s, d, "lineitem").where("l_orderkey < 200").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").distinct()
-    st = table(s, d, "supplier").where("s_suppkey % 3 = 0").select("s_suppkey", "s_name")
+    p = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").distinct()
+    st = table(s, d, "supplier").where("s_acctbal >= 5000").select("s_suppkey", "s_name")
     return joins.best_effort(p, st, [[("l_suppkey", "s_suppkey")], [("l_partkey", "s_suppkey")]], ["s_name"])
 
 
-@query(f"WITH {_EV}, a AS (SELECT day, CAST(sum(v) AS BIGINT) AS v FROM ev WHERE event_type = 'error' AND user_id < 40 GROUP BY day), b AS (SELECT day, CAST(sum(v) AS BIGINT) AS v FROM ev WHERE event_type = 'signup' AND user_id > 90 GROUP BY day) SELECT coalesce(a.day, b.day) AS day, a.v AS a, b.v AS b, CASE WHEN b.day IS NULL THEN 'only_a' WHEN a.day IS NULL THEN 'only_b' ELSE 'matched' END AS side FROM a FULL JOIN b ON a.day = b.day")
+@query(f"WITH {_EV}, a AS (SELECT day, CAST(sum(v) AS BIGINT) AS v FROM ev WHERE event_type = 'error' AND v > 15000 GROUP BY day), b AS (SELECT day, CAST(sum(v) AS BIGINT) AS v FROM ev WHERE event_type = 'signup' AND v > 15000 GROUP BY day) SELECT coalesce(a.day, b.day) AS day, a.v AS a, b.v AS b, CASE WHEN b.day IS NULL THEN 'only_a' WHEN a.day IS NULL THEN 'only_b' ELSE 'matched' END AS side FROM a FULL JOIN b ON a.day = b.day")
 def track_merge(s, d):
     e = ev(s, d)
-    a = e.where("event_type = 'error' AND user_id < 40").groupBy("day").agg(F.sum("v").alias("v"))
-    b = e.where("event_type = 'signup' AND user_id > 90").groupBy("day").agg(F.sum("v").alias("v"))
+    a = e.where("event_type = 'error' AND v > 15000").groupBy("day").agg(F.sum("v").alias("v"))
+    b = e.where("event_type = 'signup' AND v > 15000").groupBy("day").agg(F.sum("v").alias("v"))
     return joins.outer_tracks(a, b, [], "day", "v")
 
 
@@ -714,14 +714,14 @@ def mount_prefix(s, d):
     return joins.longest_prefix(p, "url", mounts, "mount", [])
 
 
-_LOCK = "e AS (SELECT DISTINCT l_suppkey AS w, l_partkey % 100 AS b FROM lineitem WHERE l_orderkey < 60 AND l_suppkey > l_partkey % 100)"
+_LOCK = "e AS (SELECT DISTINCT c_custkey AS w, c_custkey // 10 AS b FROM customer WHERE c_custkey <> c_custkey // 10)"
 
 
 @query(
     f"WITH RECURSIVE {_LOCK}, t AS (SELECT DISTINCT b AS pid, b AS root, 0 AS depth FROM e WHERE b NOT IN (SELECT w FROM e) UNION ALL SELECT e.w, t.root, t.depth + 1 FROM t JOIN e ON t.pid = e.b WHERE t.depth < 32) SELECT pid, root, depth FROM t"
 )
 def lock_tree(s, d):
-    e = table(s, d, "lineitem").where("l_orderkey < 60").select(F.col("l_suppkey").alias("w"), (F.col("l_partkey") % 100).alias("b")).where("w > b").distinct()
+    e = table(s, d, "customer").select(F.col("c_custkey").alias("w"), F.floor(F.col("c_custkey") / 10).alias("b"))
     return joins.wait_tree(e, "w", "b").select("pid", "root", "depth")
 
 
@@ -767,9 +767,9 @@ def refresh_delta(s, d):
     return sections.refresh(before, now)
 
 
-@query("SELECT l_partkey AS fact, min(l_returnflag) AS flag, count(DISTINCT l_returnflag) > 1 AS conflict, array_to_string(list_sort(list(DISTINCT l_orderkey)), ',') AS evidence FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_partkey")
+@query("SELECT l_partkey AS fact, min(l_returnflag) AS flag, count(DISTINCT l_returnflag) > 1 AS conflict, array_to_string(list_sort(list(DISTINCT l_orderkey)), ',') AS evidence FROM lineitem GROUP BY l_partkey")
 def merged_facts(s, d):
-    li = table(s, d, "lineitem").where("l_orderkey < 3000").select(F.col("l_partkey").alias("fact"), F.col("l_returnflag").alias("flag"), "l_orderkey")
+    li = table(s, d, "lineitem").select(F.col("l_partkey").alias("fact"), F.col("l_returnflag").alias("flag"), "l_orderkey")
     return frames.merged_facts(li, "fact", ["flag"], "l_orderkey").withColumn("evidence", F.array_join("evidence", ","))
 
 
