@@ -256,3 +256,43 @@ def test_queries_by_version(spark):
     with pytest.raises(ValueError, match="no query"):
         PG["pg_stat_io"].query(150000)
     assert as_json(spark.range(1)).first().json == '{"id":"0"}'
+
+
+def test_metrics(spark, tmp_path):
+    from tidemark.operators import metrics
+
+    life = spark.createDataFrame([("ready", None), ("child_process_crash", 9), ("child_process_crash", 9), ("error_group", None)], "kind string, signal int")
+    assert rows(metrics.lifecycle_counts(life), "what", "signal") == [("child_process_crash", 9, 2), ("ready", None, 1)]
+    cells = spark.createDataFrame([(1, "a", 5), (2, "a", 7)], "segment_id int, entity string, value int")
+    metrics.refresh_cells(cells, f"{tmp_path}/c", "segment_id")
+    metrics.refresh_cells(cells.where("segment_id = 2").withColumn("value", F.lit(9)), f"{tmp_path}/c", "segment_id")
+    assert rows(spark.read.parquet(f"{tmp_path}/c").select("segment_id", "value"), "segment_id") == [(1, 5), (2, 9)]
+    with pytest.raises(ValueError, match="16"):
+        metrics.aligned(cells, ["entity"], [str(k) for k in range(17)])
+
+
+def test_notable_and_floors(spark):
+    note = lambda *a: one(spark, events.notable(*(F.lit(x) for x in a)).alias("n"))["n"]
+    assert tuple(note("child_process_crash", "LOG", None, 9)) == ("server_child_sigkill", 0)
+    assert tuple(note("child_process_crash", "LOG", None, 11)) == ("server_child_signal_termination", 2)
+    assert tuple(note("error_group", "PANIC", "53100", None)) == ("panic_severity_observation", 0)
+    assert tuple(note("error_group", "ERROR", "40P01", None)) == ("deadlock_observation", 3)
+    assert note("slow_query", "LOG", None, None) is None
+    floor = lambda *a: one(spark, events.floor_class(*(F.lit(x) for x in a)).alias("n"))["n"]
+    assert [floor("PANIC", None, True), floor("ERROR", "XX001", True), floor("PANIC", None, False)] == ["availability", "integrity", None]
+
+
+def test_typed_messages(spark):
+    df = spark.createDataFrame([(t,) for t in ("duration: 12.5 ms  statement: x", "temporary file: path \"p\", size 99", "database system is ready to accept connections", "nothing")], "message string")
+    assert [tuple(r)[1:] for r in events.typed_events(df).collect()] == [("slow_query", "12.5"), ("temp_file", "99"), ("ready", None), (None, None)]
+
+
+def test_rules_and_dispatch(spark):
+    least = next(r for r in incidents.RULES if r.id == "OS-MEM-022")
+    df = spark.createDataFrame([(1, 1, 50, 100), (1, 2, 4, 100), (2, 1, 50, 100)], "cluster int, ts int, mem_available int, mem_total int")
+    assert rows(incidents.findings(df, least, ["cluster"], []).select("cluster", "rule", "value"), "cluster") == [(1, "OS-MEM-022", 0.04)]
+    wal = next(r for r in incidents.RULES if r.id == "PG-WAL-009")
+    few = spark.createDataFrame([(1, t, 1, 1, dt) for t, dt in ((1, 10), (2, 10), (3, None), (4, None))], "cluster int, ts int, wal_fpi int, wal_records int, dt int")
+    assert incidents.findings(few, wal, ["cluster"], []).count() == 0
+    seen = spark.createDataFrame([(7, "pg_stat_wal")], "cluster int, section string")
+    assert rows(incidents.dispatch(seen, ["cluster"]), "rule") == [(7, "PG-WAL-009")]

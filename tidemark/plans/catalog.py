@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as sc
 from tidemark.functions.session import share_code
 from tidemark.functions.thresholds import classify
-from tidemark.operators import anomaly, change, events, frames, incidents, joins, reduce, series
+from tidemark.operators import anomaly, change, events, frames, incidents, joins, metrics, reduce, series
 from tidemark.sources import sections
 
 T0 = 1_704_067_200_000_000  # the first day of events
@@ -817,3 +817,103 @@ def conditional_gate(s, d):
     o = table(s, d, "orders")
     g = joins.gate_select(F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey").cast("string")), [("-1", F.lit(-1).cast("bigint"))], F.col("o_orderkey") % 4)
     return o.select("o_orderkey", "o_orderstatus", g.alias("gate"))
+
+
+# ---- metrics, mixtures, pre-aggregates -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_DIFF}, q AS (SELECT user_id, CASE WHEN reason IS NULL THEN n - pn END AS a, CASE WHEN reason IS NULL AND event_type <> 'view' THEN v END AS b, CASE WHEN reason IS NULL THEN us - prev_us END AS t FROM df) SELECT user_id, count(*) AS endpoints, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS aligned, CAST(sum(a) FILTER (b IS NOT NULL) AS BIGINT) AS delta, CAST(sum(b) FILTER (a IS NOT NULL) AS BIGINT) AS b, CAST(sum(t) FILTER (b IS NOT NULL) AS BIGINT) AS dt FROM q GROUP BY user_id")
+def aligned_tracks(s, d):
+    q = df(s, d).withColumn("b", F.when(F.col("reason").isNull() & (F.col("event_type") != "view"), F.col("v")))
+    return metrics.aligned(q, ["user_id"], ["delta", "b"])
+
+
+@query(f"WITH {_EV} SELECT day, max(us - day * {DAY} - {T0}) FILTER (day * {DAY} + {T0} + {HOUR} <= us) AS wait_us FROM ev GROUP BY day")
+def lock_wait_age(s, d):
+    e = ev(s, d).withColumns({"since": F.when(F.col("us") >= T0 + F.col("day") * DAY + HOUR, T0 + F.col("day") * DAY)})
+    return metrics.wait_age(e, ["day"], "us", "since")
+
+
+@query(f"WITH {_EV}, l AS (SELECT day, max(v) AS load FROM ev WHERE event_type = 'click' GROUP BY day), c AS (SELECT day, count(DISTINCT user_id) AS cpus FROM ev GROUP BY day) SELECT day, load, cpus, round(load / cpus, 9) AS load_per_cpu FROM l JOIN c USING (day)")
+def host_load(s, d):
+    e = ev(s, d)
+    return metrics.load_per_cpu(e.where("event_type = 'click'"), e, [], "day", "v", "user_id").withColumn("load_per_cpu", F.round("load_per_cpu", 9))
+
+
+@query(f"WITH {_EV} SELECT event_type, count(*) AS n, greatest(0, max({T0 + 30 * DAY} - us)) AS age_us, max(v) AS xid_age FROM ev GROUP BY event_type")
+def prepared_rollup(s, d):
+    return metrics.prepared(ev(s, d).withColumn("now", F.lit(T0 + 30 * DAY)), ["event_type"], "now", "us", "v")
+
+
+@query(f"WITH {_EV} SELECT CASE WHEN v > 20000 THEN 'sealed' ELSE 'live' END AS class, CAST(sum(v) AS BIGINT) AS bytes, count(*) AS files, round(sum(v) / 1e9, 12) AS used FROM ev GROUP BY 1")
+def storage_accounting(s, d):
+    return metrics.accounting(ev(s, d), F.when(F.col("v") > 20000, "sealed").otherwise("live"), "v", 10**9).withColumn("used", F.round("used", 12))
+
+
+@query(f"WITH {_EV}, x AS (SELECT event_type, max(us) AS m FROM ev WHERE us <= {T0 + 11 * DAY} GROUP BY event_type) SELECT event_id, user_id FROM ev WHERE us = (SELECT max(m) FROM x) AND user_id <> 0")
+def context_at(s, d):
+    return metrics.context(ev(s, d), T0 + 11 * DAY, "user_id", "us").select("event_id", "user_id")
+
+
+_CHURN = (
+    _EV + f", p AS (SELECT event_type AS k, user_id AS plan, day, CAST(sum(count(*)) OVER w AS BIGINT) AS calls, CAST(sum(sum(v)) OVER w AS BIGINT) AS t FROM ev GROUP BY event_type, user_id, day WINDOW w AS (PARTITION BY event_type, user_id ORDER BY day ROWS UNBOUNDED PRECEDING)), "
+    "q AS (SELECT *, lag(day) OVER w AS b, lead(day) OVER w AS a, lead(calls) OVER w - calls AS dc, lead(t) OVER w - t AS dt FROM p WINDOW w AS (PARTITION BY k, plan ORDER BY day)), s AS (SELECT k, day, lag(day) OVER (PARTITION BY k ORDER BY day) AS pd, lead(day) OVER (PARTITION BY k ORDER BY day) AS nd FROM (SELECT DISTINCT k, day FROM p))"
+)
+
+
+@query(
+    f"WITH {_CHURN} SELECT q.k, q.day, arg_max(plan, (dt, plan)) AS plan, arg_max(dc, (dt, plan)) AS calls_delta, arg_max(dt, (dt, plan)) AS time_delta, count(*) AS new_plans FROM q JOIN s ON q.k = s.k AND q.day = s.day WHERE pd = q.day - 1 AND nd = q.day + 1 AND coalesce(b, -1) <> q.day - 1 AND a = q.day + 1 AND dc > 0 AND dt > 0 GROUP BY q.k, q.day"
+)
+def plan_churn(s, d):
+    w = Window.partitionBy("k", "plan").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    p = ev(s, d).groupBy(F.col("event_type").alias("k"), F.col("user_id").alias("plan"), "day").agg(F.count("*").alias("c"), F.sum("v").alias("x"))
+    p = p.select("k", "plan", "day", (T0 + F.col("day") * DAY).alias("ts"), F.sum("c").over(w).alias("calls"), F.sum("x").over(w).alias("t"))
+    return metrics.plan_churn(p, ["k"], "day", "ts", "plan", "calls", "t", DAY)
+
+
+_MIX = (
+    _EV + ", c AS (SELECT event_type AS cat, day, count(*) AS n FROM ev GROUP BY ALL), s AS (SELECT DISTINCT day FROM c), k AS (SELECT cat, sum(n) AS a FROM c GROUP BY cat), x AS (SELECT s.day, k.cat, a, coalesce((SELECT sum(n) FROM c WHERE c.cat = k.cat AND c.day BETWEEN s.day AND s.day + 2), 0) AS cur FROM s, k), "
+    "t AS (SELECT day, sum(cur) AS ct, sum(a - cur) AS rt FROM x GROUP BY day), m AS (SELECT x.day, CAST(ct AS BIGINT) AS current_total, CAST(rt AS BIGINT) AS reference_total, sum(round(abs(cur / ct - (a - cur) / rt), 15)) / 2 AS tv FROM x JOIN t USING (day) GROUP BY x.day, ct, rt)"
+)
+
+
+@query(f"WITH {_MIX} SELECT day, current_total, reference_total, round(tv, 9) AS tv, current_total >= 20 AND reference_total >= 20 AND tv > 0 AND tv >= 0.02 AS shift FROM m")
+def plan_mixture(s, d):
+    c = ev(s, d).groupBy("event_type", "day").agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
+    return metrics.mixture_shift(c, ["k"], "day", "event_type", "n", 3, threshold=0.02).drop("k").withColumn("tv", F.round("tv", 9))
+
+
+@query(f"WITH {_MIX}, z AS (SELECT *, row_number() OVER (ORDER BY day) AS i FROM m), g AS (SELECT *, i - row_number() OVER (ORDER BY day) AS q FROM z WHERE tv >= 0.02 AND current_total >= 20 AND reference_total >= 20) SELECT min(day) AS start, max(day) AS \"end\", count(*) AS positions, arg_max(day, (round(tv, 9), -day)) AS peak, round(max(tv), 9) AS severity FROM g GROUP BY q ORDER BY severity DESC, start LIMIT 10")
+def plan_signal_episodes(s, d):
+    m = plan_mixture(s, d).withColumn("k", F.lit(1))
+    return metrics.rank_signals(metrics.signal_episodes(m, ["k"], "day", "shift", "tv"), ["k"], 10).drop("k")
+
+
+@query(f"WITH {_EV}, g AS (SELECT event_type, day, min(us) AS a, max(us) + 1 AS b FROM ev GROUP BY ALL), i AS (SELECT event_type, greatest(coalesce(lag(b) OVER (PARTITION BY event_type ORDER BY a), {T0}), {T0}) AS gap_from, least(a, {T0 + 30 * DAY}) AS gap_to FROM g UNION ALL SELECT event_type, max(b), {T0 + 30 * DAY} FROM g GROUP BY event_type) SELECT event_type, gap_from, gap_to FROM i WHERE gap_to > gap_from AND (gap_to <> {T0 + 30 * DAY} OR gap_to - gap_from >= {2 * HOUR})")
+def shown_gaps(s, d):
+    g = ev(s, d).groupBy("event_type", "day").agg(F.min("us").alias("min_ts"), F.max("us").alias("max_ts"))
+    return metrics.shown_gaps(g, ["event_type"], T0, T0 + 30 * DAY, 2 * HOUR).select("event_type", "gap_from", "gap_to")
+
+
+@query(f"WITH {_EV} SELECT 'users' AS view, CAST(user_id AS VARCHAR) AS entity, CAST((us - {T0}) // {10 * DAY} AS BIGINT) AS bucket, max(v) AS value FROM ev GROUP BY ALL")
+def merged_segment_cells(s, d):
+    cells = metrics.segment_cells(ev(s, d), "day", "users", "user_id", reduce.bucket(F.col("us"), T0, 10 * DAY), "v", "max")
+    return metrics.merge_cells(cells, "max")
+
+
+@query(f"WITH {_EV}, a AS (SELECT us AS sort_ts, event_id, event_type AS instance FROM ev WHERE event_type = 'error'), b AS (SELECT us, event_id, event_type FROM ev WHERE event_type = 'purchase') SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE (sort_ts, event_id, instance) > ({T0 + 4 * DAY}, 0, '') ORDER BY sort_ts, event_id, instance LIMIT 100")
+def events_page(s, d):
+    e = ev(s, d).select(F.col("us").alias("sort_ts"), "event_id", F.col("event_type").alias("instance"))
+    return metrics.events_page([e.where("instance = 'error'"), e.where("instance = 'purchase'")], 100, (T0 + 4 * DAY, 0, ""))
+
+
+@query("WITH a AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_custkey, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS link FROM customer LEFT JOIN a ON c_custkey = o_custkey")
+def process_link(s, d):
+    n = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    out = table(s, d, "customer").select("c_custkey").join(n, "c_custkey", "left")
+    return out.select("c_custkey", F.coalesce("n", F.lit(0)).cast("bigint").alias("candidates"), F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, "ambiguous").otherwise("none").alias("link"))
+
+
+@query("SELECT l_returnflag, arg_min(l_orderkey, (l_shipdate, l_orderkey, l_linenumber)) AS first_order, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS open FROM lineitem GROUP BY l_returnflag")
+def filtered_first(s, d):
+    return table(s, d, "lineitem").groupBy("l_returnflag").agg(F.min_by("l_orderkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("first_order"), F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "O").alias("open"))
