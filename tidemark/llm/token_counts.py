@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm.text import by_bytes, byte_sums, flat, stretch
 
 BATCH_BYTES = 1 << 21
-TABLE_PIECES = 3_000_000
-TABLE_IDS = 1 << 24
+TABLE_PIECES = 1_200_000
+TABLE_IDS = 1 << 23
 
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
@@ -64,9 +64,9 @@ class PieceEncoder:
 
     def _empty(self) -> None:
         self.names = np.empty(0, np.uint64)
-        self.place = np.empty(0, np.int64)  # of each name, in the arrays that follow
+        self.place = np.empty(0, np.int32)  # of each name, in the arrays that follow
         self.n = self.used = 0
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.start, self.length = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.pool = np.zeros(4096, np.uint32)
 
     def _learn(self, names: np.ndarray, pieces: list[str]) -> np.ndarray:
@@ -82,7 +82,7 @@ class PieceEncoder:
         while self.used + len(flat_ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         size = np.diff(np.array(ends, np.int64))
-        place = np.arange(self.n, self.n + k)
+        place = np.arange(self.n, self.n + k, dtype=np.int32)
         self.length[place] = size
         self.start[place] = self.used + np.cumsum(size) - size
         self.pool[self.used : self.used + len(flat_ids)] = flat_ids
@@ -107,7 +107,7 @@ class PieceEncoder:
         names, pick, back = np.unique(stretch(byte_sums(data), start, end), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
         new = self.names[at] != names if len(self.names) else np.ones(len(names), bool)
-        place = np.empty(len(names), np.int64)
+        place = np.empty(len(names), np.int32)
         place[~new] = self.place[at[~new]] if len(self.names) else 0
         if new.any():
             raw = data.tobytes()
@@ -120,7 +120,7 @@ class PieceEncoder:
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Numbers of tokens."""
         place, first, whole = self.pieces(texts)
-        total = np.r_[0, np.cumsum(self.length[place])]
+        total = np.r_[0, np.cumsum(self.length[place], dtype=np.int64)]
         out = total[first[1:]] - total[first[:-1]]
         for k in whole:
             out[k] = len(self._whole(texts[k].as_py()))
@@ -129,7 +129,7 @@ class PieceEncoder:
     def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
         place, first, whole = self.pieces(texts)
-        n = self.length[place]
+        n = self.length[place].astype(np.int64)
         total = np.r_[0, np.cumsum(n)]
         ids = self.pool[np.repeat(self.start[place] - total[:-1], n) + np.arange(total[-1])]
         for k, (a, b) in enumerate(zip(total[first[:-1]].tolist(), total[first[1:]].tolist(), strict=True)):

@@ -71,8 +71,11 @@ def _candidates(positives: DataFrame, support: int, most: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [_distinct(found)[1] for _, _, found in _parts(batch.column(0))]
-            feature, n = np.unique(np.concatenate([np.empty(0, np.uint64), *kept]), return_counts=True)
+            feature, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+            for _, _, found in _parts(batch.column(0)):
+                more, times = np.unique(_distinct(found)[1], return_counts=True)
+                feature, back = np.unique(np.concatenate([feature, more]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([n, times]), len(feature))
             yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int64)), pa.array(n.astype(np.int64))], ["feature", "n"])
 
     counts = positives.select("t").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
