@@ -29,6 +29,8 @@ def test_windows_and_sessions(spark, tmp_path):
     stream = source(spark, tmp_path, rows, "k int, s string").withColumn("time", F.to_timestamp("s"))
     got = run(spark, live.tumbling(stream, "time", "5 minutes", ["k"], "1 minute", F.count("*").alias("n")), "complete", "tumble")
     assert sorted(r.n for r in got.collect()) == [1, 1, 1, 2]
+    got = run(spark, live.sliding(stream, "time", "10 minutes", "5 minutes", ["k"], "1 minute", F.count("*").alias("n")), "complete", "slide")
+    assert sum(r.n for r in got.collect()) == 10
     got = run(spark, live.sessions(stream, "time", "5 minutes", ["k"], "1 minute"), "complete", "sess")
     assert sorted(r.n for r in got.collect()) == [1, 1, 1, 2]
 

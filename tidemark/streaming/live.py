@@ -14,19 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def tumbling(events: DataFrame, time: str, width: str, keys: Sequence[str], late: str, *aggs) -> DataFrame:
-    """Aggregates by window and keys; a window is given out once the watermark has passed it."""
-    w = F.window(time, width)
-    return events.withWatermark(time, late).groupBy(w, *keys).agg(*aggs).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, *[a for a in _names(aggs)])
+def _windowed(events: DataFrame, window, time: str, keys: Sequence[str], late: str, aggs) -> DataFrame:
+    out = events.withWatermark(time, late).groupBy(window.alias("_w"), *keys).agg(*aggs)
+    return out.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *keys, *(c for c in out.columns if c != "_w" and c not in keys))
 
 
-def _names(aggs) -> list[str]:
-    return [a._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for a in aggs]
+def tumbling(events: DataFrame, time: str, width: str, keys: Sequence[str], late: str, *aggs) -> DataFrame:
+    """Aggregates by window and keys; a window is given out once the watermark has passed it."""
+    return _windowed(events, F.window(time, width), time, keys, late, aggs)
 
 
 def sliding(events: DataFrame, time: str, width: str, step: str, keys: Sequence[str], late: str, *aggs) -> DataFrame:
     """The same over windows that overlap."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width, step), *keys).agg(*aggs).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, *_names(aggs))
+    return _windowed(events, F.window(time, width, step), time, keys, late, aggs)
 
 
 def sessions(events: DataFrame, time: str, gap: str, keys: Sequence[str], late: str) -> DataFrame:
