@@ -8,8 +8,6 @@ import pytest
 from corpus import corpus
 from tokenizers import Tokenizer
 
-from tidemark.llm.text import ALNUM_WORD  # noqa: F401  the package is there
-
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 

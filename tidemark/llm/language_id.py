@@ -27,7 +27,7 @@ from tidemark.llm.text import by_bytes, prefix_sums, stretch
 ORDER = 5
 BOUNDARY = 1
 SHARDS = 16
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 18
 _TABLE: list[np.ndarray] = []
 
 
