@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import ALNUM_WORD, Words, by_bytes, flat
+from tidemark.llm.text import ALNUM_WORD, Words, by_bytes, flat, release
 
 BLOCK_BYTES = 32 << 20
 SHARD_BYTES = 1 << 19
@@ -138,6 +138,7 @@ def _hits(batch: pa.Array, tests: Tests) -> Iterator[tuple[int, int, Words, np.n
     for a, b in by_bytes(np.diff(off), SHARD_BYTES):
         words = Words(data[off[a] : off[b]], off[a : b + 1] - off[a], ALNUM_WORD, fold=True)
         yield a, b, words, *find(words, tests)
+    release()
 
 
 def _marks(words: Words, tests: Tests, at: np.ndarray, window: np.ndarray) -> np.ndarray:

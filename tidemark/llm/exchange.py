@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import by_bytes, flat, release
+
 ROW = "grp int, bucket int, step int, n int, keys binary, extra binary"
 ANSWER = "grp int, bucket int, step int, n int, bits binary"
 STEPS = 8  # a row's step is 8 x the bucket's rank + its step in the operator
@@ -137,11 +139,16 @@ def member(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return sorted_keys[at] == x, at
 
 
+def released(table: pa.Table) -> pa.Table:
+    release()
+    return table
+
+
 def send_pass(df: DataFrame, work: Callable[[int, pa.Table], list[tuple]]) -> DataFrame:
     """One pass over the groups without earlier answers."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        return row_table(work(key[0].as_py(), table))
+        return released(row_table(work(key[0].as_py(), table)))
 
     return df.groupBy("grp").applyInArrow(run, ROW)
 
@@ -150,7 +157,7 @@ def answer_pass(rows: DataFrame, work: Callable[[pa.Table], list[tuple]]) -> Dat
     """The buckets' answers."""
 
     def run(table: pa.Table) -> pa.Table:
-        return answer_table(work(table))
+        return released(answer_table(work(table)))
 
     return rows.groupBy("bucket").applyInArrow(run, ANSWER)
 
@@ -159,15 +166,13 @@ def joined_pass(df: DataFrame, told: DataFrame, work: Callable[[int, pa.Table, p
     """A pass over the groups together with the answers so far."""
 
     def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        return work(key[0].as_py(), table, told)
+        return released(work(key[0].as_py(), table, told))
 
     return df.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(run, schema)
 
 
 def parts(table: pa.Table, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
     """ids, bytes and offsets of byte-bounded parts of a group, and their row ranges."""
-    from tidemark.llm.text import by_bytes, flat
-
     data, off = flat(table.column("text"))
     ids = ids_of(table.column("doc_id"))
     for a, b in by_bytes(np.diff(off), limit):

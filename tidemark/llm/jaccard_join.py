@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import exchange as ex
 from tidemark.llm.components import checkpoints, connected_components
-from tidemark.llm.text import SPACE_WORD, Words, by_bytes, flat, mix, prefix_sums, stretch
+from tidemark.llm.text import SPACE_WORD, Words, by_bytes, flat, mix, prefix_sums, release, stretch
 
 PART_BYTES = 1 << 18
 ORDERED = 1 << 16
@@ -83,6 +83,7 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
             many = times >= max(4, len(pick) // 512)
             token, times = token[many].astype(np.int64), times[many].astype(np.int64)
             none = pa.nulls(len(token), pa.int64())
+            release()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.r_[np.zeros(len(n)), np.ones(len(token))].astype(np.int32)), pa.concat_arrays([batch.column(0).cast(pa.int64()), none]), pa.array(np.r_[n, times]), pa.array(np.r_[one, token]), pa.array(np.r_[two, np.zeros(len(token), np.int64)])],
                 ["kind", "doc_id", "n", "a", "b"],
@@ -298,6 +299,7 @@ def _meet(rows: DataFrame, asked: DataFrame, order, size: int, percent: int, bin
                     sets.setdefault(int(have[a + k]), _packed_set(order.value.sort(s)))
         centre, block = told.column("centre").to_numpy(), told.column("block").to_numpy()
         place = (mix(centre.astype(np.uint64) ^ mix(block.astype(np.uint64), 4), 6) % np.uint64(len(bins))).astype(np.int64)
+        release()
         return pa.table(
             {"bin": pa.array(bins[place]), "centre": told.column("centre"), "block": told.column("block"), "doc": told.column("doc"), "seed": told.column("seed"), "tokens": pa.array([sets[wanted[b]] for b in back.tolist()], pa.binary())}
         )
@@ -325,6 +327,7 @@ def _meet(rows: DataFrame, asked: DataFrame, order, size: int, percent: int, bin
             if block[at[0]] > 0 and seed[at].max() < 0:
                 out.append((np.ones(len(mine), np.int32), np.full(len(mine), centre[at[0]]), mine))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
+        release()
         return pa.table({"kind": pa.array(cols[0]), "u": pa.array(cols[1]), "v": pa.array(cols[2])})
 
     kind = "bin int, centre long, block long, doc long, seed long, tokens binary"
@@ -371,10 +374,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, quarte
         new = np.ones(len(at), bool)  # rows that repeat a doc_id
         new[1:] = (spread[1:] != spread[:-1]) | (owner[1:] != owner[:-1])
         spread, owner, sizes = spread[new], owner[new], sizes[new]
-        return ex.row_table(ex.send(key[0].as_py(), 0, spread, buckets, lambda a, b: ex.planes(owner[a:b]) + ex.planes(sizes[a:b])))
+        return ex.released(ex.row_table(ex.send(key[0].as_py(), 0, spread, buckets, lambda a, b: ex.planes(owner[a:b]) + ex.planes(sizes[a:b]))))
 
     posted = dealt.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(post, ex.ROW)
-    asked = posted.groupBy("bucket").applyInArrow(lambda t: _posted(t, percent, block), "grp int, n int, packed binary")
+    asked = posted.groupBy("bucket").applyInArrow(lambda t: ex.released(_posted(t, percent, block)), "grp int, n int, packed binary")
     asked = asked.groupBy("grp").applyInArrow(lambda t: _invited(t, percent, quarters), "grp int, centre long, doc long, block long, seed long")
     met = _meet(dealt, asked, order, size, percent, bins).checkpoint()
     links = met.where("kind = 0").select("u", "v").union(copies)

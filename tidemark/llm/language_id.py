@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import by_bytes, prefix_sums, stretch
+from tidemark.llm.text import by_bytes, prefix_sums, release, stretch
 
 ORDER = 5
 BOUNDARY = 1
@@ -100,6 +100,7 @@ def gram_counts(docs: DataFrame, most: int, text_col: str = "text", lang_col: st
             key, n = _sum(*map(np.concatenate, zip(*found, strict=True)))
             shard = key % np.uint64(SHARDS)
             rows += [(lang, k, key[shard == k].tobytes(), n[shard == k].astype("<i8").tobytes()) for k in range(SHARDS)]
+        release()
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "shard", "keys", "counts"])
 
@@ -260,6 +261,7 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
                 entropy, over = [None if x else float(v) for x, v in zip(none, low, strict=True)], none | (low > models.limit[best])
             else:
                 score, langs, entropy, over = np.zeros(len(texts)), ["und"] * len(texts), [None] * len(texts), np.ones(len(texts), bool)
+            release()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(entropy, pa.float64()), pa.array(over)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")

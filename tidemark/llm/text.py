@@ -6,6 +6,7 @@ few passes over the bytes whatever the number of words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives what a task has freed back to the system; workers live on, and stages share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def _grow(base: int, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1

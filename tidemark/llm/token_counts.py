@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidemark.llm.text import by_bytes, byte_sums, flat, stretch
+from tidemark.llm.text import by_bytes, byte_sums, flat, release, stretch
 
 BATCH_BYTES = 1 << 21
 TABLE_PIECES = 1_200_000
@@ -151,6 +151,7 @@ def balanced(batch: pa.RecordBatch, text: int, limit: int = BATCH_BYTES) -> Iter
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     for a, b in by_bytes(sizes, limit):
         yield batch.slice(a, b - a), sizes[a:b]
+    release()
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import ALNUM_WORD, LOWER, Words, by_bytes, byte_sums, flat, stretch
+from tidemark.llm.text import ALNUM_WORD, LOWER, Words, by_bytes, byte_sums, flat, release, stretch
 
 PART_BYTES = 1 << 18
 BEGINNINGS = (4, 5, 6, 7)
@@ -76,6 +76,7 @@ def _candidates(positives: DataFrame, support: int, most: int) -> np.ndarray:
                 more, times = np.unique(_distinct(found)[1], return_counts=True)
                 feature, back = np.unique(np.concatenate([feature, more]), return_inverse=True)
                 n = np.bincount(back, np.concatenate([n, times]), len(feature))
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int64)), pa.array(n.astype(np.int64))], ["feature", "n"])
 
     counts = positives.select("t").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
@@ -93,6 +94,7 @@ def _frequencies(rows: DataFrame, features: np.ndarray) -> tuple[np.ndarray, int
             n += batch.num_rows
             for _, _, found in _parts(batch.column(0)):
                 total += np.bincount(_known(found, shared.value)[1], minlength=len(total))[: len(total)]
+        release()
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, hit]), pa.array(np.r_[n, total[hit]])], ["at", "n"])
 
@@ -191,6 +193,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = shared.value.scores(batch.column(1))
+            release()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
@@ -203,6 +206,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             yield batch.filter(pa.array(shared.value.scores(batch.column(place)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
