@@ -9,8 +9,8 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
-#: How workers hold memory: arrays from four megabytes on go back to the system when they are freed.
-MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 22), "MALLOC_TRIM_THRESHOLD_": str(1 << 23)}
+#: How workers hold memory: arrays from a megabyte on go back to the system when they are freed.
+MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 23)}
 
 
 def share_code(spark: SparkSession) -> SparkSession:
