@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.text import ALNUM_WORD, Words, by_bytes, flat, release
 
 BLOCK_BYTES = 32 << 20
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 17
 
 
 class Tests:

@@ -33,7 +33,7 @@ from tidemark.llm import exchange as ex
 from tidemark.llm.components import checkpoints, connected_components
 from tidemark.llm.text import SPACE_WORD, Words, by_bytes, flat, mix, prefix_sums, release, stretch
 
-PART_BYTES = 1 << 18
+PART_BYTES = 1 << 16
 ORDERED = 1 << 16
 BLOCK = 128
 BROADCAST_IDS = 1 << 19

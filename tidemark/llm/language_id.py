@@ -27,7 +27,7 @@ from tidemark.llm.text import by_bytes, prefix_sums, release, stretch
 ORDER = 5
 BOUNDARY = 1
 SHARDS = 16
-PART_CHARS = 1 << 18
+PART_CHARS = 1 << 16
 _TABLE: list[np.ndarray] = []
 
 

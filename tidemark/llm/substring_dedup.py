@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm import exchange as ex
 from tidemark.llm.text import SPACE_WORD, Words, covered, mix, prefix_sums, stretch, whole_windows
 
-PART_BYTES = 1 << 18
+PART_BYTES = 1 << 16
 ROUNDS = 6
 
 

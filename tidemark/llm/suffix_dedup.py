@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import exchange as ex
 from tidemark.llm.text import byte_sums, covered, mix, stretch, whole_windows, windows
 
-PART_BYTES = 1 << 18
+PART_BYTES = 1 << 16
 GRAM = 48
 HOT = 64
 INDEX_BYTES = 1 << 18

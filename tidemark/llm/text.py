@@ -56,7 +56,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 19)
+            size = max(n, 1 << 18)
             with np.errstate(over="ignore"):
                 self.up, self.down = _grow(_BASE, size), _grow(_INVERSE, size)
         return self.up, self.down

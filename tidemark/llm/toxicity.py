@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.text import ALNUM_WORD, LOWER, Words, by_bytes, byte_sums, flat, release, stretch
 
-PART_BYTES = 1 << 18
+PART_BYTES = 1 << 16
 BEGINNINGS = (4, 5, 6, 7)
 
 
