@@ -82,3 +82,16 @@ def test_main_path_is_native(spark):
 
 def test_empty(spark):
     assert licence_scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lines_without_licence_words_are_scored(spark, monkeypatch):
+    """All lines count, whichever words they hold: the brute force without signs."""
+    prose = ["the rose is the work of this garden", "von hier mit dir", "to be subject to the version of all", "public 2 work"]
+    says = ["CC BY 4.0", "CC BY-NC 4.0", "Under CC BY-SA 4.0", "Released under MIT", "Released under the BSD 3-Clause.", "This work is under the GNU General Public, version 3.", "Apache 2.0", "GPL-3.0"]
+    rows = [(k, f"p{k}/x", "\n".join([prose[k % 4], says[k] if k < len(says) else "nothing", prose[k % 3]])) for k in range(200)]
+    rows += [(200 + k, f"p{k}/LICENSE", t) for k, t in enumerate(says)] + [(300 + k, f"p{k}/y", "code") for k in range(len(says))]
+    monkeypatch.setitem(brute.__globals__, "SIGNS", {w for _, _, t in rows for w in re.findall("[a-z0-9]+", t.lower())})
+    got, want = (sorted(map(tuple, x), key=repr) for x in (licence_scan(spark.createDataFrame(rows, SCHEMA)).collect(), brute(rows)))
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+    assert all(g[3] is w[3] is None or abs(g[3] - w[3]) < 1e-6 for g, w in zip(got, want, strict=True))
+    assert any(g[2] is not None and g[0] < 200 for g in got)

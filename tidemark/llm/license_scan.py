@@ -1,10 +1,11 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-DataFrame functions only. Units are the lines of a file that hold a licence word, wherever they stand in the whole text,
-and the whole text of a licence file. A unit's vector has its words' counts times idf; the idf of template words is
-counted over all files, other words weigh as words of no file. The cosine to each template comes from a join of unit words
-with the templates' weights, a fixed table of a few hundred rows. A file's own licence is that of its best unit, if the
-cosine is at least `threshold`. A file without one takes the licence of the licence file in the nearest directory at or
+DataFrame functions only. Units are all lines of a file and the whole text of a licence file. A unit's vector has its
+words' counts times idf; the idf of template words is counted over all files, other words weigh as words of no file. The
+cosine to a template is at most the norm of the template's weights of shared words, so `gate` derives words of which a line
+that reaches `threshold` holds at least one; other lines needn't be scored. Distinct units are scored once each: the cosine
+to each template comes from a join of unit words with the templates' weights, a fixed table of a few hundred rows. A file's
+own licence is that of its best unit, if the cosine is at least `threshold`. A file without one takes the licence of the licence file in the nearest directory at or
 above its own: files' directories and all above are joined with the directories of licence files, and the deepest wins.
 
 A null text has no own licence. A null path inherits nothing and is returned. Ties go to the smaller licence name, then to
@@ -38,8 +39,6 @@ TEMPLATES = [
     ("MPL-2.0", "This work is subject to the Mozilla Public License, version 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
 ]
-# Words without which no line is taken for a licence statement.
-SIGNS = ["cc0", "copyright", "licence", "licenced", "license", "licensed", "mozilla", "spdx"]
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([.-][^/]*)?$"
 
 
@@ -47,6 +46,29 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def _template_words(text: str) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+
+
+# Words that a unit shares with some template; without any, all its cosines are 0.
+SIGNS = sorted({w for _, text in TEMPLATES for w in _template_words(text)})
+
+
+def gate(vectors: list[dict[str, float]], threshold: float) -> list[str]:
+    """Words of which every unit with a cosine of `threshold` or more to one of the vectors (norm 1) holds at least one:
+    what is left of each vector has a norm below the threshold."""
+    chosen: set[str] = set()
+    for v in vectors:
+        rest = sum(x * x for w, x in v.items() if w not in chosen)
+        for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+            if rest < max(threshold - 1e-6, 0.0) ** 2:
+                break
+            if w not in chosen:
+                chosen.add(w)
+                rest -= x * x
+    return sorted(chosen)
+
+
 def directories(path: Column) -> Column:
     """The directory of a path and all above it, the root as an empty string."""
     parts = F.split(path, "/")
@@ -59,30 +81,33 @@ def licence_scan(files: DataFrame, licence_file: Column | None = None, templates
     is_licence = licence_file if licence_file is not None else files[path_col].rlike(LICENCE_FILE)
     rows = files.select(files[id_col].alias("id"), files[path_col].alias("path"), files[text_col].cast("string").alias("text"), F.coalesce(is_licence, F.lit(False)).alias("grants"))
 
-    split = [(k, name, [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()]) for k, (name, text) in enumerate(templates)]
+    split = [(k, name, _template_words(text)) for k, (name, text) in enumerate(templates)]
     vocabulary = sorted({w for _, _, ws in split for w in ws})
     counts = rows.select(F.explode(F.array_intersect(_words(F.col("text")), F.lit(vocabulary))).alias("w")).groupBy("w").count()
     found = {r["w"]: r["count"] for r in counts.collect()}  # at most the templates' words
     n = rows.count()
     idf = {w: math.log((1 + n) / (1 + found.get(w, 0))) + 1 for w in vocabulary}
     other = math.log(1 + n) + 1
-    weights = []
+    weights, vectors = [], []
     for k, name, ws in split:
         v = {w: ws.count(w) * idf[w] for w in ws}
         norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({w: x / norm for w, x in v.items()})
         weights += [f"({k}, '{name}', '{w}', {x / norm!r}D)" for w, x in v.items()]
     template = spark.sql(f"SELECT * FROM VALUES {', '.join(weights)} AS t(template, licence, w, weight)")
     rarity = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
 
-    sign = F.lit(SIGNS)
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike("(?i)licen[cs]e|copyright|spdx|mozilla|cc0") & F.arrays_overlap(_words(line), sign))
-    units = rows.select("id", "path", F.when(F.col("grants"), F.concat(lines, F.array("text"))).otherwise(lines).alias("units"))
-    words = units.where(F.size("units") > 0).select("id", "path", F.posexplode("units").alias("unit", "u")).select("id", "path", "unit", F.xxhash64("u").alias("hash"), F.explode(_words(F.col("u"))).alias("w"))
-    counted = words.groupBy("id", "path", "unit", "hash", "w").count().withColumn("x", F.col("count") * F.coalesce(rarity[F.col("w")], F.lit(other)))
-    norms = counted.groupBy("id", "path", "unit", "hash").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = counted.join(F.broadcast(template), "w").groupBy("id", "path", "unit", "hash", "template", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    near = dots.join(norms.withColumnRenamed("id", "i").withColumnRenamed("path", "p"), F.col("id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")) & (dots["unit"] == norms["unit"]) & (dots["hash"] == norms["hash"])).select("id", "path", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
-    own = near.where(F.col("score") >= threshold).groupBy("id", "path").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")).select(F.col("id").alias("i"), F.col("path").alias("p"), F.col("best.licence").alias("own"), (-F.col("best.minus")).alias("score"))
+    held = rf"(?<![a-z0-9])(?:{'|'.join(gate(vectors, threshold))})(?![a-z0-9])"
+    lines = F.filter(F.split(F.lower("text"), "\n"), lambda line: line.rlike(held))
+    units = rows.select("id", "path", F.explode(F.array_distinct(F.when(F.col("grants"), F.concat(lines, F.array(F.lower("text")))).otherwise(lines))).alias("u")).withColumn("hash", F.md5("u"))
+    # dealt by hash once: words, norms and products are counted where their unit lies
+    words = units.groupBy("hash").agg(F.first("u").alias("u")).select("hash", F.explode(_words(F.col("u"))).alias("w"))
+    counted = words.groupBy("hash", "w").count().withColumn("x", F.col("count") * F.coalesce(rarity[F.col("w")], F.lit(other)))
+    norms = counted.groupBy("hash").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = counted.join(F.broadcast(template), "w").groupBy("hash", "template", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    near = dots.join(norms, "hash").select("hash", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
+    best = near.groupBy("hash").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best"))
+    own = units.select("id", "path", "hash").join(best, "hash").groupBy("id", "path").agg(F.min("best").alias("best")).select(F.col("id").alias("i"), F.col("path").alias("p"), F.col("best.licence").alias("own"), (-F.col("best.minus")).alias("score"))
 
     base = rows.select("id", "path", "grants").join(own, F.col("id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("i", "p")
     folder = F.regexp_replace("path", "/?[^/]*$", "")
