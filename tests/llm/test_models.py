@@ -37,6 +37,17 @@ def test_language_of_held_out_rows(spark):
     assert sum(r.rejected for i, r in got.items() if i is not None and i < 1000) < 20
 
 
+def test_rare_grams_of_many_languages_are_kept(spark):
+    r = random.Random(5)
+    big = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)) for _ in range(300)]
+    rows = [(i, t, "big") for i, t in enumerate(big)] + [(1000 + 5 * k + j, f"la{j} lo{k}", f"g{k:02}") for k in range(70) for j in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = learn(docs, F.lit(True))
+    full = np.unique(Spelling(big).key)
+    kept = models.models[models.langs.index("big")].levels[-1][0]
+    assert len(kept) >= 0.85 * (_length(full) == 5).sum()
+
+
 def test_no_learning_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in identify(docs, learn(docs, F.lit(True))).collect()] == ["und"]

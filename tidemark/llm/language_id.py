@@ -3,9 +3,8 @@
 Letters are lower-cased and folded to 12-bit classes (code points under 4096 stand for themselves), other characters are
 word boundaries. A model predicts each letter and the boundary after a word from up to four symbols before it, no further
 back than the boundary before the word. The n-grams of all learning rows are counted where they lie, summed by language
-and key range, and only the sums come to the driver: of all languages together about `most_grams`, of each the most frequent, cut
-off where they are summed. A model is
-sorted arrays of 60-bit n-gram keys with discounted shares, and of context keys with back-off weights.
+and key range, and the sums of all of them come to the driver, 16 bytes an n-gram: n-grams are within words, so their number
+grows with the words and scripts of the input and not with its size. A model is sorted arrays of 60-bit n-gram keys with discounted shares, and of context keys with back-off weights.
 
 A text's words are scored once each; its cross-entropy under a language is the mean over its symbols. The least wins;
 `score` is the posterior with a temperature fitted on rows left out of the counts (one learning row in 16, by hash), and
@@ -78,9 +77,8 @@ class Spelling:
         return np.diff(self.first)
 
 
-def gram_counts(docs: DataFrame, most: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, shard, keys, counts (packed): maximal n-grams of all rows, summed where they lie; of each shard the `most`
-    frequent."""
+def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, shard, keys, counts (packed): all maximal n-grams of all rows, summed where they lie."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list] = {}
@@ -106,9 +104,6 @@ def gram_counts(docs: DataFrame, most: int, text_col: str = "text", lang_col: st
 
     def merge(table: pa.Table) -> pa.Table:
         key, n = _sum(np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u8"), np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i8"))
-        if len(key) > most:
-            top = np.sort(np.lexsort((key, -n))[:most])
-            key, n = key[top], n[top]
         return pa.table({"lang": table.column("lang")[:1], "shard": table.column("shard")[:1], "keys": pa.array([key.tobytes()], pa.binary()), "counts": pa.array([n.astype("<i8").tobytes()], pa.binary())})
 
     form = "lang string, shard int, keys binary, counts binary"
@@ -225,13 +220,12 @@ class Models:
                 self.limit[k] = np.quantile(h[y == k, k], keep_share) * 1.05
 
 
-def learn(docs: DataFrame, learning: Column, text_col: str = "text", lang_col: str = "lang", most_grams: int = 1 << 20, calibration_rows: int = 2000, keep_share: float = 0.999) -> Models:
+def learn(docs: DataFrame, learning: Column, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 2000, keep_share: float = 0.999) -> Models:
     """Models of the learning rows that have a label."""
     rows = docs.where(learning & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
     aside = F.pmod(F.xxhash64(docs[text_col]), F.lit(16)) == 0
     found: dict[str, list] = {}
-    langs = rows.agg(F.count_distinct(docs[lang_col])).first()[0]
-    for r in gram_counts(rows.where(~aside), max(1024, most_grams // (SHARDS * max(langs, 1))), text_col, lang_col).collect():
+    for r in gram_counts(rows.where(~aside), text_col, lang_col).collect():
         found.setdefault(r["lang"], []).append((np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")))
     counts = {g: _sum(*map(np.concatenate, zip(*parts, strict=True))) for g, parts in found.items()}
     models = Models({g: c for g, c in counts.items() if len(c[0])})
