@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.language_id import KneserNey, Spelling, _length, identify, learn
+from tidemark.llm.language_id import KneserNey, Models, Spelling, _length, identify, learn
 from tidemark.llm.toxicity import fit_nnpu, keep_clean, score
 from tidemark.llm.toxicity import learn as learn_toxicity
 
@@ -48,6 +48,20 @@ def test_rare_grams_of_many_languages_are_kept(spark):
     assert len(kept) >= 0.85 * (_length(full) == 5).sum()
 
 
+def test_calibration_reads_whole_texts(spark, monkeypatch):
+    """Texts that begin alike and differ after 2000 letters: entropies of the whole ones are what is calibrated on."""
+    head = "kato mira " * 250
+    rows = [(i, head + t * 20, g) for i, t, g in languages(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(Models, "calibrate", lambda self, found, share: seen.append((self, list(found))))
+    learn(docs, F.lit(True))
+    (models, found), = seen
+    whole = {g: models.entropies([t for _, t, x in rows if x == g]) for g in models.langs}
+    assert len(found) > 5
+    assert all(np.isclose(whole[g], h).all(1).any() for g, h in found)
+
+
 def test_no_learning_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in identify(docs, learn(docs, F.lit(True))).collect()] == ["und"]

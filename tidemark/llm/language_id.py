@@ -7,8 +7,8 @@ and key range, and the sums of all of them come to the driver, 16 bytes an n-gra
 grows with the words and scripts of the input and not with its size. A model is sorted arrays of 60-bit n-gram keys with discounted shares, and of context keys with back-off weights.
 
 A text's words are scored once each; its cross-entropy under a language is the mean over its symbols. The least wins;
-`score` is the posterior with a temperature fitted on rows left out of the counts (one learning row in 16, by hash), and
-`rejected` tells that the cross-entropy is above what `keep_share` of those rows stay under. A text that is null or has no
+`score` is the posterior with a temperature fitted on the whole texts of rows left out of the counts (one learning row in 16, by
+hash), and `rejected` tells that the cross-entropy is above what `keep_share` of those rows stay under. A text that is null or has no
 letter is `und` with score 0. Learning rows need a label; without any, all texts are `und`. An empty table gives no rows.
 """
 
@@ -201,11 +201,11 @@ class Models:
             out[a + rows] = total / size[:, None]
         return out
 
-    def calibrate(self, rows: list[tuple[str, str]], keep_share: float) -> None:
-        """Temperature of greatest likelihood, and each language's limit, from (lang, text)."""
+    def calibrate(self, rows: list[tuple[str, list[float]]], keep_share: float) -> None:
+        """Temperature of greatest likelihood, and each language's limit, from (lang, entropies)."""
         rows = [r for r in rows if r[0] in self.langs]
-        h = self.entropies([t for _, t in rows]) if rows else np.empty((0, len(self.langs)))
-        ok = ~np.isnan(h).any(1) if len(h) else np.zeros(0, bool)
+        h = np.array([h for _, h in rows]).reshape(len(rows), len(self.langs))
+        ok = ~np.isnan(h).any(1)
         if not ok.any():
             return
         h, y = h[ok], np.array([self.langs.index(g) for g, _ in rows])[ok]
@@ -220,6 +220,20 @@ class Models:
                 self.limit[k] = np.quantile(h[y == k, k], keep_share) * 1.05
 
 
+def _held_entropies(rows: DataFrame, models: Models, text_col: str, lang_col: str) -> list[tuple[str, list[float]]]:
+    """Label and entropies of each distinct whole text; texts stay where they lie."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = shared.value.entropies(batch.column(1).to_pylist())
+            release()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(h.tolist(), pa.list_(pa.float64()))], ["lang", "name", "h"])
+
+    found = rows.select(rows[lang_col].cast("string"), rows[text_col].cast("string"), F.xxhash64(rows[text_col])).mapInArrow(run, "lang string, name long, h array<double>")
+    return [(r["lang"], r["h"]) for r in found.dropDuplicates(["lang", "name"]).collect()]
+
+
 def learn(docs: DataFrame, learning: Column, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 2000, keep_share: float = 0.999) -> Models:
     """Models of the learning rows that have a label."""
     rows = docs.where(learning & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
@@ -230,8 +244,10 @@ def learn(docs: DataFrame, learning: Column, text_col: str = "text", lang_col: s
     counts = {g: _sum(*map(np.concatenate, zip(*parts, strict=True))) for g, parts in found.items()}
     models = Models({g: c for g, c in counts.items() if len(c[0])})
     if models.langs:
-        held = rows.where(aside).select(docs[lang_col].cast("string"), F.substring(docs[text_col].cast("string"), 1, 2000)).orderBy(F.xxhash64(docs[text_col], F.lit(1))).limit(calibration_rows)
-        models.calibrate([tuple(r) for r in held.collect()], keep_share)
+        place = F.xxhash64(docs[text_col], F.lit(1))
+        last = rows.where(aside).select(place.alias("p")).distinct().orderBy("p").limit(calibration_rows).agg(F.max("p")).first()[0]
+        if last is not None:
+            models.calibrate(_held_entropies(rows.where(aside & (place <= last)), models, text_col, lang_col), keep_share)
     return models
 
 
