@@ -62,6 +62,16 @@ def test_calibration_reads_whole_texts(spark, monkeypatch):
     assert all(np.isclose(whole[g], h).all(1).any() for g, h in found)
 
 
+def test_all_learning_rows_are_counted(spark):
+    """Also those that calibrate, and languages of one text each."""
+    rows = [*languages(2), *((1000 + k, f"bu{chr(97 + k % 26)}{chr(97 + k // 26)} wo", f"g{k:02}") for k in range(60))]
+    models = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert models.langs == sorted({g for _, _, g in rows})
+    for g, model in zip(models.langs, models.models, strict=True):
+        full = np.unique(Spelling([t for _, t, x in rows if x == g]).key)
+        assert model.levels[-1][0].tolist() == full[_length(full) == 5].tolist()
+
+
 def test_no_learning_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in identify(docs, learn(docs, F.lit(True))).collect()] == ["und"]

@@ -7,8 +7,9 @@ and key range, and the sums of all of them come to the driver, 16 bytes an n-gra
 grows with the words and scripts of the input and not with its size. A model is sorted arrays of 60-bit n-gram keys with discounted shares, and of context keys with back-off weights.
 
 A text's words are scored once each; its cross-entropy under a language is the mean over its symbols. The least wins;
-`score` is the posterior with a temperature fitted on the whole texts of rows left out of the counts (one learning row in 16, by
-hash), and `rejected` tells that the cross-entropy is above what `keep_share` of those rows stay under. A text that is null or has no
+`score` is the posterior with a temperature fitted on the whole texts of at most `calibration_rows` learning texts (of one in 16, by
+hash) under models that don't count them, and `rejected` tells that the cross-entropy is above what `keep_share` of them stay
+under; then their counts are added, so the final models count all learning rows. A text that is null or has no
 letter is `und` with score 0. Learning rows need a label; without any, all texts are `und`. An empty table gives no rows.
 """
 
@@ -234,20 +235,33 @@ def _held_entropies(rows: DataFrame, models: Models, text_col: str, lang_col: st
     return [(r["lang"], r["h"]) for r in found.dropDuplicates(["lang", "name"]).collect()]
 
 
-def learn(docs: DataFrame, learning: Column, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 2000, keep_share: float = 0.999) -> Models:
-    """Models of the learning rows that have a label."""
-    rows = docs.where(learning & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    aside = F.pmod(F.xxhash64(docs[text_col]), F.lit(16)) == 0
+def _gathered(rows: DataFrame, text_col: str, lang_col: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Each language's n-grams and counts, sorted."""
     found: dict[str, list] = {}
-    for r in gram_counts(rows.where(~aside), text_col, lang_col).collect():
+    for r in gram_counts(rows, text_col, lang_col).collect():
         found.setdefault(r["lang"], []).append((np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")))
     counts = {g: _sum(*map(np.concatenate, zip(*parts, strict=True))) for g, parts in found.items()}
-    models = Models({g: c for g, c in counts.items() if len(c[0])})
-    if models.langs:
-        place = F.xxhash64(docs[text_col], F.lit(1))
-        last = rows.where(aside).select(place.alias("p")).distinct().orderBy("p").limit(calibration_rows).agg(F.max("p")).first()[0]
-        if last is not None:
-            models.calibrate(_held_entropies(rows.where(aside & (place <= last)), models, text_col, lang_col), keep_share)
+    return {g: c for g, c in counts.items() if len(c[0])}
+
+
+def learn(docs: DataFrame, learning: Column, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 2000, keep_share: float = 0.999) -> Models:
+    """Models of the learning rows that have a label."""
+    rows = docs.where(learning & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
+    sixteenth, place = F.pmod(F.xxhash64(docs[text_col]), F.lit(16)) == 0, F.xxhash64(docs[text_col], F.lit(1))
+    last = rows.where(sixteenth).select(place.alias("p")).distinct().orderBy("p").limit(calibration_rows).agg(F.max("p")).first()[0]
+    if last is None:
+        return Models(_gathered(rows, text_col, lang_col))
+    aside = sixteenth & (place <= last)
+    counts, held = _gathered(rows.where(~aside), text_col, lang_col), rows.where(aside)
+    without = Models(counts)
+    if without.langs:
+        without.calibrate(_held_entropies(held, without, text_col, lang_col), keep_share)
+    temperature, limit = without.temperature, dict(zip(without.langs, without.limit.tolist(), strict=True))
+    del without
+    for g, more in _gathered(held, text_col, lang_col).items():
+        counts[g] = _sum(*map(np.concatenate, zip(counts[g], more, strict=True))) if g in counts else more
+    models = Models(counts)
+    models.temperature, models.limit = temperature, np.array([limit.get(g, np.inf) for g in models.langs])
     return models
 
 
