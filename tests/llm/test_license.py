@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+from tidemark.llm import license_scan
 from tidemark.llm.license_scan import SIGNS, TEMPLATES, licence_scan
 
 SCHEMA = "doc_id long, path string, text string"
@@ -95,3 +96,21 @@ def test_lines_without_licence_words_are_scored(spark, monkeypatch):
     assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
     assert all(g[3] is w[3] is None or abs(g[3] - w[3]) < 1e-6 for g, w in zip(got, want, strict=True))
     assert any(g[2] is not None and g[0] < 200 for g in got)
+
+
+def test_real_texts_and_headers(spark):
+    mit, apache, gpl = (open(f"{license_scan.__file__.rpartition('/')[0]}/licences/{n}.txt").read() for n in ("MIT", "Apache-2.0", "GPL-3.0"))
+    gnu = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    rows = [
+        (1, "m/LICENSE", mit.replace("MIT License\n", "MIT License\n\nCopyright (c) 2026 Some Body\n", 1)),
+        (2, "m/x.py", "code"),
+        (3, "a/LICENSE.txt", apache),
+        (4, "g/COPYING", gpl),
+        (5, "h/a.py", "".join(f"# {x}\n" for x in gnu.split("\n")) + "import os\nprint(1)"),
+        (6, "h/b.c", "/* " + gnu.replace("\n", "\n * ") + "\n */\nint x;"),
+        (7, "h/c.rs", "// SPDX-License-Identifier: BSD-3-Clause\nfn main() {}"),
+        (8, "h/d.py", "".join(f"# {x}\n" for x in mit.split("\n")) + "import os"),
+        (9, "h/e.py", "import os\nprint(1)"),
+    ]
+    got = {r.doc_id: r.licence for r in licence_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "GPL-3.0", 5: "GPL-3.0", 6: "GPL-3.0", 7: "BSD-3-Clause", 8: "MIT", 9: None}
