@@ -88,7 +88,7 @@ class RunIndex:
             key = rank.astype(np.uint64) << np.uint64(32) | later.astype(np.uint64)
             depth *= 2
         self.order = order if new.all() else np.argsort(rank, kind="stable")  # equal suffixes by place
-        before = np.where(np.isin(np.arange(n), off[:-1]), -1 - np.arange(n), np.r_[0, data[:-1]].astype(np.int64))[order]
+        before = np.where(np.isin(np.arange(n), off[:-1]), -1 - np.arange(n), np.r_[0, data[:-1]].astype(np.int64))[self.order]
         self.heads = np.ones(n, bool)
         self.heads[1:] = before[1:] != before[:-1]
         self.runs = int(self.heads.sum())
