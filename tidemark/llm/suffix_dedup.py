@@ -4,13 +4,14 @@ A repeat of `width` bytes is found where it is anchored: every window of `width`
 fingerprints of the `GRAM`-byte strings in it (the leftmost of equal ones), so equal windows name equal anchors at equal
 places. The consecutive windows of one anchor make a fragment of less than 2 x width bytes.
 
-Pass A: buckets answer which anchors occur more than once, and which more than `HOT` times. Pass B: each group sends the
-distinct fragments of its repeated anchors with their texts. A bucket indexes the fragments of anchors that differ: it
+Pass A: buckets answer which anchors occur more than once, and which bring more than `HOT` fragments to a bucket. Pass B:
+each group sends the distinct fragments of its repeated anchors with their texts and numbers. A bucket indexes them: it
 builds their suffix order, run-compresses the Burrows-Wheeler transform, measures common prefixes at the ends of runs
-only, and streams matching statistics from those samples along the text (inside a run they fall by one a byte); windows
-whose longest match elsewhere has `width` bytes are marked, and so are fragments that occur twice as a whole. Anchors of
-more than `HOT` places may have fragments without bound, which no single task may gather: their windows are counted one by
-one by fingerprint, spread over all buckets and summed in each group before. Pass C removes. See `exchange`.
+only, and streams matching statistics from those samples along the text (inside a run they fall by one a byte). Copies of a
+fragment lie in the runs of the first, as numbers; the match of a place in a copied one is all that is left of it. Windows
+whose longest match elsewhere has `width` bytes are marked. An anchor of more than `HOT` fragments (those of a group that
+are alike count once) may have them without bound, which no single task may gather: its windows are counted one by one by
+fingerprint, spread over all buckets and summed in each group before. Pass C removes. See `exchange`.
 
 Null text: empty. Null or repeated doc_ids: each row is a document. Texts under `width` bytes: kept. An empty table gives
 no rows.
@@ -28,17 +29,18 @@ from tidemark.llm.text import byte_sums, covered, mix, stretch, whole_windows, w
 
 PART_BYTES = 1 << 16
 GRAM = 48
-HOT = 64
+HOT = 1024
 INDEX_BYTES = 1 << 18
 
 
 def minimizers(data: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each fragment: its first byte, its number of windows, its anchor."""
+    """Of each fragment: its first byte, its number of windows, its anchor, its fingerprint."""
     start = whole_windows(off, width)
     none = np.empty(0, np.int64)
     if not len(start):
-        return none, none, np.empty(0, np.uint64)
-    prints = windows(byte_sums(data), gram)
+        return none, none, np.empty(0, np.uint64), np.empty(0, np.uint64)
+    sums = byte_sums(data)
+    prints = windows(sums, gram)
     low = np.uint64((1 << int(len(prints)).bit_length()) - 1)
     least = prints & ~low | np.arange(len(prints), dtype=np.uint64)
     span, have = width - gram + 1, 1
@@ -52,7 +54,9 @@ def minimizers(data: np.ndarray, off: np.ndarray, width: int, gram: int) -> tupl
     new = np.ones(len(start), bool)
     new[1:] = (at[1:] != at[:-1]) | (np.diff(start) != 1)
     first = np.flatnonzero(new)
-    return start[first], np.diff(np.r_[first, len(start)]), mix(prints[at[first]], 3)  # least values aren't spread
+    n = np.diff(np.r_[first, len(start)])
+    # least values aren't spread
+    return start[first], n, mix(prints[at[first]], 3), stretch(sums, start[first], start[first] + n + width - 1)
 
 
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -61,11 +65,13 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """The run-compressed Burrows-Wheeler transform of texts laid end to end, none matching beyond its end."""
+    """The run-compressed Burrows-Wheeler transform of texts laid end to end, none matching beyond its end. copied: which
+    of them occur more than once; a copy lengthens runs and makes none."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, off: np.ndarray, copied: np.ndarray | None = None) -> None:
         n = len(data)
         self.data = data
+        self.copied = np.zeros(n, bool) if copied is None else np.repeat(copied, np.diff(off))
         self.rest = np.repeat(off[1:], np.diff(off)) - np.arange(n)
         self.ranks: list[tuple[int, np.ndarray]] = []
         padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -113,7 +119,7 @@ class RunIndex:
     def statistics(self) -> np.ndarray:
         """For each place the length of the longest match that begins elsewhere: sampled at the ends of runs."""
         n = len(self.order)
-        out = np.zeros(n, np.int64)
+        out = np.where(self.copied, self.rest, 0)
         if n < 2:
             return out
         places = np.arange(n)
@@ -139,8 +145,19 @@ class _Group:
         self.parts = [(ids, data, off, *minimizers(data, off, width, gram)) for ids, data, off, *_ in ex.parts(table, PART_BYTES)]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors and their numbers of places in the group, up to 255."""
-        return (lambda k: (k[0], np.minimum(k[1], 255).astype(np.uint8)))(np.unique(np.concatenate([np.empty(0, np.uint64), *(p[5] for p in self.parts)]), return_counts=True))
+        """Distinct anchors; twice the number of their distinct fragments in the group, up to 32767, and 1 if one of them is there
+        again."""
+        key, prints = (np.concatenate([np.empty(0, np.uint64), *(p[k] for p in self.parts)]) for k in (5, 6))
+        order = np.lexsort((prints, key))
+        key, prints = key[order], prints[order]
+        new, fresh = np.ones(len(key), bool), np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        fresh[1:] = new[1:] | (prints[1:] != prints[:-1])
+        first = np.flatnonzero(new)
+        if not len(first):
+            return key, np.empty(0, np.uint16)
+        places, kinds = np.diff(np.r_[first, len(key)]), np.add.reduceat(fresh.astype(np.int64), first)
+        return key[first], (2 * np.minimum(kinds, 32767) + (places > kinds)).astype(np.uint16)
 
     def told(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Anchors that are repeated but not hot, and hot ones."""
@@ -154,12 +171,11 @@ class _Group:
         """By part (fragment numbers, their entries); of each distinct fragment: anchor, fingerprint, count, windows,
         and all texts end to end."""
         picked, key, prints, count, texts = [], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
-        for _, data, _, start, n, anchor in self.parts:
+        for _, data, _, start, n, anchor, mine in self.parts:
             at = np.flatnonzero(ex.member(anchors, anchor)[0])
-            sums = byte_sums(data) if len(at) else np.zeros(1, np.uint64)
             picked.append(at)
             key.append(anchor[at])
-            prints.append(stretch(sums, start[at], start[at] + n[at] + self.width - 1))
+            prints.append(mine[at])
             count.append(n[at])
             texts.append(gather(data, start[at], n[at] + self.width - 1))
         key, prints, count = map(np.concatenate, (key, prints, count))
@@ -180,7 +196,7 @@ class _Group:
         """By part the windows at hot anchors and their fingerprints; distinct fingerprints, and whether the group has
         more than one of each."""
         picked = []
-        for _, data, _, start, n, anchor in self.parts:
+        for _, data, _, start, n, anchor, _ in self.parts:
             hit = ex.member(anchors, anchor)[0]
             sums = byte_sums(data) if hit.any() else np.zeros(1, np.uint64)
             s, k = start[hit], n[hit]
@@ -202,22 +218,16 @@ def repeated(key: np.ndarray, prints: np.ndarray, count: np.ndarray, n: np.ndarr
     total = np.add.reduceat(count[order], first)
     size = n + width - 1
     at = np.cumsum(size) - size
-    marks = [np.full(k, t > 1) for k, t in zip(n[rep].tolist(), total.tolist(), strict=True)]
-    anchor = key[rep]
-    _, back, fellows = np.unique(anchor, return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(fellows[back] > 1)
-    ends = np.cumsum(size[rep[mixed]])
-    a = 0
-    while a < len(mixed):  # whole anchors, about INDEX_BYTES at a time
-        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + INDEX_BYTES, "right"))
-        b = max(b, a + 1)
-        b = int(np.searchsorted(anchor[mixed], anchor[mixed[b - 1]], "right"))
-        mine = rep[mixed[a:b]]
+    anchor, ends = key[rep], np.cumsum(size[rep])
+    marks: list[np.ndarray] = []
+    while len(marks) < len(rep):  # whole anchors, about INDEX_BYTES at a time
+        a = len(marks)
+        b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + INDEX_BYTES, "right")), a + 1)
+        b = int(np.searchsorted(anchor, anchor[b - 1], "right"))
+        mine = rep[a:b]
         off = np.r_[0, np.cumsum(size[mine])]
-        found = RunIndex(gather(text, at[mine], size[mine]), off).statistics() >= width
-        for e, o in zip(mixed[a:b].tolist(), off.tolist(), strict=False):
-            marks[e] = marks[e] | found[o : o + len(marks[e])]
-        a = b
+        found = RunIndex(gather(text, at[mine], size[mine]), off, total[a:b] > 1).statistics() >= width
+        marks += [found[o : o + k] for o, k in zip(off.tolist(), n[mine].tolist(), strict=False)]
     return np.concatenate([marks[e] for e in entry.tolist()]) if len(entry) else np.empty(0, bool)
 
 
@@ -245,14 +255,15 @@ def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, g
 
     def name(grp: int, table: pa.Table) -> list[tuple]:
         keys, count = _Group(table, width, gram).anchors()
-        return ex.send(grp, 0, keys, buckets, lambda a, b: count[a:b].tobytes())
+        return ex.send(grp, 0, keys, buckets, lambda a, b: count[a:b].astype("<u2").tobytes())
 
     def shared(table: pa.Table) -> list[tuple]:
         heads, keys, _, extras = ex.gathered(table)
         order, at, run = ex.by_key(keys)
-        total = np.add.reduceat(np.frombuffer(b"".join(extras), np.uint8).astype(np.int64)[order], at)
+        told = np.frombuffer(b"".join(extras), "<u2").astype(np.int64)[order]
+        total, again = np.add.reduceat(told >> 1, at), np.logical_or.reduceat(told & 1 > 0, at)
         many, most = np.empty(len(keys), bool), np.empty(len(keys), bool)
-        many[order], most[order] = (total > 1)[run], (total > hot)[run]
+        many[order], most[order] = (again | (total > 1))[run], (total > hot)[run]
         return ex.answers(heads, many, most)
 
     def evidence(grp: int, table: pa.Table, told: pa.Table) -> pa.Table:
@@ -299,7 +310,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, g
         marks, again = ex.bits(told, 2), ex.bits(told, 3)
         first = np.cumsum(n) - n
         out = []
-        for (ids, data, off, start, size, _), (at, entry), (win, prints) in zip(group.parts, by_part, picked, strict=True):
+        for (ids, data, off, start, size, *_), (at, entry), (win, prints) in zip(group.parts, by_part, picked, strict=True):
             k = size[at]
             shift = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             yes = marks[np.repeat(first[entry], k) + shift] if len(k) else np.empty(0, bool)
