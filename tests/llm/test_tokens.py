@@ -97,3 +97,36 @@ def test_open_windows_are_bounded():
     n = sum(len(x[3]) for _ in range(500) for w in packer.place((0, 0, 40, np.zeros(40, np.uint32))) for x in w)
     assert packer.open <= 20
     assert n + sum(len(x[3]) for w in packer.pour() for x in w) == 500 * 40
+
+
+def test_levels_close_most_windows_whatever_the_tasks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(32)
+    out = pack(docs, PATH).toPandas()
+    by = out.groupby("closed_by").length.sum() / out.length.sum()
+    assert by["whole"] + by["level"] > 0.85
+    fill = out.groupby("sequence_id").length.sum()
+    assert all(f & (f - 1) == 0 for f in fill)
+    assert (fill < 2048).sum() <= 11
+    # a document of full windows needs one cut for each; remainders are whole but for those that fill the last gaps
+    short = out[out.doc_tokens < 2048].groupby("doc_id").size()
+    assert (short > 1).mean() < 0.01
+
+
+def test_pour_cuts_few_items():
+    r = np.random.default_rng(1)
+    packer = LevelPacker(256)
+    sizes = r.integers(1, 256, 3000)
+    closed = [w for k, s in enumerate(sizes) for w in packer.place((k, 0, int(s), np.arange(s, dtype=np.uint16)))]
+    opened = [x[0] for ws in packer.windows.values() for w in ws for x in w]
+    rest = list(packer.pour())
+    size = [sum(len(x[3]) for x in w) for w in rest]
+    assert size[: len(size) - sum(s < 256 for s in size)] == [256] * sum(s == 256 for s in size)
+    assert len({s for s in size if s < 256}) == sum(s < 256 for s in size)
+    pieces = [x for w in rest for x in w]
+    assert sorted({x[0] for x in pieces}) == sorted(opened)
+    whole = sum(len(x[3]) == sizes[x[0]] for x in pieces)
+    assert whole > 0.8 * len(opened)
+    assert sum(len(x[3]) for w in [*closed, *rest] for x in w) == sizes.sum()
+    for k in opened:
+        mine = sorted((x[1], len(x[3])) for x in pieces if x[0] == k)
+        assert [a for a, _ in mine] == [0, *np.cumsum([n for _, n in mine])[:-1].tolist()]
