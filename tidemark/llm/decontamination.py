@@ -1,9 +1,10 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Each byte-balanced batch of documents is a shard: its word suffixes, cut at the window width, are sorted into a suffix
-array, and every benchmark window is binary-searched in it, which gives all places of all verbatim matches. A suffix
-whose first two words don't follow each other anywhere in the benchmark can't be found and is left out of the array.
-Neighbouring hits on one diagonal join to the longest matches (`matches`).
+Each byte-balanced batch of documents is a shard. Its word suffixes, in the order of their first `width` words, are its
+suffix array; those that begin with a word that no test has match nothing and are left out. Every test suffix of at least
+`width` words (an item of fewer words: the whole item) is binary-searched in it; the range found holds all places of
+verbatim matches, and each is followed word by word to its longest. Words in a longest match are hit, items with one are
+counted; `matches` gives the longest matches and their places, `clean` drops the documents that hold one.
 
 The benchmark is broadcast only in blocks of at most `BLOCK_BYTES` of text; a larger one takes one map per block, each
 handing on what it has found. No shuffle.
@@ -28,10 +29,11 @@ from tidemark.llm.text import ALNUM_WORD, Words, by_bytes, flat, release
 
 BLOCK_BYTES = 32 << 20
 SHARD_BYTES = 1 << 17
+MATCHES = 1 << 18
 
 
 class Tests:
-    """Distinct benchmark windows as packed word numbers, and the items of each."""
+    """The test suffixes: distinct first words as packed word numbers, where they stand in the items, and the items' words."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int) -> None:
         self.width = width
@@ -57,16 +59,15 @@ class Tests:
         self.item, owner = item[at], back.ravel()[at]
         self.first = np.searchsorted(owner, np.arange(len(self.rows) + 1))
         self.item_id = np.array([i for i, _ in items], object)
-        self.place = start - words.first[item]  # of each window in its item, in the order of self.item
-        self.place = self.place[at]
+        self.word = np.append(word, 0)  # the items' words end to end
+        self.start = start[at]  # of each suffix in them, in the order of self.item
+        self.end = words.first[1:][self.item]
+        self.place = self.start - words.first[:-1][self.item]  # in its item
         self.low = self.pack(self.rows)
         top = self.rows.copy()
         for j in range(width):
             top[self.length <= j, j] = (1 << self.bits) - 1
         self.high = self.pack(top)
-        pairs = self.rows[self.length > 1][:, :2] if width > 1 else np.zeros((0, 2), np.int64)
-        self.pairs = np.unique(pairs[:, 0] << 32 | pairs[:, 1])
-        self.single = np.unique(self.rows[self.length == 1][:, 0])
 
     def pack(self, rows: np.ndarray) -> list[np.ndarray]:
         out = []
@@ -93,36 +94,45 @@ def _bound(keys: list[np.ndarray], query: list[np.ndarray], after: bool) -> np.n
     return lo
 
 
-def find(words: Words, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
-    """Word places where benchmark windows occur, and those windows, by a suffix array of one shard."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
+def find(words: Words, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By a suffix array of one shard: its words' numbers, word places where the first words of a test suffix occur, and
+    those first words."""
+    none = np.empty(0, np.int64)
     n = len(words.name)
     if not n or not len(tests.rows):
-        return none
+        return none, none, none
     near = np.searchsorted(tests.vocabulary, words.name)
     near[near == len(tests.vocabulary)] = 0
-    word = np.where(tests.vocabulary[near] == words.name, near + 1, 0)
+    word = np.append(np.where(tests.vocabulary[near] == words.name, near + 1, 0), 0)
     end = np.repeat(words.first[1:], words.counts)
-    two = np.flatnonzero((word[:-1] > 0) & (word[1:] > 0) & (end[:-1] > np.arange(1, n)))
-    pair = word[two] << 32 | word[two + 1]
-    at = np.searchsorted(tests.pairs, pair)
-    at[at == len(tests.pairs)] = 0
-    starts = two[tests.pairs[at] == pair] if len(tests.pairs) else two[:0]
-    if len(tests.single):
-        starts = np.union1d(starts, np.flatnonzero(np.isin(word, tests.single)))
-    if not len(starts):
-        return none
-    suffix = np.zeros((len(starts), tests.width), np.int64)
-    for j in range(tests.width):
-        have = starts + j < end[starts]
-        suffix[have, j] = word[starts[have] + j]
+    starts = np.flatnonzero(word)
+    # packed keys of the first words; behind a document's end stands 0
+    left = end[starts] - starts
+    suffix = np.where(np.arange(tests.width) < left[:, None], word[np.minimum(starts[:, None] + np.arange(tests.width), n)], 0)
     keys = tests.pack(suffix)
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     lo, hi = _bound(keys, tests.low, False), _bound(keys, tests.high, True)
     count = np.maximum(hi - lo, 0)
     window = np.repeat(np.arange(len(lo)), count)
-    return starts[order[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())]], window
+    return word, starts[order[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())]], window
+
+
+def longest(words: Words, tests: Tests, word: np.ndarray, place: np.ndarray, window: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, test suffixes and numbers of words of the longest matches, bounded numbers of them at a time."""
+    owners = np.diff(tests.first)[window]
+    end = np.repeat(words.first[1:], words.counts)
+    for a, b in by_bytes(owners, MATCHES):
+        n, w = owners[a:b], window[a:b]
+        at, size = np.repeat(place[a:b], n), np.repeat(tests.length[w], n)
+        k = np.repeat(tests.first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        most = np.minimum(end[at] - at, tests.end[k] - tests.start[k])
+        going = np.flatnonzero(size < most)
+        while len(going):
+            going = going[word[at[going] + size[going]] == tests.word[tests.start[k[going]] + size[going]]]
+            size[going] += 1
+            going = going[size[going] < most[going]]
+        yield at, k, size
 
 
 def _blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> list[Tests]:
@@ -133,7 +143,7 @@ def _blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> lis
     return [Tests([tuple(r) for r in items.where(block == k).collect()], width) for k in range(n)]
 
 
-def _hits(batch: pa.Array, tests: Tests) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray]]:
+def _hits(batch: pa.Array, tests: Tests) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray, np.ndarray]]:
     data, off = flat(batch)
     for a, b in by_bytes(np.diff(off), SHARD_BYTES):
         words = Words(data[off[a] : off[b]], off[a : b + 1] - off[a], ALNUM_WORD, fold=True)
@@ -141,13 +151,6 @@ def _hits(batch: pa.Array, tests: Tests) -> Iterator[tuple[int, int, Words, np.n
     release()
 
 
-def _marks(words: Words, tests: Tests, at: np.ndarray, window: np.ndarray) -> np.ndarray:
-    step = np.zeros(len(words.name) + 1, np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + tests.length[window], -1)
-    return np.cumsum(step[:-1]) > 0
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the items themselves (item_ids), per document."""
     blocks = [docs.sparkSession.sparkContext.broadcast(t) for t in _blocks(benchmark, width, item_col, item_text_col)]
@@ -162,13 +165,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
             for batch in batches:
                 before, had = batch.column(2).to_pylist(), batch.column(3).to_pylist()
                 rows = []
-                for a, b, words, at, window in _hits(batch.column(1), tests):
-                    marked = _marks(words, tests, at, window)
-                    doc = np.searchsorted(words.first, at, "right") - 1
-                    pairs = {(d, w) for d, w in zip(doc.tolist(), window.tolist(), strict=True)}
+                for a, b, words, *found in _hits(batch.column(1), tests):
+                    step = np.zeros(len(words.name) + 1, np.int64)
                     items: dict[int, set] = {}
-                    for d, w in pairs:
-                        items.setdefault(d, set()).update(tests.item_id[tests.item[tests.first[w] : tests.first[w + 1]]])
+                    for at, suffix, size in longest(words, tests, *found):
+                        np.add.at(step, at, 1)
+                        np.add.at(step, at + size, -1)
+                        doc = np.searchsorted(words.first, at, "right") - 1
+                        for key in np.unique(doc * len(tests.item_id) + tests.item[suffix]).tolist():
+                            d, i = divmod(key, len(tests.item_id))
+                            items.setdefault(d, set()).add(tests.item_id[i])
+                    marked = np.cumsum(step[:-1]) > 0
                     for d in range(b - a):
                         mine = marked[words.first[d] : words.first[d + 1]]
                         if before[a + d] is not None:
@@ -197,7 +204,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
-                for a, _, words, at, _ in _hits(batch.column(place), shared.value):
+                for a, _, words, _, at, _ in _hits(batch.column(place), shared.value):
                     good[a + np.searchsorted(words.first, at, "right") - 1] = False
                 yield pc.filter(batch, pa.array(good))
 
@@ -217,20 +224,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str
             tests = shared.value
             for batch in batches:
                 ids = batch.column(0)
-                for a, _, words, at, window in _hits(batch.column(1), tests):
-                    n = np.diff(tests.first)[window]
-                    place, long = np.repeat(at, n), np.repeat(tests.length[window], n)
-                    k = np.repeat(tests.first[window] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                for a, _, words, *found in _hits(batch.column(1), tests):
+                    place, suffix, long = (np.concatenate(c) for c in zip(*longest(words, tests, *found), strict=True)) if len(found[1]) else [np.empty(0, np.int64)] * 3
                     doc = np.searchsorted(words.first, place, "right") - 1
-                    item, word = tests.item[k], tests.place[k]
+                    item, word = tests.item[suffix], tests.place[suffix]
                     order = np.lexsort((place, place - word, item, doc))
                     doc, item, word, place, long = (x[order] for x in (doc, item, word, place, long))
-                    new = np.ones(len(doc), bool)
+                    new = np.ones(len(doc), bool)  # a match that begins a word later on the same diagonal is part of it
                     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(place - word) != 0) | (np.diff(place) != 1)
                     s = np.flatnonzero(new)
-                    e = np.append(s[1:], len(doc))[: len(s)] - 1
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(a + doc[s])), pa.array(tests.item_id[item[s]].tolist(), pa.string()), pa.array(place[s] - words.first[doc[s]]), pa.array(word[s]), pa.array(place[e] + long[e] - place[s])],
+                        [ids.take(pa.array(a + doc[s])), pa.array(tests.item_id[item[s]].tolist(), pa.string()), pa.array(place[s] - words.first[doc[s]]), pa.array(word[s]), pa.array(long[s])],
                         ["doc_id", "item_id", "doc_word", "item_word", "n_words"],
                     )
 
