@@ -76,6 +76,12 @@ def test_scan_and_inheritance(spark):
     assert by[12][5] == "a/z/LICENSE"
 
 
+def test_rows_that_share_id_and_path(spark):
+    rows = [(1, "a/x.py", "Released under the MIT License."), (1, "a/x.py", "print(1)"), (1, "a/x.py", None), (2, "b/x.py", "code"), (2, "b/x.py", "code"), (None, None, "Licensed under CC BY 4.0."), (None, None, "x")]
+    got = sorted(map(tuple, licence_scan(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "path", "licence").collect()), key=repr)
+    assert got == sorted([(1, "a/x.py", "MIT"), (1, "a/x.py", None), (1, "a/x.py", None), (2, "b/x.py", None), (2, "b/x.py", None), (None, None, "CC-BY-4.0"), (None, None, None)], key=repr)
+
+
 def test_main_path_is_native(spark):
     plan = licence_scan(spark.createDataFrame(ROWS, SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

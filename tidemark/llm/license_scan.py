@@ -96,6 +96,7 @@ def licence_scan(files: DataFrame, licence_file: Column | None = None, templates
     spark = files.sparkSession
     is_licence = licence_file if licence_file is not None else files[path_col].rlike(LICENCE_FILE)
     rows = files.select(files[id_col].alias("id"), files[path_col].alias("path"), files[text_col].cast("string").alias("text"), F.coalesce(is_licence, F.lit(False)).alias("grants"))
+    rows = rows.withColumn("print", F.xxhash64("text"))  # with id and path it tells rows apart; rows alike in all have one answer
 
     split = [(k, name, _template_words(text)) for k, (name, text) in enumerate(templates)]
     vocabulary = sorted({w for _, _, ws in split for w in ws})
@@ -121,7 +122,7 @@ def licence_scan(files: DataFrame, licence_file: Column | None = None, templates
     blocks = F.concat(F.split(low, r"\n(?:[^a-z0-9\n]*\n)+"), comments, F.regexp_extract_all(low, F.lit(r"(?s)/\*.*?\*/"), 0))
     parts = F.filter(F.concat(F.split(low, "\n"), F.filter(blocks, lambda u: F.contains(u, F.lit("\n")))), lambda u: u.rlike(held))
     parts = F.when(low.rlike(held), parts).otherwise(F.array().cast("array<string>"))
-    units = rows.select("id", "path", F.explode(F.array_distinct(F.when(F.col("grants"), F.concat(parts, F.array(low))).otherwise(parts))).alias("u")).withColumn("hash", F.md5("u"))
+    units = rows.select("id", "path", "print", F.explode(F.array_distinct(F.when(F.col("grants"), F.concat(parts, F.array(low))).otherwise(parts))).alias("u")).withColumn("hash", F.md5("u"))
     # dealt by hash once: words, norms and products are counted where their unit lies
     words = units.groupBy("hash").agg(F.first("u").alias("u")).select("hash", F.explode(_words(F.col("u"))).alias("w"))
     counted = words.groupBy("hash", "w").count().join(F.broadcast(rarity), "w", "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(other)))
@@ -129,9 +130,11 @@ def licence_scan(files: DataFrame, licence_file: Column | None = None, templates
     dots = counted.join(F.broadcast(template), "w").groupBy("hash", "template", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     near = dots.join(norms, "hash").select("hash", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
     best = near.groupBy("hash").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best"))
-    own = units.select("id", "path", "hash").join(best, "hash").groupBy("id", "path").agg(F.min("best").alias("best")).select(F.col("id").alias("i"), F.col("path").alias("p"), F.col("best.licence").alias("own"), (-F.col("best.minus")).alias("score"))
+    own = units.select("id", "path", "print", "hash").join(best, "hash").groupBy("id", "path", "print").agg(F.min("best").alias("best"))
+    own = own.select(F.col("id").alias("i"), F.col("path").alias("p"), F.col("print").alias("t"), F.col("best.licence").alias("own"), (-F.col("best.minus")).alias("score"))
 
-    base = rows.select("id", "path", "grants").join(own, F.col("id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("i", "p")
+    same = (F.col("print") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p"))
+    base = rows.select("id", "path", "print", "grants").join(own, same, "left").drop("i", "p", "t", "print")
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     given = base.where("grants AND own IS NOT NULL AND path IS NOT NULL").groupBy(folder.alias("folder")).agg(F.min(F.struct("path", "own")).alias("from"))
     bare = base.where("own IS NULL AND path IS NOT NULL").select("path").distinct().select("path", F.explode(directories(F.col("path"))).alias("folder"))

@@ -80,13 +80,13 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents lie in a folder for each source, a hundred ids to a folder in it. One whose first line states a licence
-    states it for its folder."""
+    """Documents lie in a folder for each source, a hundred ids to a folder in it. One whose text speaks of a licence
+    states its own for its folder."""
     from tidemark.llm.license_scan import licence_scan
 
     docs = table(spark, sf_dir, "documents")
     docs = docs.withColumn("path", F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string")))
-    return licence_scan(docs, F.substring_index("text", "\n", 1).rlike("(?i)licen[cs]e"))
+    return licence_scan(docs, F.col("text").rlike("(?i)licen[cs]e"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
