@@ -7,7 +7,6 @@ non_finite, out_of_domain, invalid_denominator, not_applicable, missing.
 from __future__ import annotations
 
 import operator
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -23,7 +22,7 @@ class Bound:
     value: float
 
     def met(self, x: Column) -> Column:
-        return _TESTS[self.test](x, F.lit(self.value))
+        return _TESTS[self.test](x, F.lit(float(self.value)))
 
 
 @dataclass(frozen=True)
@@ -38,86 +37,81 @@ class Policy:
     zero_inactive: bool
 
 
-def bound(text: str) -> Bound | None:
-    m = re.fullmatch(r"(>=|<=|>|<)([0-9.]+)", text)
-    return Bound(m[1], float(m[2])) if m else None
-
-
-#: Fixed values, one policy a line: metric, shape, unit, direction (H: higher is worse), warning, critical, floor of the
-#: count or ceiling of the free bytes, and what zero is (C: judged, I: inactive).
-CATALOGUE = """
-os.cgroup.cpu_used_pct scalar Percent H >=70 >=90 - C
-os.cgroup.cpu_throttled_ms_delta scalar Milliseconds H >0 >100 - I
-os.cgroup.cpu_throttle_events_delta scalar Count H >0 - - I
-os.cgroup.memory_anon_pct scalar Percent H >=70 >=90 - C
-os.cgroup.memory_headroom_pct scalar Percent L <20 <10 - C
-os.cgroup.memory_oom_kills_delta scalar Count H - >0 - I
-os.process.cpu_pct scalar Percent H >=50 >=90 - C
-os.load.avg1_per_core fraction Ratio H >1 >2 - C
-os.cpu.idle_pct scalar Percent L <30 <10 - C
-os.cpu.iowait_pct scalar Percent H >5 >15 - C
-os.cpu.steal_pct scalar Percent H >3 >10 - C
-os.load.procs_blocked scalar Count H >0 >4 - C
-pg.activity.backend_load_per_core fraction Ratio H >=0.25 >=0.5 - C
-os.memory.used_pct scalar Percent H >=70 >=90 - C
-os.process.virtual_growth_kib scalar Kibibytes H >102400 >1048576 - I
-os.process.resident_growth_kib scalar Kibibytes H >102400 >1048576 - I
-os.process.virtual_swap_kib scalar Kibibytes H >0 >102400 - I
-os.memory.swap_used_kib scalar Kibibytes H >0 >1048576 - I
-os.vmstat.swap_in_per_second scalar CountPerSecond H - >0 - I
-os.vmstat.swap_out_per_second scalar CountPerSecond H - >0 - I
-os.process.major_faults_delta scalar Count H >100 >10000 - I
-os.process.rss_kib scalar Kibibytes H >1048576 >4194304 - C
-pg.activity.query_duration_seconds scalar Seconds H >=1 >=30 - C
-pg.activity.transaction_duration_seconds scalar Seconds H >=5 >=60 - C
-pg.activity.client_backend_capacity fraction Ratio H >=0.70 >=0.90 - C
-pg.activity.idle_in_transaction_sessions scalar Count H - >0 - I
-pg.activity.blocked_sessions scalar Count H >0 >=5 - I
-pg.activity.long_queries scalar Count H >0 >=5 - I
-pg.activity.long_transactions scalar Count H >0 >=3 - I
-pg.database.rollback_pct scalar Percent H >3 >10 - C
-pg.database.deadlocks_delta scalar Count H - >0 - I
-pg.database.cache_hit_pct scalar Percent L <99 <90 - C
-pg.database.io_cache_hit_pct scalar Percent L <99 <90 - C
-pg.database.effective_cache_hit_pct scalar Percent L <99 <90 - C
-pg.checkpointer.checkpoints_per_minute scalar CountPerMinute H >2 - - I
-pg.checkpointer.write_time_ms_delta scalar Milliseconds H >30000 >120000 - I
-pg.bgwriter.buffers_backend_per_second scalar CountPerSecond H >0 - - I
-pg.bgwriter.maxwritten_clean_delta scalar Count H >0 - - I
-pg.bgwriter.client_evictions_per_second scalar CountPerSecond H >0 >=10 - I
-pg.replication.replay_lag_seconds scalar Seconds H >10 >60 - C
-pg.database.recovery_conflicts_delta scalar Count H >0 - - I
-pg.statements.milliseconds_per_row scalar Milliseconds H >=10 >=100 - C
-pg.statements.mean_time_ms scalar Milliseconds H >=10 >=100 - C
-pg.statements.time_pct scalar Percent H >=20 >=50 - C
-pg.statements.plan_time_pct scalar Percent H >=50 >=80 - C
-pg.statements.plan_count scalar Count H >1 >3 - C
-pg.tables.dead_tuple_pct ratio_with_floor Ratio H >=0.10 >=0.20 >10000 C
-pg.tables.dead_tuples scalar Count H >=1000 >=100000 - C
-pg.tables.sequential_scan_pct scalar Percent H >=30 >=80 - C
-pg.tables.modified_since_analyze scalar Count H >=100000 >=1000000 - C
-pg.tables.inserted_since_vacuum scalar Count H >=100000 >=1000000 - C
-pg.tables.autovacuum_age_seconds age Seconds H >21600 >86400 - C
-pg.tables.autoanalyze_age_seconds age Seconds H >21600 >86400 - C
-pg.tables.temp_bytes_per_second scalar BytesPerSecond H >0 - - I
-pg.tables.vacuum_threshold_exceeded warning_limit Count H > - - C
-pg.tables.analyze_threshold_exceeded warning_limit Count H > - - C
-pg.tables.insert_vacuum_threshold_exceeded warning_limit Count H > - - C
-os.psi.cpu_some_pct scalar Percent H >=5 >=25 - C
-os.psi.memory_some_pct scalar Percent H >=5 >=25 - C
-os.psi.io_some_pct scalar Percent H >=10 >=40 - C
-os.disk.util_pct scalar Percent H >=60 >=90 - C
-os.disk.max_await_ms scalar Milliseconds H >=2 >=10 - C
-os.disk.read_await_ms scalar Milliseconds H >=2 >=10 - C
-os.disk.write_await_ms scalar Milliseconds H >=2 >=10 - C
-os.filesystem.free_capacity free_capacity Ratio L <0.20 <0.10 <16106127360 C
-os.process.block_delay_seconds_delta scalar Seconds H >10 >50 - I
-os.disk.blocks_read_per_second scalar CountPerSecond H >0 - - I
-os.network.errors_per_second scalar CountPerSecond H >0 >10 - I
-os.network.drops_per_second scalar CountPerSecond H >0 >10 - I
-"""
-
-POLICIES = {f[0]: Policy(f[0], f[1], f[2], f[3] == "H", bound(f[4]), bound(f[5]), bound(f[6]), f[7] == "I") for f in map(str.split, CATALOGUE.strip().splitlines())}
+#: Metric, shape, unit, whether higher is worse, warning, critical, floor of the count or ceiling of the free
+#: bytes, and whether zero is inactive.
+CATALOGUE = [
+    Policy("os.cgroup.cpu_used_pct", "scalar", "Percent", True, Bound(">=", 70), Bound(">=", 90), None, False),
+    Policy("os.cgroup.cpu_throttled_ms_delta", "scalar", "Milliseconds", True, Bound(">", 0), Bound(">", 100), None, True),
+    Policy("os.cgroup.cpu_throttle_events_delta", "scalar", "Count", True, Bound(">", 0), None, None, True),
+    Policy("os.cgroup.memory_anon_pct", "scalar", "Percent", True, Bound(">=", 70), Bound(">=", 90), None, False),
+    Policy("os.cgroup.memory_headroom_pct", "scalar", "Percent", False, Bound("<", 20), Bound("<", 10), None, False),
+    Policy("os.cgroup.memory_oom_kills_delta", "scalar", "Count", True, None, Bound(">", 0), None, True),
+    Policy("os.process.cpu_pct", "scalar", "Percent", True, Bound(">=", 50), Bound(">=", 90), None, False),
+    Policy("os.load.avg1_per_core", "fraction", "Ratio", True, Bound(">", 1), Bound(">", 2), None, False),
+    Policy("os.cpu.idle_pct", "scalar", "Percent", False, Bound("<", 30), Bound("<", 10), None, False),
+    Policy("os.cpu.iowait_pct", "scalar", "Percent", True, Bound(">", 5), Bound(">", 15), None, False),
+    Policy("os.cpu.steal_pct", "scalar", "Percent", True, Bound(">", 3), Bound(">", 10), None, False),
+    Policy("os.load.procs_blocked", "scalar", "Count", True, Bound(">", 0), Bound(">", 4), None, False),
+    Policy("pg.activity.backend_load_per_core", "fraction", "Ratio", True, Bound(">=", 0.25), Bound(">=", 0.5), None, False),
+    Policy("os.memory.used_pct", "scalar", "Percent", True, Bound(">=", 70), Bound(">=", 90), None, False),
+    Policy("os.process.virtual_growth_kib", "scalar", "Kibibytes", True, Bound(">", 102400), Bound(">", 1048576), None, True),
+    Policy("os.process.resident_growth_kib", "scalar", "Kibibytes", True, Bound(">", 102400), Bound(">", 1048576), None, True),
+    Policy("os.process.virtual_swap_kib", "scalar", "Kibibytes", True, Bound(">", 0), Bound(">", 102400), None, True),
+    Policy("os.memory.swap_used_kib", "scalar", "Kibibytes", True, Bound(">", 0), Bound(">", 1048576), None, True),
+    Policy("os.vmstat.swap_in_per_second", "scalar", "CountPerSecond", True, None, Bound(">", 0), None, True),
+    Policy("os.vmstat.swap_out_per_second", "scalar", "CountPerSecond", True, None, Bound(">", 0), None, True),
+    Policy("os.process.major_faults_delta", "scalar", "Count", True, Bound(">", 100), Bound(">", 10000), None, True),
+    Policy("os.process.rss_kib", "scalar", "Kibibytes", True, Bound(">", 1048576), Bound(">", 4194304), None, False),
+    Policy("pg.activity.query_duration_seconds", "scalar", "Seconds", True, Bound(">=", 1), Bound(">=", 30), None, False),
+    Policy("pg.activity.transaction_duration_seconds", "scalar", "Seconds", True, Bound(">=", 5), Bound(">=", 60), None, False),
+    Policy("pg.activity.client_backend_capacity", "fraction", "Ratio", True, Bound(">=", 0.7), Bound(">=", 0.9), None, False),
+    Policy("pg.activity.idle_in_transaction_sessions", "scalar", "Count", True, None, Bound(">", 0), None, True),
+    Policy("pg.activity.blocked_sessions", "scalar", "Count", True, Bound(">", 0), Bound(">=", 5), None, True),
+    Policy("pg.activity.long_queries", "scalar", "Count", True, Bound(">", 0), Bound(">=", 5), None, True),
+    Policy("pg.activity.long_transactions", "scalar", "Count", True, Bound(">", 0), Bound(">=", 3), None, True),
+    Policy("pg.database.rollback_pct", "scalar", "Percent", True, Bound(">", 3), Bound(">", 10), None, False),
+    Policy("pg.database.deadlocks_delta", "scalar", "Count", True, None, Bound(">", 0), None, True),
+    Policy("pg.database.cache_hit_pct", "scalar", "Percent", False, Bound("<", 99), Bound("<", 90), None, False),
+    Policy("pg.database.io_cache_hit_pct", "scalar", "Percent", False, Bound("<", 99), Bound("<", 90), None, False),
+    Policy("pg.database.effective_cache_hit_pct", "scalar", "Percent", False, Bound("<", 99), Bound("<", 90), None, False),
+    Policy("pg.checkpointer.checkpoints_per_minute", "scalar", "CountPerMinute", True, Bound(">", 2), None, None, True),
+    Policy("pg.checkpointer.write_time_ms_delta", "scalar", "Milliseconds", True, Bound(">", 30000), Bound(">", 120000), None, True),
+    Policy("pg.bgwriter.buffers_backend_per_second", "scalar", "CountPerSecond", True, Bound(">", 0), None, None, True),
+    Policy("pg.bgwriter.maxwritten_clean_delta", "scalar", "Count", True, Bound(">", 0), None, None, True),
+    Policy("pg.bgwriter.client_evictions_per_second", "scalar", "CountPerSecond", True, Bound(">", 0), Bound(">=", 10), None, True),
+    Policy("pg.replication.replay_lag_seconds", "scalar", "Seconds", True, Bound(">", 10), Bound(">", 60), None, False),
+    Policy("pg.database.recovery_conflicts_delta", "scalar", "Count", True, Bound(">", 0), None, None, True),
+    Policy("pg.statements.milliseconds_per_row", "scalar", "Milliseconds", True, Bound(">=", 10), Bound(">=", 100), None, False),
+    Policy("pg.statements.mean_time_ms", "scalar", "Milliseconds", True, Bound(">=", 10), Bound(">=", 100), None, False),
+    Policy("pg.statements.time_pct", "scalar", "Percent", True, Bound(">=", 20), Bound(">=", 50), None, False),
+    Policy("pg.statements.plan_time_pct", "scalar", "Percent", True, Bound(">=", 50), Bound(">=", 80), None, False),
+    Policy("pg.statements.plan_count", "scalar", "Count", True, Bound(">", 1), Bound(">", 3), None, False),
+    Policy("pg.tables.dead_tuple_pct", "ratio_with_floor", "Ratio", True, Bound(">=", 0.1), Bound(">=", 0.2), Bound(">", 10000), False),
+    Policy("pg.tables.dead_tuples", "scalar", "Count", True, Bound(">=", 1000), Bound(">=", 100000), None, False),
+    Policy("pg.tables.sequential_scan_pct", "scalar", "Percent", True, Bound(">=", 30), Bound(">=", 80), None, False),
+    Policy("pg.tables.modified_since_analyze", "scalar", "Count", True, Bound(">=", 100000), Bound(">=", 1000000), None, False),
+    Policy("pg.tables.inserted_since_vacuum", "scalar", "Count", True, Bound(">=", 100000), Bound(">=", 1000000), None, False),
+    Policy("pg.tables.autovacuum_age_seconds", "age", "Seconds", True, Bound(">", 21600), Bound(">", 86400), None, False),
+    Policy("pg.tables.autoanalyze_age_seconds", "age", "Seconds", True, Bound(">", 21600), Bound(">", 86400), None, False),
+    Policy("pg.tables.temp_bytes_per_second", "scalar", "BytesPerSecond", True, Bound(">", 0), None, None, True),
+    Policy("pg.tables.vacuum_threshold_exceeded", "warning_limit", "Count", True, None, None, None, False),
+    Policy("pg.tables.analyze_threshold_exceeded", "warning_limit", "Count", True, None, None, None, False),
+    Policy("pg.tables.insert_vacuum_threshold_exceeded", "warning_limit", "Count", True, None, None, None, False),
+    Policy("os.psi.cpu_some_pct", "scalar", "Percent", True, Bound(">=", 5), Bound(">=", 25), None, False),
+    Policy("os.psi.memory_some_pct", "scalar", "Percent", True, Bound(">=", 5), Bound(">=", 25), None, False),
+    Policy("os.psi.io_some_pct", "scalar", "Percent", True, Bound(">=", 10), Bound(">=", 40), None, False),
+    Policy("os.disk.util_pct", "scalar", "Percent", True, Bound(">=", 60), Bound(">=", 90), None, False),
+    Policy("os.disk.max_await_ms", "scalar", "Milliseconds", True, Bound(">=", 2), Bound(">=", 10), None, False),
+    Policy("os.disk.read_await_ms", "scalar", "Milliseconds", True, Bound(">=", 2), Bound(">=", 10), None, False),
+    Policy("os.disk.write_await_ms", "scalar", "Milliseconds", True, Bound(">=", 2), Bound(">=", 10), None, False),
+    Policy("os.filesystem.free_capacity", "free_capacity", "Ratio", False, Bound("<", 0.2), Bound("<", 0.1), Bound("<", 16106127360), False),
+    Policy("os.process.block_delay_seconds_delta", "scalar", "Seconds", True, Bound(">", 10), Bound(">", 50), None, True),
+    Policy("os.disk.blocks_read_per_second", "scalar", "CountPerSecond", True, Bound(">", 0), None, None, True),
+    Policy("os.network.errors_per_second", "scalar", "CountPerSecond", True, Bound(">", 0), Bound(">", 10), None, True),
+    Policy("os.network.drops_per_second", "scalar", "CountPerSecond", True, Bound(">", 0), Bound(">", 10), None, True),
+]
+
+POLICIES = {p.metric: p for p in CATALOGUE}
 
 
 def _odd(*xs: Column) -> Column:

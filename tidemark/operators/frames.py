@@ -56,6 +56,21 @@ def frame_sort(df: DataFrame, column: str, descending: bool, entity: str, limit:
     return df.orderBy(c, F.col(entity)).limit(limit)
 
 
+def frame_page(df: DataFrame, column: str, descending: bool, entity: str, limit: int, cursor: tuple) -> DataFrame:
+    """The rows of a sorted frame that follow the cursor (sort value, entity). One that isn't a row of the frame, as when
+    its value has changed since, raises."""
+    value, name = cursor
+    c, later = F.col(column), F.col(entity) > F.lit(name)
+    if value is None:
+        here, rest = c.isNull(), c.isNull() & later
+    else:
+        v = F.lit(value)
+        here, rest = c == v, (c < v if descending else c > v) | c.isNull() | ((c == v) & later)
+    at = df.agg(F.count_if(here & (F.col(entity) == F.lit(name))).alias("_at"))  # one row
+    ok = at.select(F.when(F.col("_at") == 0, F.raise_error(F.lit("the cursor is no row of the frame")).cast("boolean")).otherwise(True).alias("_ok"))
+    return frame_sort(df.crossJoin(F.broadcast(ok)).where(F.col("_ok") & F.coalesce(rest, F.lit(False))).drop("_ok"), column, descending, entity, limit)
+
+
 def latest(df: DataFrame, ts: str = "ts", at: int | None = None) -> DataFrame:
     """Rows of the latest snapshot, at or before a time if one is given. The time is a max over one column."""
     when = (df if at is None else df.where(F.col(ts) <= at)).agg(F.max(ts).alias("_at"))

@@ -917,3 +917,6 @@ def process_link(s, d):
 @query("SELECT l_returnflag, arg_min(l_orderkey, (l_shipdate, l_orderkey, l_linenumber)) AS first_order, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS open FROM lineitem GROUP BY l_returnflag")
 def filtered_first(s, d):
     return table(s, d, "lineitem").groupBy("l_returnflag").agg(F.min_by("l_orderkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("first_order"), F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "O").alias("open"))
+
+
+from tidemark.plans import catalog_views  # noqa: E402, F401  more queries, which need what stands above

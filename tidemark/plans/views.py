@@ -1,7 +1,7 @@
 """Views: which columns a frame shows, how they are derived, joined and sorted.
 
 A derived column is a Spark SQL expression; d(x) in it is the positive delta of counter x to the same identity's row of the
-snapshot before (null after a reset, a gap or for a first row), elapsed is the seconds between the two, hz the clock ticks a
+snapshot before (null after a reset, a gap or for a first row; r_x tells which), elapsed is the seconds between the two, hz the clock ticks a
 second and snapshot_ts the frame's time. Only the columns of a preset are computed: Catalyst prunes the rest, the
 predecessor's window included when no delta is asked for.
 """
@@ -15,8 +15,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.cells import delta
 from tidemark.functions.scalar import PROCESS_STATES, SCHEDULERS, search
-from tidemark.operators.frames import frame_sort
+from tidemark.functions.thresholds import POLICIES, classify
+from tidemark.operators.frames import frame_page, frame_sort
 from tidemark.operators.series import ordered
 
 
@@ -142,44 +144,135 @@ VIEWS = {
 }
 
 
+#: Columns of the sections that cells with levels are made of.
+_COLUMNS = set("state query_start xact_start total_exec_time total_plan_time rows calls track_planning n_dead_tup n_live_tup seq_scan idx_scan n_mod_since_analyze n_ins_since_vacuum last_autovacuum last_autoanalyze rmem_kb".split())
+
+
 def _needs(view: View, columns: Sequence[str]) -> dict[str, str]:
     return {c: view.derived[c] for c in columns if c in view.derived}
 
 
+@dataclass(frozen=True)
+class Binding:
+    """What a cell is judged by: a policy, its inputs, whether it applies, and the counters whose reset it tells."""
+
+    view: str
+    column: str
+    metric: str
+    inputs: tuple[str, ...]
+    applies: str = "true"
+    resets: tuple[str, ...] = ()
+
+    def counters(self) -> set[str]:
+        return {c for e in (*self.inputs, self.applies) for c in re.findall(r"\bd\((\w+)\)", e)}
+
+
+# The cells that have levels.
+BINDINGS = [
+    Binding("activity", "query_duration_us", "pg.activity.query_duration_seconds", ("(snapshot_ts - query_start) / 1e6",), "coalesce(state = 'active', false) AND query_start IS NOT NULL"),
+    Binding("activity", "transaction_duration_us", "pg.activity.transaction_duration_seconds", ("(snapshot_ts - xact_start) / 1e6",), "xact_start IS NOT NULL"),
+    Binding("statements", "ms_per_row", "pg.statements.milliseconds_per_row", ("try_divide(d(total_exec_time), d(rows))",), "NOT coalesce(d(rows) <= 0 AND d(total_exec_time) IS NOT NULL, false)", ("total_exec_time", "rows")),
+    Binding("statements", "mean", "pg.statements.mean_time_ms", ("try_divide(d(total_exec_time), d(calls))",), "NOT coalesce(d(calls) <= 0 AND d(total_exec_time) IS NOT NULL, false)", ("total_exec_time", "calls")),
+    Binding("statements", "time_pct", "pg.statements.time_pct", ("pct(d(total_exec_time))",), "pct_known", ("total_exec_time",)),
+    Binding("statements", "plan_time_pct", "pg.statements.plan_time_pct", ("try_divide(100.0 * d(total_plan_time), d(total_plan_time) + d(total_exec_time))",), "track_planning AND NOT coalesce(d(total_plan_time) + d(total_exec_time) <= 0, false)", ("total_plan_time",)),
+    Binding("tables", "dead_pct", "pg.tables.dead_tuple_pct", ("try_divide(n_dead_tup, n_dead_tup + n_live_tup)", "n_dead_tup"), "NOT coalesce(n_dead_tup + n_live_tup <= 0, false)"),
+    Binding("tables", "n_dead_tup", "pg.tables.dead_tuples", ("n_dead_tup",)),
+    Binding("tables", "seq_scan_pct", "pg.tables.sequential_scan_pct", ("try_divide(100.0 * d(seq_scan), d(seq_scan) + d(idx_scan))",), "NOT coalesce(d(seq_scan) + d(idx_scan) <= 0, false)", ("seq_scan", "idx_scan")),
+    Binding("tables", "n_mod_since_analyze", "pg.tables.modified_since_analyze", ("n_mod_since_analyze",)),
+    Binding("tables", "n_ins_since_vacuum", "pg.tables.inserted_since_vacuum", ("n_ins_since_vacuum",)),
+    Binding("tables", "autovacuum_age_seconds", "pg.tables.autovacuum_age_seconds", ("last_autovacuum / 1e6", "snapshot_ts / 1e6", "n_dead_tup > 0")),
+    Binding("tables", "autoanalyze_age_seconds", "pg.tables.autoanalyze_age_seconds", ("last_autoanalyze / 1e6", "snapshot_ts / 1e6", "n_mod_since_analyze >= 10000")),
+    Binding("processes", "rmem_kb", "os.process.rss_kib", ("rmem_kb",)),
+]
+
+
+def _at(rows: DataFrame, view: View, snapshot_ts: int, counters: Sequence[str], hz: Column | None, ts: str, breaks: Column | None) -> DataFrame:
+    """The rows of a snapshot with d_<counter>, its reason r_<counter>, snapshot_ts, elapsed and hz."""
+    two = rows.where(F.col(ts) <= snapshot_ts)
+    w = ordered(view.identity, ts)
+    if counters:
+        two = two.withColumns({f"_p_{c}": F.lag(c).over(w) for c in counters} | {"prev_ts": F.lag(ts).over(w)})
+    now = two.where(F.col(ts) == snapshot_ts)
+    if counters:
+        pair = F.when(F.col("prev_ts").isNull(), "missing").when(F.col(ts) <= F.col("prev_ts"), "missing")
+        pair = pair if breaks is None else pair.otherwise(breaks)
+        now = now.withColumns({f"_c_{c}": delta(F.col(c), F.col(f"_p_{c}"), pair) for c in counters})
+        now = now.withColumns({f"d_{c}": F.when(F.col(f"_c_{c}.reason").isNull(), F.col(c) - F.col(f"_p_{c}")) for c in counters} | {f"r_{c}": F.col(f"_c_{c}.reason") for c in counters})
+    return now.withColumns({"snapshot_ts": F.lit(snapshot_ts), "elapsed": ((F.col(ts) - F.col("prev_ts")) / F.lit(1e6)) if counters else F.lit(None).cast("double"), "hz": hz if hz is not None else F.lit(100.0)})
+
+
+def _filled(e: str) -> str:
+    return re.sub(r"\bd\((\w+)\)", r"d_\1", e)
+
+
+def _with_share(now: DataFrame, name: str, of: str) -> DataFrame:
+    """name: the share of all rows' sum in percent, if none of them is missing; pct_known: whether it is known."""
+    totals = now.agg(F.sum(F.expr(of)).alias("_sum"), F.count_if(F.expr(of).isNull()).alias("_missing"))  # one row
+    known = (F.col("_missing") == 0) & F.coalesce(F.col("_sum") > 0, F.lit(False))
+    return now.crossJoin(F.broadcast(totals)).withColumns({"pct_known": known, name: F.when(known, 100.0 * F.expr(of) / F.col("_sum"))}).drop("_sum", "_missing")
+
+
 def frame(
     rows: DataFrame, view: View | str, snapshot_ts: int, preset: str | None = None, columns: Sequence[str] = (), database: tuple[str, object] | None = None, text: str = "", label: str | None = None,
-    sort: str | None = None, limit: int = 100, hz: Column | None = None, ts: str = "ts",
+    sort: str | None = None, limit: int = 100, hz: Column | None = None, ts: str = "ts", breaks: Column | None = None, cursor: tuple | None = None,
 ) -> DataFrame:
     """A frame of a view at one snapshot. Shares (pct) are of all rows after the database filter and before the text
-    search; a missing delta leaves all without a share. Unknown columns are dropped from a preset."""
+    search; a missing delta leaves all without a share. Unknown columns are dropped from a preset. breaks: reset or gap, an
+    expression over ts and prev_ts, where a pair of rows isn't to be compared. cursor: (sort value, entity) of the last row of
+    the page before."""
     view = VIEWS[view] if isinstance(view, str) else view
     wanted, order = (list(columns), sort) if columns else (view.columns(preset or next(iter(view.presets))), sort or view.presets[preset or next(iter(view.presets))][1])
     if database:
         rows = rows.where(F.col(database[0]) == F.lit(database[1]))
-    two = rows.where(F.col(ts) <= snapshot_ts)
     exprs = _needs(view, wanted)
-    counters = sorted({c for e in exprs.values() for c in re.findall(r"d\((\w+)\)", e)})
-    w = ordered(view.identity, ts)
-    if counters:
-        two = two.withColumns({f"_p_{c}": F.lag(c).over(w) for c in counters} | {"_p_ts": F.lag(ts).over(w)})
-    now = two.where(F.col(ts) == snapshot_ts)
-    if counters:
-        good = lambda c: F.when((F.col(ts) > F.col("_p_ts")) & (F.col(c) >= F.col(f"_p_{c}")), F.col(c) - F.col(f"_p_{c}"))
-        now = now.withColumns({f"d_{c}": good(c) for c in counters})
-    now = now.withColumns({"snapshot_ts": F.lit(snapshot_ts), "elapsed": ((F.col(ts) - F.col("_p_ts")) / F.lit(1e6)) if counters else F.lit(None).cast("double"), "hz": hz if hz is not None else F.lit(100.0)})
+    counters = sorted({c for e in exprs.values() for c in re.findall(r"\bd\((\w+)\)", e)})
+    now = _at(rows, view, snapshot_ts, counters, hz, ts, breaks)
     for name, e in exprs.items():
-        inner = re.sub(r"\bd\((\w+)\)", r"d_\1", e)
-        if m := re.fullmatch(r"pct\((.*)\)", inner):
-            totals = now.agg(F.sum(F.expr(m[1])).alias("_sum"), F.count_if(F.expr(m[1]).isNull()).alias("_missing"))
-            now = now.crossJoin(F.broadcast(totals)).withColumn(name, F.when((F.col("_missing") == 0) & (F.col("_sum") > 0), 100.0 * F.expr(m[1]) / F.col("_sum"))).drop("_sum", "_missing")
+        if m := re.fullmatch(r"pct\((.*)\)", _filled(e)):
+            now = _with_share(now, name, m[1])
         else:
-            now = now.withColumn(name, F.expr(inner))
+            now = now.withColumn(name, F.expr(_filled(e)))
     shown = [c for c in wanted if c in now.columns]
     if text:
         now = now.where(search({f.name: f.dataType.simpleString() for f in now.schema}, label or view.entity, shown, text))
     out = now.select(F.col(view.entity).cast("string").alias("entity"), *shown)
     column, _, way = (order or f"{shown[0]} asc").partition(" ")
-    return frame_sort(out, column if column in out.columns else "entity", way == "desc", "entity", limit)
+    column = column if column in out.columns else "entity"
+    if cursor is not None:
+        return frame_page(out, column, way == "desc", "entity", limit, cursor)
+    return frame_sort(out, column, way == "desc", "entity", limit)
+
+
+def levels(rows: DataFrame, view: View | str, snapshot_ts: int, columns: Sequence[str] = (), hz: Column | None = None, ts: str = "ts", breaks: Column | None = None) -> DataFrame:
+    """Levels of a view's cells at one snapshot, all that have a policy or those of some columns: entity, column, metric,
+    level, reason, observed. The reset of a counter is its own reason, before all others. A column that the rows lack is not
+    applicable."""
+    view = VIEWS[view] if isinstance(view, str) else view
+    bound = [b for b in BINDINGS if b.view == view.name and (not columns or b.column in columns)]
+    counters = sorted(c for c in set().union(*(b.counters() | set(b.resets) for b in bound)) if c in rows.columns) if bound else []
+    now = _at(rows, view, snapshot_ts, counters, hz, ts, breaks)
+    cells = []
+    for b in bound:
+        needs = {w for e in (*b.inputs, b.applies) for w in re.findall(r"[a-z_]\w*", e)} - {"d", "pct"}
+        absent = [w for w in needs if w in _COLUMNS and w not in rows.columns]
+        share = re.fullmatch(r"pct\((.*)\)", _filled(b.inputs[0]))
+        if share and not absent:
+            now = _with_share(now, f"_{b.column}", share[1])
+        if absent:
+            inputs, applies = [F.lit(None).cast("double")] * len(b.inputs), F.lit(False)
+        else:
+            inputs, applies = [F.col(f"_{b.column}")] if share else [F.expr(_filled(e)) for e in b.inputs], F.expr(_filled(b.applies))
+        reset = F.lit(False)
+        for c in b.resets:
+            reset = reset | F.coalesce(F.col(f"r_{c}") == "reset", F.lit(False)) if c in counters else reset
+        policy = POLICIES[b.metric]
+        if policy.shape == "age":
+            inputs[2] = F.when(inputs[0].isNull() | inputs[2].isNull(), True).otherwise(inputs[2])  # missing, not out of force
+        judged = classify(policy, *inputs)
+        reason = F.when(reset, "reset").when(~F.coalesce(applies, F.lit(False)), "not_applicable").otherwise(judged["reason"])
+        cells.append(F.struct(F.lit(b.column).alias("column"), F.lit(b.metric).alias("metric"), F.when(reason.isNull(), judged["level"]).alias("level"), reason.alias("reason"), F.when(reason.isNull(), judged["observed"]).alias("observed")))
+    out = now.select(F.col(view.entity).cast("string").alias("entity"), F.explode(F.array(*cells)).alias("cell"))
+    return out.select("entity", "cell.*")
 
 
 def entity_detail(rows: DataFrame, view: View | str, entity: dict, frm: int, to: int, buckets: int = 96, ts: str = "ts") -> DataFrame:
