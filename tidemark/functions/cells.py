@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,13 +76,13 @@ def identity_token(values: Sequence[tuple[Column, str]], revision: int = 1) -> C
         else:
             body = _little(x, _BYTES[kind])
         parts.append(F.when(x.isNull(), "00").otherwise(F.concat(_hex_byte(TAGS[kind]), body)))
-    return F.rtrim(F.lit("="), F.translate(F.base64(F.unhex(F.concat(*parts))), "+/\r\n", "-_"))
+    return F.rtrim(F.translate(F.base64(F.unhex(F.concat(*parts))), "+/\r\n", "-_"), F.lit("="))
 
 
 def token_values(token: Column, kinds: Sequence[str]) -> list[Column]:
     """The values of a token of integers, booleans and times; a token of other kinds or another revision gives nulls."""
     raw = F.translate(token, "-_", "+/")
-    raw = F.hex(F.unbase64(F.rpad(raw, F.cast(F.ceil(F.length(raw) / 4) * 4, "int"), "=")))
+    raw = F.hex(F.unbase64(F.rpad(raw, (F.ceil(F.length(raw) / 4) * 4).cast("int"), F.lit("="))))
     at, out = F.lit(3), []
     for kind in kinds:
         n = 1 if kind == "boolean" else _BYTES[kind]
@@ -141,37 +142,44 @@ BLOOM_BITS, BLOOM_HASHES = 512, 8
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
-def _signed(x: int) -> Column:
-    x &= (1 << 64) - 1
-    return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("decimal(38,0)")
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is worked out once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def _wrap(x: Column) -> Column:
     """A decimal modulo 2^64, as a signed long."""
-    m = F.pmod(x, F.lit(1 << 64).cast("decimal(38,0)"))
-    return F.when(m >= F.lit(1 << 63).cast("decimal(38,0)"), m - F.lit(1 << 64).cast("decimal(38,0)")).otherwise(m).cast("bigint")
+    return _let(F.pmod(x, F.lit(Decimal(1 << 64))), lambda m: F.when(m >= F.lit(Decimal(1 << 63)), m - F.lit(Decimal(1 << 64))).otherwise(m).cast("bigint"))
+
+
+def _wide(x: Column) -> Column:
+    return x.cast("decimal(20,0)")
 
 
 def _times(x: Column, by: int) -> Column:
     """A product modulo 2^64: decimals of 38 digits don't hold it, so the factor goes in halves of 32 bits."""
-    low, high = by & 0xFFFFFFFF, by >> 32
-    d = x.cast("decimal(20,0)")
-    upper = _wrap(d * F.lit(high).cast("decimal(12,0)")).bitwiseAND(F.lit(0xFFFFFFFF)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)")
-    return _wrap(d * F.lit(low).cast("decimal(12,0)") + upper)
+    low, high = F.lit(Decimal(by & 0xFFFFFFFF)), F.lit(Decimal(by >> 32))
+
+    def product(d: Column) -> Column:
+        upper = _wide(_wrap(d * high).bitwiseAND(F.lit(0xFFFFFFFF))) * F.lit(Decimal(1 << 32))
+        return _wrap(d * low + upper)
+
+    return _let(_wide(x), product)
 
 
 def _mix64(x: Column) -> Column:
-    x = _wrap(x.cast("decimal(38,0)") + _signed(_GOLDEN))
-    x = _times(x.bitwiseXOR(F.shiftrightunsigned(x, 30)), 0xBF58476D1CE4E5B9)
-    x = _times(x.bitwiseXOR(F.shiftrightunsigned(x, 27)), 0x94D049BB133111EB)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
+    fold = lambda x, n: _let(x, lambda y: y.bitwiseXOR(F.shiftrightunsigned(y, n)))
+    x = _wrap(_wide(x) + F.lit(Decimal(_GOLDEN)))
+    for n, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = _times(fold(x, n), by)
+    return fold(x, 31)
 
 
 def bloom_bits(key: Column) -> Column:
     """The places of a key's bits, an array; equal to the recorder's own summaries."""
     key = key.cast("bigint")
-    first, step = _mix64(key), _mix64(key.bitwiseXOR(F.lit(_GOLDEN - (1 << 64)))).bitwiseOR(F.lit(1).cast("bigint"))
-    return F.array(*(_wrap(first.cast("decimal(38,0)") + step.cast("decimal(38,0)") * k).bitwiseAND(F.lit(BLOOM_BITS - 1)).cast("int") for k in range(BLOOM_HASHES)))
+    pair = F.struct(_wide(_mix64(key)).alias("first"), _wide(_mix64(key.bitwiseXOR(F.lit(_GOLDEN - (1 << 64)))).bitwiseOR(F.lit(1).cast("bigint"))).alias("step"))
+    return _let(pair, lambda p: F.transform(F.sequence(F.lit(0), F.lit(BLOOM_HASHES - 1)), lambda k: _wrap(p["first"] + p["step"] * k).bitwiseAND(F.lit(BLOOM_BITS - 1)).cast("int")))
 
 
 def bloom_may_contain(bits: Column, key: Column) -> Column:

@@ -66,6 +66,11 @@ def floor_class(severity: Column, sqlstate: Column, trusted: Column) -> Column:
     return F.when(~trusted, None).when(severity == "PANIC", "availability").when(sqlstate.isin("XX001", "XX002"), "integrity")
 
 
+def of_kind(df: DataFrame, kind: str, column: str = "kind") -> DataFrame:
+    """Events of exactly one kind, case and all."""
+    return df.where(F.col(column) == F.lit(kind))
+
+
 def preview(df: DataFrame, ts: str, key: str, limit: int = 100) -> DataFrame:
     """The first `limit` by priority, the newest first, then by key; with how many there are and how many are left out."""
     total = df.agg(F.count("*").alias("total"))
@@ -151,3 +156,28 @@ def typed_events(parsed: DataFrame, message: str = "message") -> DataFrame:
         value = F.regexp_extract(message, pattern, 1)
         detail = F.when(hit, value) if detail is None else detail.when(hit, value)
     return parsed.withColumns({"kind": kind, "detail_value": F.nullif(detail, F.lit(""))})
+
+
+#: Typed fields of messages of known forms: name, pattern, type.
+FIELDS = [
+    ("buffers", r"checkpoint complete: wrote (\d+) buffers", "bigint"),
+    ("write_s", r"checkpoint complete: .*?\bwrite=([0-9.]+) s", "double"),
+    ("sync_s", r"checkpoint complete: .*?\bsync=([0-9.]+) s", "double"),
+    ("total_s", r"checkpoint complete: .*?\btotal=([0-9.]+) s", "double"),
+    ("relation", r'automatic (?:vacuum|analyze) of table "([^"]+)"', "string"),
+    ("tuples_removed", r"automatic vacuum of .*?\btuples: (\d+) removed", "bigint"),
+    ("duration_ms", r"^duration: ([0-9.]+) ms", "double"),
+    ("pid", r"(?:^process |\(PID )(\d+)", "bigint"),
+    ("lock_mode", r"^process \d+ (?:still waiting for|acquired) (\w+) on", "string"),
+    ("waited_ms", r"^process \d+ (?:still waiting for|acquired) .* after ([0-9.]+) ms", "double"),
+    ("temp_bytes", r"^temporary file: path .*, size (\d+)", "bigint"),
+    ("signal", r"terminated by signal (\d+)", "int"),
+    ("exit_code", r"exited with exit code (\d+)", "int"),
+    ("shutdown_mode", r"^received (\w+) shutdown request", "string"),
+]
+
+
+def event_fields(parsed: DataFrame, message: str = "message") -> DataFrame:
+    """Adds the typed fields; null where a message doesn't say."""
+    found = {n: F.regexp_extract(message, f"(?s){p}", 1) for n, p, _ in FIELDS}
+    return parsed.withColumns({n: F.when(found[n] != "", found[n]).try_cast(t) for n, _, t in FIELDS})

@@ -56,6 +56,11 @@ def frame_sort(df: DataFrame, column: str, descending: bool, entity: str, limit:
     return df.orderBy(c, F.col(entity)).limit(limit)
 
 
+def half_open(df: DataFrame, frm: int, to: int, ts: str = "ts") -> DataFrame:
+    """Rows of [frm, to): timelines, unlike row queries, don't have their end."""
+    return df.where((F.col(ts) >= frm) & (F.col(ts) < to))
+
+
 def frame_page(df: DataFrame, column: str, descending: bool, entity: str, limit: int, cursor: tuple) -> DataFrame:
     """The rows of a sorted frame that follow the cursor (sort value, entity). One that isn't a row of the frame, as when
     its value has changed since, raises."""

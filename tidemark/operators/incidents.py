@@ -105,6 +105,14 @@ def findings(rows: DataFrame, rule: Rule, keys: Sequence[str], entity: Sequence[
     return out.withColumn("value", value).where(hit).select(*keys, F.lit(rule.id).alias("rule"), F.lit(rule.role).alias("role"), F.to_json(F.struct(*entity)).alias("entity") if entity else F.lit("{}").alias("entity"), "value", "intervals")
 
 
+def bounded_findings(found: DataFrame, keys: Sequence[str], most: int, order: Sequence[str] = ("rule", "entity")) -> DataFrame:
+    """The first findings of each cluster in an order that doesn't hang on when which rule ran: adds position and truncated
+    (there were more)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    out = found.withColumns({"position": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*keys))})
+    return out.where(F.col("position") <= most).withColumn("truncated", F.col("_n") > most).drop("_n")
+
+
 def dispatch(cluster_sections: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = RULES) -> DataFrame:
     """Which rules a cluster calls for: those with an input section among the cluster's sections."""
     spark = cluster_sections.sparkSession

@@ -60,6 +60,74 @@ def context(rows: DataFrame, at: int, key: str, ts: str = "ts") -> DataFrame:
     return latest(rows, ts, at).where(F.col(key) != 0)
 
 
+def gauge_ratio(rows: DataFrame, keys: Sequence[str | Column], num: Column, den: Column, form: str = "plain", scale: float = 100.0) -> DataFrame:
+    """The greatest share by keys. form: plain (of den, 1 at least), part (num of num + den, 1 at least) or nonzero (of den, rows
+    without one left out)."""
+    if form not in ("plain", "part", "nonzero"):
+        raise ValueError(f"no such form: {form}")
+    whole = num + den if form == "part" else den
+    share = scale * num.cast("double") / F.greatest(whole.cast("double"), F.lit(1.0)) if form != "nonzero" else F.when(den > 0, scale * num.cast("double") / den.cast("double"))
+    return rows.withColumn("_x", share).where("_x IS NOT NULL").groupBy(*keys).agg(F.max("_x").alias("value"))
+
+
+def active_fraction(rows: DataFrame, keys: Sequence[str | Column], active: Column) -> DataFrame:
+    """The share of rows that are active by keys; an unknown state isn't."""
+    return rows.groupBy(*keys).agg(F.avg(F.coalesce(active, F.lit(False)).cast("int")).alias("fraction"), F.count("*").alias("rows"))
+
+
+def wait_time(rows: DataFrame, identity: Sequence[str], keys: Sequence[str | Column], waiting: Column, ts: str = "ts", most_gap: int | None = None) -> DataFrame:
+    """Microseconds up to rows that wait, each since the row before of its identity; pairs further apart than most_gap don't
+    count."""
+    w = Window.partitionBy(*identity).orderBy(ts)
+    dt = rows.withColumn("_dt", F.col(ts) - F.lag(ts).over(w)).where(waiting & F.col("_dt").isNotNull())
+    if most_gap is not None:
+        dt = dt.where(F.col("_dt") <= most_gap)
+    return dt.groupBy(*keys).agg(F.sum("_dt").alias("wait_us"))
+
+
+def event_counts(events: DataFrame, kind: str, at: Column) -> DataFrame:
+    """Events by kind and bucket; a bucket without any isn't there."""
+    return events.groupBy(kind, at.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def pressure(rows: DataFrame, at: Column, resource: str = "resource", value: str = "some_avg10", of: str = "io") -> DataFrame:
+    """The greatest pressure of one resource by bucket."""
+    return rows.where((F.col(resource) == of) & F.col(value).isNotNull()).groupBy(at.alias("bucket")).agg(F.max(value).alias("value"))
+
+
+def host_cpus(topology: DataFrame, at: int, cpu: str = "cpu_id", scope: str = "scope", ts: str = "ts") -> DataFrame:
+    """The number of CPUs of the host at the latest topology at or before a time: snapshot, cpus. Other scopes don't count."""
+    host = topology.where((F.col(scope) == "host") & (F.col(ts) <= at))
+    return host.groupBy(F.col(ts).alias("snapshot")).agg(F.count_distinct(cpu).alias("cpus")).orderBy(F.desc("snapshot")).limit(1)
+
+
+def first_summary(live: DataFrame, sealed: DataFrame, view: str, at: int, keep: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Each view's summary in force: the newest of the live ones at or before a time, else the newest sealed one; source tells
+    which."""
+    sides = [(live, 1), (sealed, 0)]
+    all_ = None
+    for df, rank in sides:
+        one = df.where(F.col(ts) <= at).select(view, ts, *keep, F.lit(rank).alias("_live"))
+        all_ = one if all_ is None else all_.unionByName(one)
+    best = all_.groupBy(view).agg(F.max_by(F.struct(ts, *keep, "_live"), F.struct("_live", ts)).alias("_b"))
+    return best.select(view, *(F.col(f"_b.{c}").alias(c) for c in (ts, *keep)), F.when(F.col("_b._live") == 1, "live").otherwise("sealed").alias("source"))
+
+
+def partial_reduction(pairs: DataFrame, keys: Sequence[str | Column], part: str, prev_ts: str = "prev_ts", ts: str = "ts") -> DataFrame:
+    """What a part knows of its valid pairs: delta, dt, pairs and the support from the first pair's start to the last one's end."""
+    ok = pairs.where(F.col("delta").isNotNull())
+    return ok.groupBy(*keys, part).agg(F.sum("delta").alias("delta"), F.sum("dt").alias("dt"), F.count("*").alias("pairs"), F.min(prev_ts).alias("support_from"), F.max(ts).alias("support_to"))
+
+
+def merged_reduction(parts: DataFrame, keys: Sequence[str], scale: float = 1e6) -> DataFrame:
+    """Parts' reductions as one, whatever their order. Parts whose supports overlap have counted a pair twice: such a key has no
+    rate and `overlap` is true."""
+    w = Window.partitionBy(*keys).orderBy("support_from", "support_to").rowsBetween(Window.unboundedPreceding, -1)
+    seen = parts.withColumn("_over", F.coalesce(F.col("support_from") < F.max("support_to").over(w), F.lit(False)))
+    out = seen.groupBy(*keys).agg(F.sum("delta").alias("delta"), F.sum("dt").alias("dt"), F.sum("pairs").alias("pairs"), F.max("_over").alias("overlap"))
+    return out.withColumn("rate", F.when(~F.col("overlap"), F.col("delta").cast("double") * scale / F.col("dt")))
+
+
 # ---- plans ---------------------------------------------------------------------------------------------------------------
 
 
@@ -99,6 +167,37 @@ def signal_episodes(marks: DataFrame, keys: Sequence[str], step: str, mark: str,
     return runs.groupBy(*keys, "_k").agg(F.min(step).alias("start"), F.max(step).alias("end"), F.count("*").alias("positions"), peak.alias("peak"), F.max(severity).alias("severity")).drop("_k")
 
 
+#: Counters of blocks whose work a call is watched.
+BLOCK_COUNTERS = [
+    "shared_blks_hit", "shared_blks_read", "shared_blks_dirtied", "shared_blks_written", "local_blks_hit",
+    "local_blks_read", "local_blks_dirtied", "local_blks_written", "temp_blks_read", "temp_blks_written",
+]
+
+
+def work_signals(deltas: DataFrame, keys: Sequence[str], ts: str, calls: str, counters: Sequence[str], window: int, least: int = 20, absolute: float = 1.0, relative: float = 0.50) -> DataFrame:
+    """For each key and counter of a plan, runs of positions at which the work a call of (position - window, position] has risen
+    over that of the rest: keys, counter, start, end, positions, peak, severity (the smaller multiple of the two gates).
+
+    Positions are the intervals' own ends. An interval without calls and work says nothing, one with work and no calls, or a
+    null, is a break: sums don't reach over it and no position is judged on it. Windows are sums over ranges of one window a
+    segment, so positions never meet points in a join."""
+    from tidemark.operators.change import per_unit_change
+    from tidemark.operators.change import severity as how_much
+
+    long = deltas.select(*keys, ts, F.col(calls).alias("_calls"), F.explode(F.create_map(*[x for c in counters for x in (F.lit(c), F.col(c).cast("bigint"))])).alias("counter", "_work"))
+    long = long.where(~F.coalesce((F.col("_calls") == 0) & (F.col("_work") == 0), F.lit(False)))
+    good = F.coalesce((F.col("_calls") > 0) & F.col("_work").isNotNull(), F.lit(False))
+    w = Window.partitionBy(*keys, "counter").orderBy(ts)
+    long = long.withColumn("_good", good).withColumn("_segment", F.sum((~F.col("_good")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = Window.partitionBy(*keys, "counter", "_segment")
+    near = part.orderBy(ts).rangeBetween(-window, 0)
+    ok = lambda c: F.when(F.col("_good"), F.col(c)).otherwise(0)
+    long = long.withColumns({"_cc": F.sum(ok("_calls")).over(near), "_cw": F.sum(ok("_work")).over(near), "_ac": F.sum(ok("_calls")).over(part), "_aw": F.sum(ok("_work")).over(part)})
+    judged = per_unit_change(long.where("_good"), F.col("_ac") - F.col("_cc"), F.col("_aw") - F.col("_cw"), F.col("_cc"), F.col("_cw"), least, least, absolute, relative)
+    judged = judged.withColumns({"_hit": F.col("outcome") == "increase", "_sev": F.coalesce(how_much(F.col("delta_per_unit"), absolute, F.col("relative_delta"), relative), F.lit(0.0))})
+    return signal_episodes(judged.select(*keys, "counter", "_segment", ts, "_hit", F.col("_sev").alias("severity")), [*keys, "counter", "_segment"], ts, "_hit", "severity").drop("_segment")
+
+
 def rank_signals(found: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return found.orderBy(F.desc("severity"), *keys, "start").limit(limit)
 

@@ -153,3 +153,23 @@ def duplicates(df: DataFrame, key: Sequence[str], payload: Sequence[str]) -> Dat
     """One row a key, with its number of rows and whether they disagree; agreeing repeats are kept once."""
     packed = F.struct(*payload)
     return df.groupBy(*key).agg(F.min(packed).alias("_p"), F.count("*").alias("rows"), (F.count_distinct(packed) > 1).alias("conflict")).select(*key, "_p.*", "rows", "conflict")
+
+
+def counter_events(diffs: DataFrame, identity: Sequence[str], kind: str, ts: str = "ts") -> DataFrame:
+    """Events from valid deltas that aren't zero: identity, kind, ts, prev_ts, count."""
+    return diffs.where(F.col("delta") > 0).select(*identity, F.lit(kind).alias("kind"), ts, "prev_ts", F.col("delta").alias("count"))
+
+
+def fell_to_zero(df: DataFrame, identity: Sequence[str], value: str, ts: str = "ts") -> DataFrame:
+    """Rows at which a capacity that was above zero is zero: identity, ts, previous_value. Unknown values aren't crossed: the last
+    known one counts."""
+    known = df.where(F.col(value).isNotNull())
+    out = known.withColumn("previous_value", F.lag(value).over(ordered(identity, ts)))
+    return out.where((F.col(value) == 0) & (F.col("previous_value") > 0)).select(*identity, ts, "previous_value")
+
+
+def epoch_changes(df: DataFrame, identity: Sequence[str], epoch: str, ts: str = "ts") -> DataFrame:
+    """Markers where the epoch of a counter's last reset differs from that of the sample before: identity, ts, prev_ts, epoch."""
+    w = ordered(identity, ts)
+    out = df.withColumns({"prev_ts": F.lag(ts).over(w), "_was": F.lag(epoch).over(w)})
+    return out.where(F.col("prev_ts").isNotNull() & ~F.col(epoch).eqNullSafe(F.col("_was"))).select(*identity, ts, "prev_ts", epoch)

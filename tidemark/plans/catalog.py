@@ -76,8 +76,7 @@ def section_rows(s, d):
 
 @query(f"WITH {_EV} SELECT count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM ev WHERE us >= {T0 + DAY} AND us < {T0 + 2 * DAY}")
 def half_open_range(s, d):
-    e = ev(s, d)
-    return e.where((F.col("us") >= T0 + DAY) & (F.col("us") < T0 + 2 * DAY)).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    return frames.half_open(ev(s, d), T0 + DAY, T0 + 2 * DAY, "us").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
 @query(f"WITH {_EV} SELECT user_id, us, event_id, event_type FROM ev WHERE (user_id, us, event_id) > (20, {T0 + 3 * DAY}, 0) ORDER BY user_id, us, event_id LIMIT 100")
@@ -265,20 +264,18 @@ def delta_rate_bucket(s, d):
 
 @query("SELECT p_brand, round(max(100.0 * p_size / greatest(p_size + CAST(floor(p_retailprice) AS BIGINT), 1)), 9) AS value FROM part GROUP BY p_brand")
 def gauge_ratio_bucket(s, d):
-    p = table(s, d, "part").withColumn("r", 100.0 * F.col("p_size") / F.greatest(F.col("p_size") + F.floor("p_retailprice").cast("bigint"), F.lit(1)))
-    return p.groupBy("p_brand").agg(F.round(F.max("r"), 9).alias("value"))
+    out = metrics.gauge_ratio(table(s, d, "part"), ["p_brand"], F.col("p_size"), F.floor("p_retailprice").cast("bigint"), "part")
+    return out.withColumn("value", F.round("value", 9))
 
 
 @query(f"WITH {_EV} SELECT day, round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END), 9) AS fraction FROM ev GROUP BY day")
 def active_fraction(s, d):
-    return ev(s, d).groupBy("day").agg(F.round(F.avg((F.col("event_type") == "click").cast("int")), 9).alias("fraction"))
+    return metrics.active_fraction(ev(s, d), ["day"], F.col("event_type") == "click").select("day", F.round("fraction", 9).alias("fraction"))
 
 
 @query(f"WITH {_EV}, p AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS dt FROM ev) SELECT user_id, CAST(sum(dt) AS BIGINT) AS wait_us FROM p WHERE event_type = 'error' AND dt IS NOT NULL GROUP BY user_id")
 def wait_time(s, d):
-    w = series.ordered(["user_id"], "us")
-    p = ev(s, d).withColumn("dt", F.col("us") - F.lag("us").over(w)).where("event_type = 'error' AND dt IS NOT NULL")
-    return p.groupBy("user_id").agg(F.sum("dt").alias("wait_us"))
+    return metrics.wait_time(ev(s, d), ["user_id"], ["user_id"], F.col("event_type") == "error", "us")
 
 
 @query(f"WITH {_EV}, t AS (SELECT event_type, user_id, CAST(sum(v) AS BIGINT) AS score FROM ev GROUP BY ALL) SELECT event_type, user_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, user_id) AS rank FROM t) WHERE rank <= 8")
@@ -807,9 +804,9 @@ def statements_frame(s, d):
     return out.withColumns({"mean": F.round("mean", 9), "time_pct": F.round("time_pct", 9)})
 
 
-@query(f"WITH {_EV} SELECT event_type, day, count(*) AS n FROM ev GROUP BY ALL")
+@query(f"WITH {_EV} SELECT event_type, day AS bucket, count(*) AS n FROM ev GROUP BY ALL")
 def event_count_metric(s, d):
-    return ev(s, d).groupBy("event_type", "day").agg(F.count("*").alias("n"))
+    return metrics.event_counts(ev(s, d), "event_type", F.col("day"))
 
 
 @query("SELECT o_orderkey, o_orderstatus, NULLIF(o_orderkey % 4, 0) AS gate FROM orders")
@@ -907,16 +904,4 @@ def events_page(s, d):
     return metrics.events_page([e.where("instance = 'error'"), e.where("instance = 'purchase'")], 100, (T0 + 4 * DAY, 0, ""))
 
 
-@query("WITH a AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_custkey, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS link FROM customer LEFT JOIN a ON c_custkey = o_custkey")
-def process_link(s, d):
-    n = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    out = table(s, d, "customer").select("c_custkey").join(n, "c_custkey", "left")
-    return out.select("c_custkey", F.coalesce("n", F.lit(0)).cast("bigint").alias("candidates"), F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, "ambiguous").otherwise("none").alias("link"))
-
-
-@query("SELECT l_returnflag, arg_min(l_orderkey, (l_shipdate, l_orderkey, l_linenumber)) AS first_order, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS open FROM lineitem GROUP BY l_returnflag")
-def filtered_first(s, d):
-    return table(s, d, "lineitem").groupBy("l_returnflag").agg(F.min_by("l_orderkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("first_order"), F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "O").alias("open"))
-
-
-from tidemark.plans import catalog_views  # noqa: E402, F401  more queries, which need what stands above
+from tidemark.plans import catalog_quality, catalog_values, catalog_views  # noqa: E402, F401  more queries, which need what stands above

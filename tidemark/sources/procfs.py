@@ -22,6 +22,7 @@ def _spread(df: DataFrame, words: Column, start: int, names: list[str]) -> list[
     return [_at(words, start + k).alias(n) for k, n in enumerate(names)]
 
 
+#: Fields in the order of the files.
 CPU = ["user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal", "guest", "guest_nice"]
 
 
@@ -43,6 +44,7 @@ def loadavg(lines: DataFrame) -> DataFrame:
     return lines.select(*(F.get(w, F.lit(k)).try_cast("double").alias(f"load{n}") for k, n in enumerate((1, 5, 15))), F.regexp_extract("value", r"(\d+)/(\d+)", 1).try_cast("int").alias("running"), F.regexp_extract("value", r"(\d+)/(\d+)", 2).try_cast("int").alias("threads"))
 
 
+#: Fixed values, as above.
 DISK = ["reads", "reads_merged", "sectors_read", "read_ms", "writes", "writes_merged", "sectors_written", "write_ms", "in_flight", "io_ms", "weighted_ms"]
 
 
@@ -51,6 +53,7 @@ def diskstats(lines: DataFrame) -> DataFrame:
     return lines.where(F.size(w) >= 14).select(_at(w, 0).alias("major"), _at(w, 1).alias("minor"), F.get(w, F.lit(2)).alias("device"), *_spread(lines, w, 3, DISK))
 
 
+#: Fixed values, as above.
 NET = [f"{d}_{n}" for d, names in (("rx", ("bytes", "packets", "errs", "drop", "fifo", "frame", "compressed", "multicast")), ("tx", ("bytes", "packets", "errs", "drop", "fifo", "colls", "carrier", "compressed"))) for n in names]
 
 
@@ -96,3 +99,61 @@ def cgroup_io(lines: DataFrame) -> DataFrame:
 def cgroup_path(lines: DataFrame) -> DataFrame:
     """Lines of /proc/<pid>/cgroup: controllers (null for version 2) and path."""
     return lines.select(F.nullif(F.regexp_extract("value", r"^\d+:([^:]*):", 1), F.lit("")).alias("controllers"), F.regexp_extract("value", r"^\d+:[^:]*:(.*)$", 1).alias("path"))
+
+
+def protocol_counters(lines: DataFrame, line: str = "line") -> DataFrame:
+    """/proc/net/snmp and netstat: each protocol has a line of names and then one of numbers: protocol, name, number. A name
+    without a number, or the other way round, gives no row."""
+    proto = F.regexp_extract("value", r"^(\w+):", 1)
+    rows = lines.where(proto != "").select(proto.alias("protocol"), F.col(line).alias("_line"), F.split(F.trim(F.regexp_extract("value", r"^\w+:(.*)$", 1)), _SPACE).alias("_w"))
+    both = rows.groupBy("protocol").agg(F.min_by("_w", "_line").alias("_names"), F.max_by("_w", "_line").alias("_numbers"), F.count("*").alias("_n")).where("_n = 2")
+    out = both.select("protocol", F.explode(F.arrays_zip("_names", "_numbers")).alias("p"))
+    return out.select("protocol", F.col("p._names").alias("name"), F.col("p._numbers").try_cast("bigint").alias("number")).dropna()
+
+
+#: What is read of /proc/<pid>/status, and under which names.
+STATUS = {"VmSize": "vsize_kb", "VmRSS": "rmem_kb", "VmSwap": "vswap_kb", "Threads": "num_threads", "voluntary_ctxt_switches": "nvcsw", "nonvoluntary_ctxt_switches": "nivcsw"}
+#: Lines of /proc/<pid>/io.
+IO = ["rchar", "wchar", "syscr", "syscw", "read_bytes", "write_bytes", "cancelled_write_bytes"]
+
+
+def _by_name(lines: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
+    name, number = F.regexp_extract("value", r"^(\w+):", 1), F.regexp_extract("value", r"^\w+:\s*(-?\d+)", 1).try_cast("bigint")
+    return lines.groupBy(*by).agg(*(F.max(F.when(name == k, number)).alias(v) for k, v in names.items()))
+
+
+def process_status(lines: DataFrame, by: list[str]) -> DataFrame:
+    """Sizes in kB, threads and switches of each process; null where a kernel thread has no such line."""
+    return _by_name(lines, by, STATUS)
+
+
+def process_io(lines: DataFrame, by: list[str]) -> DataFrame:
+    """Characters, calls and bytes of each process."""
+    return _by_name(lines, by, {k: k for k in IO})
+
+
+def _unescaped(x: Column) -> Column:
+    for code, c in (("040", " "), ("011", "\t"), ("012", "\n"), ("134", "\\")):
+        x = F.replace(x, F.lit(f"\\{code}"), F.lit(c))
+    return x
+
+
+def mountinfo(lines: DataFrame) -> DataFrame:
+    """mount_id, parent_id, device, root, mount_point, options, fs_type, source; the optional fields end at a lone dash."""
+    head, tail = F.split(F.regexp_extract("value", r"^(.*?) - .*$", 1), " "), F.split(F.regexp_extract("value", r"^.*? - (.*)$", 1), " ")
+    return lines.where(F.col("value").rlike(r"^\d+ \d+ \d+:\d+ .* - ")).select(
+        _at(head, 0).alias("mount_id"), _at(head, 1).alias("parent_id"), F.get(head, F.lit(2)).alias("device"), _unescaped(F.get(head, F.lit(3))).alias("root"),
+        _unescaped(F.get(head, F.lit(4))).alias("mount_point"), F.get(head, F.lit(5)).alias("options"), F.get(tail, F.lit(0)).alias("fs_type"), _unescaped(F.get(tail, F.lit(1))).alias("source"),
+    )
+
+
+def topology(lines: DataFrame, line: str = "line") -> DataFrame:
+    """/proc/cpuinfo: cpu_id, socket_id, core_id of each processor block."""
+    from pyspark.sql import Window
+
+    key, number = F.trim(F.split("value", ":")[0]), F.trim(F.regexp_extract("value", r":(.*)$", 1)).try_cast("int")
+    rows = lines.select(F.col(line).alias("_line"), key.alias("k"), number.alias("n"))
+    w = Window.orderBy("_line").rowsBetween(Window.unboundedPreceding, 0)  # one small file
+    blocks = rows.withColumn("_b", F.sum(F.when(F.col("k") == "processor", 1).otherwise(0)).over(w)).where("_b > 0")
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("n")))
+    return blocks.groupBy("_b").agg(at("processor").alias("cpu_id"), at("physical id").alias("socket_id"), at("core id").alias("core_id")).drop("_b")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tidemark.operators.frames import layout_union
 
 CLASSES = ("timestamp", "label", "cumulative", "gauge")
-SEMANTICS = ("snapshot_full", "conditional_full", "event_stream", "changed", "on_change")
+SEMANTICS = ("changed", "conditional_full", "event_stream", "on_change", "snapshot_full")
 
 
 @dataclass(frozen=True)
