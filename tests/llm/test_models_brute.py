@@ -83,3 +83,64 @@ def test_language_scores_equal_the_plain_model(spark):
         assert row.cross_entropy == pytest.approx(h[best], abs=1e-9)
         z = np.exp((h[best] - np.array(h)) * models.temperature)
         assert row.score == pytest.approx(1 / z.sum(), abs=1e-9)
+
+
+def plain_features(text):
+    """Words and their beginnings, as bytes with their kind."""
+    raw = re.sub(b"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", raw)
+    return {w for w in words} | {w[:n] for w in words for n in (4, 5, 6, 7) if len(w) > n}
+
+
+def plain_fit(p, u, prior, steps=600, rate=0.1, decay=2e-4):
+    """The same risk and steps on dense matrices."""
+    w, m, v = np.zeros(p.shape[1] + 1), 0.0, 0.0
+    w[-1] = math.log(prior / (1 - prior))
+    x, y = (np.hstack([a, np.ones((len(a), 1))]) for a in (p, u))
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for step in range(1, steps + 1):
+        a, b = x @ w, y @ w
+        rest = np.log1p(np.exp(b)).mean() - prior * np.log1p(np.exp(a)).mean()
+        slope = y.T @ sigmoid(b) / len(y) - prior * (x.T @ sigmoid(a)) / len(x)
+        g = -prior * (x.T @ sigmoid(-a)) / len(x) + slope if rest >= 0 else -slope
+        g[:-1] += decay * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def test_toxicity_scores_equal_the_plain_model(spark):
+    r = random.Random(8)
+    words = [f"wort{r.randrange(10**4)}" for _ in range(60)]
+    rows = []
+    for i in range(400):
+        w = [r.choice(words) for _ in range(r.randint(3, 30))]
+        if bad := r.random() < 0.25:
+            w += [r.choice(["Vileness", "nastyé", "grossest"]) for _ in range(2)]
+        elif r.random() < 0.5:
+            w += ["kindly"]
+        rows.append((i, " ".join(w), int(bad)))
+    rows += [(500, None, 0), (501, "", 1), (502, "Vile nasty kindly", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 4], "doc_id long, toxic int")
+    learning = F.pmod(F.col("doc_id"), F.lit(5)) != 2
+    got = {x.doc_id: x.score for x in score(docs, learn_toxicity(docs, labels, learning)).collect()}
+
+    learn_rows = [(i, plain_features(t)) for i, t, _ in rows if i % 5 != 2]
+    told = {i: y for i, _, y in rows if i % 4 and i % 5 != 2}
+    prior = sum(told.values()) / len(told)
+    positive = [f for i, f in learn_rows if told.get(i)]
+    p, u = Counter(x for f in positive for x in f), Counter(x for _, f in learn_rows for x in f)
+    kept = []
+    for x in sorted(u):
+        a, b = p[x] / len(positive), u[x] / len(learn_rows)
+        z = (a - b) / math.sqrt(max(b * (1 - b), 1e-12) / len(positive))
+        if (p[x] >= 4 or u[x] >= 20) and abs(z) >= 3:
+            kept.append(x)
+    assert b"kindly" in kept
+    assert b"vileness" in kept
+    dense = lambda fs: np.array([[float(x in f) for x in kept] for f in fs])
+    w = plain_fit(dense(positive), dense([f for _, f in learn_rows]), prior)
+    for i, t, _ in rows:
+        want = 1 / (1 + math.exp(-(dense([plain_features(t)])[0] @ w[:-1] + w[-1])))
+        assert got[i] == pytest.approx(want, abs=1e-9)

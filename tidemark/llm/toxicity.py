@@ -2,13 +2,15 @@
 
 Confirmed toxic documents are the positives; unlabelled text, any learning row whatever its label, is the rest. The class
 prior is the share of toxic labels among learning rows. Features are words and word beginnings of 4 to 7 bytes, present
-or not, as 64-bit fingerprints. Kept are those of at least `support` positives that look at least as often toxic as not
-under the prior. A linear classifier in numpy minimises prior * R+(positives) + max(0, R-(unlabelled) - prior *
-R-(positives)) with the logistic loss: where the second term falls below zero, the step goes the other way.
+or not, as 64-bit fingerprints. All learning rows are counted, and every feature of at least `support` positives, or of five
+times as many learning rows, is kept whose share among positives lies `deviations` standard deviations or more above or below
+its share among all: those say something for or against, and no number of them is set. A linear classifier in numpy
+minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) with the logistic loss: where the second
+term falls below zero, the step goes the other way.
 
-Bounds (parameters): `most_positives` and `most_unlabelled` rows to fit on, drawn by hash from all learning rows, and
-`most_features`. Counting is distributed; the driver gets counts of candidate features and the sample's kept features.
-Scoring is one map over all whole texts.
+Bounds (parameters) are of the rows that it is fitted on, drawn by hash from all learning rows: about `most_positives` and
+`most_unlabelled`, and fewer where their kept features would be more than `most_entries`. Counting and scoring are
+distributed; the driver gets the kept features with their counts and the sample's kept features.
 
 Null and empty texts score as a text without features. Labels without a document, null ids and null labels are ignored;
 a label that repeats counts once. Without positives no feature is kept and all scores are the prior. An empty table gives
@@ -28,6 +30,8 @@ from tidemark.llm.text import ALNUM_WORD, LOWER, Words, by_bytes, byte_sums, fla
 
 PART_BYTES = 1 << 16
 BEGINNINGS = (4, 5, 6, 7)
+TABLE_FEATURES = 1 << 21  # that a task counts before it hands its counts on
+BROADCAST_IDS = 1 << 20
 
 
 def _parts(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
@@ -66,43 +70,48 @@ def _known(found: list[tuple[np.ndarray, np.ndarray]], features: np.ndarray) ->
     return key // max(len(features), 1), key % max(len(features), 1)
 
 
-def _candidates(positives: DataFrame, support: int, most: int) -> np.ndarray:
-    """Features of at least `support` positives, sorted."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """feature, p, u: in how many positives and in how many rows each feature is."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            feature, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-            for _, _, found in _parts(batch.column(0)):
-                more, times = np.unique(_distinct(found)[1], return_counts=True)
-                feature, back = np.unique(np.concatenate([feature, more]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([n, times]), len(feature))
-            release()
-            yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int64)), pa.array(n.astype(np.int64))], ["feature", "n"])
-
-    counts = positives.select("t").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    top = counts.orderBy(F.desc("n"), "feature").limit(most).select("feature").toPandas()["feature"].to_numpy(np.int64)
-    return np.sort(top.astype(np.uint64))
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            feature, p, u = (np.concatenate(c) for c in zip(*kept, strict=True))
+            names, back = np.unique(feature, return_inverse=True)
+            return names, np.bincount(back, p, len(names)).astype(np.int64), np.bincount(back, u, len(names)).astype(np.int64)
 
-def _frequencies(rows: DataFrame, features: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of the rows each feature is, and the number of rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(features)
+        def out() -> pa.RecordBatch:
+            names, p, u = merged()
+            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(p), pa.array(u)], ["feature", "p", "u"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
-            n += batch.num_rows
-            for _, _, found in _parts(batch.column(0)):
-                total += np.bincount(_known(found, shared.value)[1], minlength=len(total))[: len(total)]
-        release()
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, hit]), pa.array(np.r_[n, total[hit]])], ["at", "n"])
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for a, _, found in _parts(batch.column(0)):
+                doc, feature = _distinct(found)
+                names, back = np.unique(feature, return_inverse=True)
+                kept.append((names, np.bincount(back, toxic[a + doc], len(names)).astype(np.int64), np.bincount(back, minlength=len(names))))
+                size += len(names)
+                if size > TABLE_FEATURES:
+                    kept = [merged()]
+                    size = 2 * len(kept[0][0])  # next time after as many more
+                    if size > 2 * TABLE_FEATURES:
+                        yield out()
+                        kept, size = [], 0
+            release()
+        if kept:
+            yield out()
 
-    got = rows.select("t").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(features), np.int64)
-    real = got["at"] >= 0
-    out[got["at"][real]] = got["n"][real]
-    return out, int(got["n"][~real].sum())
+    return rows.select("t", "toxic").mapInArrow(count, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def _telling(counts: DataFrame, n_p: int, n_u: int, support: int, deviations: float) -> tuple[np.ndarray, int, int]:
+    """The kept features, sorted, and how many entries of them the positives and all rows have."""
+    a, b = F.col("p") / F.lit(float(n_p)), F.greatest(F.col("u").cast("double"), F.lit(0.5)) / F.lit(float(n_u))
+    z = (a - b) / F.sqrt(F.greatest(b * (F.lit(1.0) - b), F.lit(1e-12)) / F.lit(float(n_p)))
+    kept = counts.where(((F.col("p") >= support) | (F.col("u") >= 5 * support)) & (F.abs(z) >= deviations)).toPandas()
+    return np.sort(kept["feature"].to_numpy(np.int64).astype(np.uint64)), int(kept["p"].sum()), int(kept["u"].sum())
 
 
 def _matrix(rows: DataFrame, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -113,12 +122,12 @@ def _matrix(rows: DataFrame, features: np.ndarray) -> tuple[np.ndarray, np.ndarr
         for batch in batches:
             for a, b, found in _parts(batch.column(0)):
                 doc, at = _known(found, shared.value)
-                ends = np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, at.astype(np.int32))], ["at"])
+                yield pa.RecordBatch.from_arrays([pa.array([np.bincount(doc, minlength=b - a).astype("<i4").tobytes()]), pa.array([at.astype("<i4").tobytes()])], ["sizes", "at"])
+            release()
 
-    lists = [r["at"] for r in rows.select("t").mapInArrow(pick, "at array<int>").collect()]
-    size = [len(x) for x in lists]
-    return np.repeat(np.arange(len(lists)), size), np.array([k for x in lists for k in x], np.int64), len(lists)
+    got = rows.select("t").mapInArrow(pick, "sizes binary, at binary").collect()
+    size, at = (np.frombuffer(b"".join(r[c] for r in got), "<i4").astype(np.int64) for c in ("sizes", "at"))
+    return np.repeat(np.arange(len(size)), size), at, len(size)
 
 
 def _softplus(x: np.ndarray) -> np.ndarray:
@@ -164,7 +173,10 @@ class Model:
         return _sigmoid(out)
 
 
-def learn(docs: DataFrame, labels: DataFrame, learning: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positives: int = 20_000, most_unlabelled: int = 40_000, most_features: int = 1 << 18, support: int = 8) -> Model:
+def learn(
+    docs: DataFrame, labels: DataFrame, learning: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    most_positives: int = 20_000, most_unlabelled: int = 40_000, most_entries: int = 4_000_000, support: int = 4, deviations: float = 3.0,
+) -> Model:
     """A model from the rows for which `learning`, an expression of the id column, holds."""
     told = labels.where(learning & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).alias("toxic"))
     known, toxic = told.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
@@ -172,17 +184,23 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Column, id_col: str = "d
     empty = Model(np.empty(0, np.uint64), np.array([np.log(prior / (1 - prior))]))
     if not toxic:
         return empty
+    positive = told.where("toxic").select(F.col(id_col).alias("i"), "toxic")
     rows = docs.where(learning).select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"))
-    chosen = told.where("toxic").select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i")).limit(most_positives)
-    positives = rows.join(F.broadcast(chosen), "i", "left_semi")
-    share = min(1.0, most_unlabelled / max(rows.count(), 1))
-    unlabelled = rows.where(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    features = _candidates(positives, support, most_features)
-    (p, n_p), (u, n_u) = _frequencies(positives, features), _frequencies(unlabelled, features)
-    if not n_p or not n_u:
+    rows = rows.join(F.broadcast(positive) if toxic <= BROADCAST_IDS else positive, "i", "left").withColumn("toxic", F.coalesce("toxic", F.lit(False)))
+    n_u, n_p = (int(x or 0) for x in rows.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first())
+    if not n_p:
+        return empty
+    features, in_p, in_u = _telling(_counted(rows), n_p, n_u, support, deviations)
+
+    def sample(df: DataFrame, n: int, most: int, entries: int, salt: int) -> DataFrame:
+        share = min(1.0, most / n, most_entries / max(entries, 1))
+        return df if share == 1.0 else df.where(F.pmod(F.xxhash64("i", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    positives, unlabelled = sample(rows.where("toxic"), n_p, most_positives, in_p, 3), sample(rows, n_u, most_unlabelled, in_u, 5)
+    p, u = _matrix(positives, features), _matrix(unlabelled, features)
+    if not p[2] or not u[2]:
         return empty
-    features = features[prior * p / n_p >= 0.5 * u / n_u]
-    return Model(features, fit_nnpu(_matrix(positives, features), _matrix(unlabelled, features), len(features), prior))
+    return Model(features, fit_nnpu(p, u, len(features), prior))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
