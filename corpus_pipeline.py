@@ -8,12 +8,9 @@ and read again, so that a lost executor costs one stage at most.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.functions.session import share_code
+from tidemark.functions.session import scratch, share_code
 from tidemark.llm.decontamination import clean
 from tidemark.llm.jaccard_join import keep_one
 from tidemark.llm.packing import pack
@@ -28,8 +25,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that share four fifths of their five-word shingles, directly or over others, the smallest id stays."""
     share_code(spark)
-    return keep_one(docs)
+    return keep_one(docs, size=5, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share_code(spark)
-    return pack(docs, tokenizer())
+    return pack(docs, tokenizer()).drop("closed_by")
 
 
 STAGES = [
@@ -57,7 +55,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
