@@ -90,8 +90,8 @@ def shingles(t, n=4):
     return {tuple(w[p : p + n]) for p in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def jaccard_components(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
-    edges = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if x and y and 100 * len(x & y) >= 85 * len(x | y)]
+def jaccard_components(rows, n=4, percent=85):
+    sets = [(i, shingles(t, n)) for i, t in rows]
+    edges = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if x and y and 100 * len(x & y) >= percent * len(x | y)]
     up = components({i for i, _ in sets}, edges)
     return [(i, len(x), up[i]) for i, x in sets]

@@ -29,6 +29,24 @@ def test_components_are_exact(spark, rows, block, quarters):
     assert got == sorted(brute.jaccard_components(rows))
 
 
+def test_default_quarters_and_other_limits(spark):
+    rows = family(9, 120) + [(10_000 + i, t) for i, t in corpus(3)]
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == sorted(brute.jaccard_components(rows))
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA), size=5, percent=80).collect()))
+    assert got == sorted(brute.jaccard_components(rows, 5, 80))
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    """Each row of an id links by its own text, whichever comes first."""
+    one, two, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "abz")
+    rows = [(5, one), (5, two), (5, other), (2, two + " more"), (9, one + " more"), (11, "alone " + "x y z"), (3, other), (3, "short"), (3, "short"), (12, "short"), (None, one)]
+    for order in (rows, rows[::-1]):
+        got = sorted(map(tuple, jaccard_components(spark.createDataFrame(order, SCHEMA)).collect()), key=repr)
+        assert [(i, c) for i, _, c in got if i is not None] == sorted([(5, 2), (5, 2), (5, 2), (2, 2), (9, 2), (11, 11), (3, 2), (3, 2), (3, 2), (12, 2)], key=repr)
+        assert [n for i, n, _ in got if i == 3] == [1, 1, 57]
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c d e"), (3, "a b c d e"), (5, "A B\tc D e"), (5, "a b c d e"), (7, ""), (8, None), (9, " "), (10, "one"), (12, "ONE")]
     got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)

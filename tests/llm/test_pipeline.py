@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark, tables, tmp_path):
     assert {i for i, _ in rows} - {i for i, _ in kept} <= toxic
     assert len(toxic & {i for i, _ in kept}) <= 0.2 * len(toxic)
 
-    up = dict((i, c) for i, _, c in brute.jaccard_components(kept))
+    up = dict((i, c) for i, _, c in brute.jaccard_components(kept, 5, 80))
     one = [(i, t) for i, t in kept if up[i] == i]
     assert pairs("ngram_jaccard_join") == sorted(one)
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.session import shared_folder
+
 
 def checkpoints(spark: SparkSession) -> None:
-    """Uses the folder that the session names; one of its own only where none is named (tests, local runs)."""
+    """Uses the folder that the session names; one of its own only where none is named and the session is local."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

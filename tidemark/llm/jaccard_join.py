@@ -17,7 +17,9 @@
 Links go to `connected_components`. Result: doc_id, n_shingles, component_id.
 
 Texts without words, and null texts, have empty sets and link with nothing, not even each other. Rows of one doc_id are one
-node; a null doc_id links with nothing and has itself, null, as component. An empty table gives no rows.
+component, each with its own text's links: where their texts differ, all but one get a node of their own, numbered from 2^62
+on, and a link to the doc_id. A null doc_id links with nothing and has itself, null, as component. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ PART_BYTES = 1 << 16
 ORDERED = 1 << 16
 BLOCK = 128
 BROADCAST_IDS = 1 << 19
+TWINS = 1 << 62
 MATCHES = (1, 2, 4, 8, 16)
 _SET = 6  # bytes of a token where sets meet: a meeting has few enough tokens to tell them apart
 
@@ -337,10 +340,25 @@ def _meet(rows: DataFrame, asked: DataFrame, order, size: int, percent: int, bin
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, quarters: int = 2, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: links need 100 * |both| >= percent * |either|."""
-    spark = docs.sparkSession
-    checkpoints(spark)
+    checkpoints(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     survey = _survey(rows, size).checkpoint()
+    told = survey.where("kind = 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n", "a", "b")).alias("x"), F.max(F.struct("n", "a", "b")).alias("y"))
+    several = told.where("x <> y").select("doc_id").checkpoint()
+    if several.isEmpty():
+        return _components(rows, survey, None, size, percent, quarters, block)
+    name = F.xxhash64("text")
+    least = rows.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(name).alias("least"))
+    node = F.when(name != F.col("least"), F.lit(TWINS) + F.pmod(F.xxhash64("doc_id", name), F.lit(1 << 61))).otherwise(F.col("doc_id"))
+    nodes = rows.join(least, "doc_id", "left").select(node.alias("node"), "doc_id", "text")
+    twins = nodes.where("node <> doc_id").select("node", F.col("doc_id").alias("owner")).distinct().checkpoint()
+    rows = nodes.select(F.col("node").alias("doc_id"), "text")
+    out = _components(rows, _survey(rows, size).checkpoint(), twins.select(F.col("node").alias("u"), F.col("owner").alias("v")), size, percent, quarters, block)
+    return out.join(twins.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.coalesce("owner", "doc_id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def _components(rows: DataFrame, survey: DataFrame, more_links: DataFrame | None, size: int, percent: int, quarters: int, block: int) -> DataFrame:
+    docs, spark = rows, rows.sparkSession
     base = survey.where("kind = 0").select("doc_id", "n", "a", "b")
     frequent = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "a").limit(ORDERED).toPandas()
     order = spark.sparkContext.broadcast(_Order(frequent["a"].to_numpy(np.int64).astype(np.uint64), frequent["times"].to_numpy(np.int64)))
@@ -381,6 +399,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, quarte
     asked = asked.groupBy("grp").applyInArrow(lambda t: _invited(t, percent, quarters), "grp int, centre long, doc long, block long, seed long")
     met = _meet(dealt, asked, order, size, percent, bins).checkpoint()
     links = met.where("kind = 0").select("u", "v").union(copies)
+    links = links if more_links is None else links.union(more_links)
     parts = connected_components(links)
 
     split = met.where("kind = 1").select(F.col("u").alias("centre"), F.col("v").alias("doc")).distinct()
