@@ -218,9 +218,8 @@ def normalize_message(text: Column) -> Column:
     x = F.regexp_replace(x, "'[^']+'", "'...'")
     x = F.regexp_replace(x, r"\([^)]*\)", "(...)")
     x = F.regexp_replace(x, r"\[[^\]]*\]", "[...]")
-    for word in NUMBERED:
-        x = F.regexp_replace(x, f"(?s)^((?:(?!{word}).)*{word})[0-9]+", "$1...")
-    x = F.regexp_replace(x, r"(?s)^((?:(?!after ).)*after )[0-9.]+", "$1...")
+    for word, digits in [*((w, "[0-9]") for w in NUMBERED), ("after ", "[0-9.]")]:  # behind the first of each word, by an atomic group
+        x = F.regexp_replace(x, f"(?s)^((?>.*?{word})){digits}+", "$1...")
     x = F.regexp_replace(x, r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{1,8}/[0-9A-Fa-f]{1,8}(?![0-9A-Fa-f])", "...")
     x = F.regexp_replace(x, r"(?s)(invalid input syntax for .*?: ).*$", "$1...")
     x = F.regexp_replace(x, rf"(?is)(permission denied for (?:{'|'.join(REFUSED)}) ).*$", "$1...")

@@ -21,23 +21,28 @@ def scores(points: DataFrame, series: Sequence[str], value: str, frm: int, to: i
     position]; its reference are all other points, later ones too, of the segment that the window lies in. A window over a
     break, that is over two segments, is a discontinuity. Non-finite values must have been made breaks.
 
-    A segment's values go to its positions as one sorted array, so that a point is shuffled once and not once for each
-    position; the medians are taken in JVM expressions."""
+    A segment's values are one array in order of value, shuffled once and filtered by each position that it can reach, which
+    keeps the order: only the deviations are sorted again. Positions get a segment's medians, not its points."""
     held = points.where(F.col(ts).between(frm, to) & F.col(value).isNotNull())
-    lists = held.groupBy(*series, segment).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).cast("double").alias("v")))).alias("p"))
-    ends = lists.groupBy(*series).agg(F.collect_list(F.struct(F.col(segment).alias("segment"), "p")).alias("s")).withColumn("position", F.explode(positions(frm, to, window, step)))
+    at = positions(frm, to, window, step)
+    lists = held.groupBy(*series, segment).agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col(ts).alias("t")))).alias("p"), F.min(ts).alias("a"), F.max(ts).alias("b"))
+    out = lists.withColumn("position", F.explode(F.filter(at, lambda x: (x >= F.col("a")) & (x <= F.col("b") + window))))
     inside = lambda x: (x["t"] >= F.col("position") - window) & (x["t"] <= F.col("position"))
-    met = F.filter("s", lambda s: F.exists(s["p"], inside))
-    out = ends.withColumn("met", met).withColumn("p", F.when(F.size("met") == 1, F.element_at("met", 1)["p"]))
-    out = out.withColumns({"cur": F.array_sort(F.transform(F.filter("p", inside), lambda x: x["v"])), "ref": F.array_sort(F.transform(F.filter("p", lambda x: ~inside(x)), lambda x: x["v"]))})
-    n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    out = out.withColumns({"n_cur": n(F.col("cur")), "n_ref": n(F.col("ref"))})
-    reason = F.when(F.size("met") > 1, "discontinuity").when(F.size("met") == 0, "all_no_data").when(F.col("n_ref") < min_ref, "ref_too_small").when(F.col("n_cur") < min_cur, "cur_too_small")
-    out = out.withColumn("reason", reason)
-    good = F.col("reason").isNull()
-    out = out.withColumns({"med_cur": F.when(good, median_of("cur")), "med_ref": F.when(good, median_of("ref"))})
-    out = out.withColumn("dev", F.when(good, F.array_sort(F.transform("ref", lambda v: F.abs(v - F.col("med_ref"))))))
-    out = out.withColumn("mad_ref", F.when(good, median_of("dev")))
+    only = lambda test: F.transform(F.filter("p", test), lambda x: x["v"])
+    out = out.withColumn("cur", only(inside)).where(F.size("cur") > 0)
+    out = out.withColumn("ref", only(lambda x: ~inside(x))).withColumns({"n_cur": F.size("cur"), "n_ref": F.size("ref")})
+    big = (F.col("n_ref") >= min_ref) & (F.col("n_cur") >= min_cur)
+    out = out.withColumns({"med_cur": F.when(big, median_of("cur")), "med_ref": F.when(big, median_of("ref"))})
+    out = out.withColumn("dev", F.when(big, F.array_sort(F.transform("ref", lambda v: F.abs(v - F.col("med_ref"))))))
+    out = out.withColumn("mad_ref", F.when(big, median_of("dev")))
+    cells = out.groupBy(*series, "position").agg(F.count("*").alias("met"), F.first(F.struct("n_cur", "n_ref", "med_cur", "med_ref", "mad_ref")).alias("x"))
+    every = held.select(*series).distinct().withColumn("position", F.explode(at))
+    out = every.join(cells, [*series, "position"], "left")
+    one = F.col("met") == 1
+    n = lambda c: F.coalesce(F.when(one, F.col(f"x.{c}")), F.lit(0))
+    out = out.withColumns({"n_cur": n("n_cur"), "n_ref": n("n_ref")})
+    reason = F.when(F.col("met") > 1, "discontinuity").when(F.col("met").isNull(), "all_no_data").when(F.col("n_ref") < min_ref, "ref_too_small").when(F.col("n_cur") < min_cur, "cur_too_small")
+    out = out.withColumns({"reason": reason, **{c: F.when(one, F.col(f"x.{c}")) for c in ("med_cur", "med_ref", "mad_ref")}})
     out = out.withColumn("sigma", F.greatest(SIGMA * F.col("mad_ref"), F.greatest(F.lit(eps_abs), eps_rel * F.abs("med_ref"))))
     return out.select(*series, "position", "n_cur", "n_ref", "med_cur", "med_ref", "mad_ref", "sigma", ((F.col("med_cur") - F.col("med_ref")) / F.col("sigma")).alias("m"), "reason")
 

@@ -84,9 +84,11 @@ def latest(df: DataFrame, ts: str = "ts", at: int | None = None) -> DataFrame:
 
 def snapshot_at(df: DataFrame, at: int, ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
     """The snapshot in force at a time, the one before it and the one after."""
-    before = df.where(F.col(ts) <= at).select(*by, ts).distinct()
-    w = Window.partitionBy(*by, F.lit(0)).orderBy(F.desc(ts))
-    two = before.withColumn("_n", F.row_number().over(w)).where("_n <= 2").groupBy(*by).agg(F.max(F.when(F.col("_n") == 1, F.col(ts))).alias("snapshot"), F.max(F.when(F.col("_n") == 2, F.col(ts))).alias("predecessor"))
+    before = df.where(F.col(ts) <= at)
+    last = before.groupBy(*by).agg(F.max(ts).alias("snapshot"))
+    cond = before.join(last, list(by)) if by else before.crossJoin(F.broadcast(last))
+    prior = cond.where(F.col(ts) < F.col("snapshot")).groupBy(*by).agg(F.max(ts).alias("predecessor"))
+    two = last.join(prior, list(by), "left") if by else last.where("snapshot IS NOT NULL").crossJoin(F.broadcast(prior))
     later = df.where(F.col(ts) > at).groupBy(*by).agg(F.min(ts).alias("successor"))
     return two.join(later, list(by), "left") if by else two.crossJoin(F.broadcast(later))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +44,9 @@ def clusters(episodes: DataFrame, node: Sequence[str], epsilon: int, most_span:
 @dataclass(frozen=True)
 class Rule:
     """A finding where a measure of a cluster's rows reaches a gate. kind: counter_ratio (sum num / sum den), counter_sum
-    (sum num), counter_rate (sum num a second), gauge_max, gauge_min, gauge_share (max num / den)."""
+    (sum num), counter_rate (sum num a second), gauge_max, gauge_min, gauge_share (max num / den; min with below). also: other
+    measures of the same kind, any of which will do. where: rows that qualify. grows: a gauge that must have grown over the
+    cluster. least: aligned intervals that a counter needs."""
 
     id: str
     section: str
@@ -54,55 +56,186 @@ class Rule:
     gate: float
     role: str = "coincident"
     below: bool = False
+    also: tuple[tuple[str, str | None, float], ...] = ()
+    where: str | None = None
+    grows: str | None = None
+    least: int = 3
+
+    def measures(self) -> list[tuple[str, str | None, float]]:
+        return [(self.num, self.den, self.gate), *self.also]
 
 
 _MIB = 1 << 20
-#: Rules over counters and gauges.
+_BLOCKS = "shared_blks_hit + shared_blks_read + shared_blks_dirtied + shared_blks_written + local_blks_hit + local_blks_read + local_blks_dirtied + local_blks_written + temp_blks_read + temp_blks_written"
+# Rules over counters and gauges.
 RULES = [
-    Rule("PG-QRY-001", "pg_stat_statements", "counter_ratio", "total_exec_time", "calls", 50.0, "amplifier"),
-    Rule("PG-TEMP-003", "pg_stat_database", "counter_sum", "temp_bytes", None, 1.0, "amplifier"),
+    Rule("PG-QRY-001", "pg_stat_statements", "counter_ratio", "total_exec_time", "calls", 50.0, "amplifier", also=((_BLOCKS, "calls", 1000.0),)),
+    Rule("PG-TEMP-003", "pg_stat_database", "counter_sum", "temp_bytes", None, 1.0, "amplifier", where="temp_files IS NOT NULL"),
     Rule("PG-ANALYZE-004", "pg_stat_user_tables", "gauge_share", "n_mod_since_analyze", "greatest(abs(reltuples), 1)", 0.2),
-    Rule("PG-VACUUM-005", "pg_vacuum_observation", "gauge_max", "elapsed_us", None, 300e6),
-    Rule("PG-FREEZE-006", "pg_freeze_horizon", "gauge_share", "xid_age", "xid_limit", 0.9),
+    Rule("PG-VACUUM-005", "pg_vacuum_observation", "gauge_max", "elapsed_us", None, 300e6, where="activity_present AND clock_valid"),
+    Rule("PG-FREEZE-006", "pg_freeze_horizon", "gauge_share", "xid_age", "xid_limit", 0.9, also=(("mxid_age", "mxid_limit", 0.9),)),
     Rule("PG-HOT-007", "pg_stat_user_tables", "counter_ratio", "n_tup_upd - n_tup_hot_upd", "n_tup_upd", 0.5, "amplifier"),
     Rule("PG-CHKPT-008", "pg_stat_checkpointer", "counter_ratio", "checkpoints_req", "checkpoints_req + checkpoints_timed", 0.5, "amplifier"),
     Rule("PG-WAL-009", "pg_stat_wal", "counter_ratio", "wal_fpi", "wal_records", 0.5, "amplifier"),
     Rule("PG-CACHE-010", "pg_stat_database", "counter_ratio", "blks_read", "blks_read + blks_hit", 0.2, "amplifier"),
     Rule("PG-IO-011", "pg_stat_io", "counter_ratio", "read_time", "reads", 1.0, "amplifier"),
-    Rule("PG-CONN-014", "pg_stat_database", "gauge_share", "numbackends", "datconnlimit", 0.8),
-    Rule("PG-REPL-015", "pg_physical_replication", "gauge_max", "replay_bytes", None, 64.0 * _MIB),
-    Rule("PG-SLOT-016", "pg_slot_retention", "gauge_share", "retained_bytes", "retained_bytes + safe_wal_size", 0.8),
-    Rule("PG-ARCH-017", "pg_stat_archiver", "counter_sum", "failed_count", None, 1.0),
-    Rule("OS-CPU-020", "os_cpu", "counter_ratio", "busy", "total", 0.8),
+    Rule("PG-HORIZON-013", "pg_stat_activity", "gauge_max", "xmin_age", None, 1e6, "amplifier", where="idle_in_transaction OR xact_age_us >= 300000000"),
+    Rule("PG-CONN-014", "pg_stat_database", "gauge_share", "numbackends", "datconnlimit", 0.8, where="datconnlimit > 0"),
+    Rule("PG-REPL-015", "pg_physical_replication", "gauge_max", "replay_bytes", None, 64.0 * _MIB, also=(("replay_lag_us", None, 30e6),), where="state BETWEEN 1 AND 5"),
+    Rule("PG-SLOT-016", "pg_slot_retention", "gauge_share", "retained_bytes", "retained_bytes + safe_wal_size", 0.8, also=(("retained_bytes", "max_keep_bytes", 0.8),), where="status BETWEEN 1 AND 2", grows="retained_bytes"),
+    Rule("PG-ARCH-017", "pg_stat_archiver", "counter_sum", "failed_count", None, 1.0, least=1),
+    Rule("OS-CPU-020", "os_cpu", "counter_ratio", "busy", "total", 0.8, also=(("steal", "total", 0.05),), where="cpu_id = -1"),
     Rule("OS-CGRP-021", "cgroup_cpu", "counter_rate", "throttled_usec", None, 100_000.0),
     Rule("OS-MEM-022", "os_meminfo", "gauge_share", "mem_available", "mem_total", 0.05, below=True),
-    Rule("OS-CGMEM-023", "cgroup_memory", "gauge_share", "current", "max", 0.9),
-    Rule("OS-BLOCK-024", "os_diskstats", "counter_ratio", "io_ms", "ios", 20.0),
+    Rule("OS-CGMEM-023", "cgroup_memory", "gauge_share", "current", "max", 0.9, where="mapped AND max IS NOT NULL"),
+    Rule("OS-BLOCK-024", "os_diskstats", "counter_ratio", "io_ms", "ios", 20.0, also=(("weighted_ms * 1000.0", "dt", 1.0),)),
     Rule("OS-WB-025", "os_meminfo", "gauge_share", "dirty + writeback", "mem_total", 0.1),
-    Rule("OS-FS-027", "os_mountinfo", "gauge_share", "available_bytes", "total_bytes", 0.1, below=True),
+    Rule("OS-FS-027", "os_mountinfo", "gauge_share", "available_bytes", "total_bytes", 0.1, below=True, where="mapped"),
     Rule("OS-NET-028", "os_netdev", "counter_ratio", "rx_errs", "rx_packets", 0.01),
-]
+]
 
 
-def findings(rows: DataFrame, rule: Rule, keys: Sequence[str], entity: Sequence[str], ts: str = "ts", least: int = 3) -> DataFrame:
+def findings(rows: DataFrame, rule: Rule, keys: Sequence[str], entity: Sequence[str], ts: str = "ts") -> DataFrame:
     """Findings of one rule: keys (a cluster), rule, role, entity, value, intervals. Rows are inside clusters already. A
     counter's columns are deltas, dt its microseconds, null where a pair isn't valid; it needs `least` aligned intervals
-    that are 70 % of the endpoints. Of gauges the extreme row counts, the first on ties."""
-    num = F.expr(rule.num).cast("double")
-    den = F.expr(rule.den).cast("double") if rule.den else F.lit(1.0)
+    that are 70 % of the endpoints. Of gauges the extreme row counts, the first on ties. value: that of the first measure that
+    reaches its gate."""
+    rows = rows.where(rule.where) if rule.where else rows
+    nums = [F.expr(n).cast("double") for n, _, _ in rule.measures()]
+    dens = [F.expr(d).cast("double") if d else F.lit(1.0) for _, d, _ in rule.measures()]
     if rule.kind.startswith("counter"):
-        ok = num.isNotNull() & den.isNotNull() & F.col("dt").isNotNull()
-        out = rows.groupBy(*keys, *entity).agg(F.count_if(ok).alias("intervals"), F.count("*").alias("endpoints"), F.sum(F.when(ok, num)).alias("n"), F.sum(F.when(ok, den)).alias("d"), F.sum(F.when(ok, F.col("dt"))).alias("t"))
-        out = out.where((F.col("intervals") >= (1 if rule.id == "PG-ARCH-017" else least)) & (F.col("intervals") * 10 >= F.col("endpoints") * 7))
-        value = {"counter_ratio": ratio(F.col("n"), F.col("d")), "counter_sum": F.col("n"), "counter_rate": ratio(F.col("n") * 1e6, F.col("t"))}[rule.kind]
+        ok = F.col("dt").isNotNull()
+        for x in (*nums, *dens):
+            ok = ok & x.isNotNull()
+        sums = [F.sum(F.when(ok, x)).alias(f"{c}{k}") for c, xs in (("n", nums), ("d", dens)) for k, x in enumerate(xs)]
+        out = rows.groupBy(*keys, *entity).agg(F.count_if(ok).alias("intervals"), F.count("*").alias("endpoints"), *sums, F.sum(F.when(ok, F.col("dt"))).alias("t"))
+        out = out.where((F.col("intervals") >= rule.least) & (F.col("intervals") * 10 >= F.col("endpoints") * 7))
+        measure = {"counter_ratio": lambda n, d: ratio(n, d), "counter_sum": lambda n, d: n, "counter_rate": lambda n, d: ratio(n * 1e6, F.col("t"))}[rule.kind]
+        values = [measure(F.col(f"n{k}"), F.col(f"d{k}")) for k in range(len(nums))]
     else:
-        x = {"gauge_max": num, "gauge_min": num, "gauge_share": ratio(num, den)}[rule.kind]
         low = rule.below or rule.kind == "gauge_min"
-        best = F.max_by(x, F.struct(-x if low else x, -F.col(ts)))
-        out = rows.withColumn("_x", x).where("_x IS NOT NULL").groupBy(*keys, *entity).agg(F.count("*").alias("intervals"), best.alias("n"))
-        value = F.col("n")
-    hit = value < rule.gate if rule.below else value >= rule.gate
-    return out.withColumn("value", value).where(hit).select(*keys, F.lit(rule.id).alias("rule"), F.lit(rule.role).alias("role"), F.to_json(F.struct(*entity)).alias("entity") if entity else F.lit("{}").alias("entity"), "value", "intervals")
+        xs = [ratio(n, d) if rule.kind == "gauge_share" else n for n, d in zip(nums, dens, strict=True)]
+        rows = rows.withColumns({f"_x{k}": x for k, x in enumerate(xs)}).where(" OR ".join(f"_x{k} IS NOT NULL" for k in range(len(xs))))
+        best = [F.max_by(f"_x{k}", F.when(F.col(f"_x{k}").isNotNull(), F.struct(-F.col(f"_x{k}") if low else F.col(f"_x{k}"), -F.col(ts)))).alias(f"n{k}") for k in range(len(xs))]
+        grown = [(F.max_by(rule.grows, ts) - F.min_by(rule.grows, ts)).alias("_grown")] if rule.grows else []
+        out = rows.groupBy(*keys, *entity).agg(F.count("*").alias("intervals"), *best, *grown)
+        out = out.where("_grown > 0") if grown else out
+        values = [F.col(f"n{k}") for k in range(len(xs))]
+    hits = [v < gate if rule.below else v >= gate for v, (_, _, gate) in zip(values, rule.measures(), strict=True)]
+    value = F.coalesce(*(F.when(hit, v) for hit, v in zip(hits, values, strict=True)))
+    found = F.to_json(F.struct(*entity)) if entity else F.lit("{}")
+    return out.withColumn("value", value).where(F.col("value").isNotNull()).select(*keys, F.lit(rule.id).alias("rule"), F.lit(rule.role).alias("role"), found.alias("entity"), "value", "intervals")
+
+
+def _shaped(found: DataFrame, keys: Sequence[str], rule: str, role: str | Column, entity: Column, value: Column, intervals: Column) -> DataFrame:
+    return found.select(*keys, F.lit(rule).alias("rule"), (role if isinstance(role, Column) else F.lit(role)).alias("role"), entity.alias("entity"), value.cast("double").alias("value"), intervals.cast("bigint").alias("intervals"))
+
+
+def plan_churn_findings(plans: DataFrame, keys: Sequence[str], step: str = "step", ts: str = "ts", plan: str = "planid", calls: str = "calls", time: str = "total_time", most_gap: int = 600_000_000) -> DataFrame:
+    """PG-PLAN-002: a plan that is new between two neighbouring snapshots, and stays, with work of its own."""
+    from tidemark.operators.metrics import plan_churn
+
+    found = plan_churn(plans, keys, step, ts, plan, calls, time, most_gap)
+    return _shaped(found, keys, "PG-PLAN-002", "coincident", F.to_json(F.struct(plan, step)), F.col("time_delta"), F.lit(3))
+
+
+def lock_findings(edges: DataFrame, keys: Sequence[str], ts: str = "ts", waiter: str = "pid", blocker: str = "blocker") -> DataFrame:
+    """PG-LOCK-012: blockers lead, waiters are downstream."""
+    found = lock_roles(edges, keys, ts, waiter, blocker)
+    return _shaped(found, keys, "PG-LOCK-012", F.col("role"), F.to_json(F.struct("pid")), F.col("snapshots"), F.col("snapshots"))
+
+
+def sync_findings(sessions: DataFrame, keys: Sequence[str], step: str = "step", identity: Sequence[str] = ("pid", "backend_start"), wait: str = "wait_event", least: int = 3) -> DataFrame:
+    """PG-SYNC-018: a session that waits for synchronous replication over consecutive snapshots; value: the longest run."""
+    from tidemark.operators.series import runs
+
+    found = runs(sessions, [*keys, *identity], step, F.coalesce(F.col(wait) == "SyncRep", F.lit(False))).where(F.col("length") >= least)
+    found = found.groupBy(*keys, *identity).agg(F.max("length").alias("length"))
+    return _shaped(found, keys, "PG-SYNC-018", "coincident", F.to_json(F.struct(*identity)), F.col("length"), F.col("length"))
+
+
+def wait_findings(backends: DataFrame, keys: Sequence[str], step: str = "step", kind: str = "wait_event_type", active: str = "active") -> DataFrame:
+    """PG-WAIT-019: a class that half of the active backends wait in; value: its share."""
+    from tidemark.operators.change import concentration
+
+    found = concentration(backends, keys, step, kind, active)
+    return _shaped(found, keys, "PG-WAIT-019", "coincident", F.to_json(F.struct(kind)), F.col("n") / F.col("total"), F.col("steps"))
+
+
+def contender_findings(deltas: DataFrame, keys: Sequence[str], identity: Sequence[str] = ("pid", "starttime"), read: str = "read_bytes", write: str = "write_bytes") -> DataFrame:
+    """OS-IOWHO-026: the processes with most bytes, under hashed names."""
+    found = io_contenders(deltas, keys, identity, read, write)
+    return _shaped(found, keys, "OS-IOWHO-026", "coincident", F.to_json(F.struct("process")), F.col("bytes"), F.col("intervals"))
+
+
+#: Rules that aren't one measure: section and what finds them, of rows with the columns that it names by default.
+SPECIAL: dict[str, tuple[str, Callable[..., DataFrame]]] = {
+    "PG-PLAN-002": ("pg_store_plans", plan_churn_findings),
+    "PG-LOCK-012": ("pg_locks", lock_findings),
+    "PG-SYNC-018": ("pg_stat_activity", sync_findings),
+    "PG-WAIT-019": ("pg_stat_activity", wait_findings),
+    "OS-IOWHO-026": ("os_process", contender_findings),
+}
+
+
+def evaluate(sections: Mapping[str, tuple[DataFrame, Sequence[str]]], keys: Sequence[str], rules: Sequence[Rule] = RULES, most: int = 200) -> DataFrame | None:
+    """Findings of all rules whose section is there, in the order of `bounded_findings`. sections: rows by name, with their
+    entity columns; a special rule's rows stand under its id. None without any section."""
+    found = [findings(sections[r.section][0], r, keys, sections[r.section][1]) for r in rules if r.section in sections]
+    found += [find(sections[name][0], keys) for name, (_, find) in SPECIAL.items() if name in sections]
+    out = None
+    for f in found:
+        out = f if out is None else out.unionByName(f)
+    return None if out is None else bounded_findings(out, keys, most)
+
+
+@dataclass(frozen=True)
+class Branch:
+    """An event that is a finding by itself. States: SQLSTATEs of errors; else a severity, or signals of crashed children
+    (sigkill: 9 alone, or all but it)."""
+
+    id: str
+    slug: str
+    states: tuple[str, ...] = ()
+    severity: str | None = None
+    sigkill: bool | None = None
+    cap: str = "high"
+
+
+# Branches in their order.
+BRANCHES = [
+    Branch("PG-EVT-001", "server_child_sigkill", sigkill=True),
+    Branch("PG-EVT-002", "server_child_signal_termination", sigkill=False),
+    Branch("PG-EVT-003", "panic_severity_observation", severity="PANIC"),
+    Branch("OS-FS-027", "filesystem_space", ("53100",)),
+    Branch("PG-EVT-005", "postgres_out_of_memory_observation", ("53200",)),
+    Branch("PG-CONN-014", "connection_saturation", ("53300",)),
+    Branch("PG-EVT-007", "deadlock_observation", ("40P01",)),
+    Branch("PG-EVT-008", "corruption_sqlstate_observation", ("XX001", "XX002")),
+    Branch("PG-EVT-009", "lock_not_available_observation", ("55P03",), cap="medium"),
+    Branch("PG-EVT-010", "query_canceled_observation", ("57014",), cap="medium"),
+    Branch("PG-EVT-011", "serialization_failure_observation", ("40001",), cap="medium"),
+    Branch("PG-EVT-012", "auth_failure_observation", ("28P01",), cap="medium"),
+    Branch("PG-EVT-013", "authorization_failure_observation", ("28000",), cap="medium"),
+    Branch("PG-EVT-014", "permission_denied_observation", ("42501",), cap="medium"),
+]
+
+
+def event_findings(events: DataFrame, keys: Sequence[str], ts: str = "ts", branches: Sequence[Branch] = BRANCHES) -> DataFrame:
+    """keys, rule, slug, cap, entity of log events (kind, severity, sqlstate, count, pid, signal): one for each SQLSTATE, or
+    panic, and time, or for each time, pid and signal of a crash. Groups without rows tell nothing. One pass: an event's branches
+    are an array."""
+    errors, crashes = (F.col("kind") == "error_group") & (F.col("count") > 0), F.col("kind") == "child_process_crash"
+    cells = []
+    for b in branches:
+        if b.states:
+            hit, entity = errors & F.col("sqlstate").isin(*b.states), F.struct("sqlstate", F.col(ts).alias("at"))
+        elif b.severity:
+            hit, entity = errors & (F.col("severity") == b.severity), F.struct("severity", F.col(ts).alias("at"))
+        else:
+            hit, entity = crashes & ((F.col("signal") == 9) if b.sigkill else (F.col("signal") != 9)), F.struct(F.col(ts).alias("at"), "pid", "signal")
+        cells.append(F.when(hit, F.struct(F.lit(b.id).alias("rule"), F.lit(b.slug).alias("slug"), F.lit(b.cap).alias("cap"), F.to_json(entity).alias("entity"))))
+    return events.select(*keys, F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("f")).select(*keys, "f.*").distinct()
 
 
 def bounded_findings(found: DataFrame, keys: Sequence[str], most: int, order: Sequence[str] = ("rule", "entity")) -> DataFrame:

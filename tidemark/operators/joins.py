@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.session import shared_folder
+
 
 def unique_match(left: DataFrame, right: DataFrame, on: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """left with the columns of the one right row of its key; null where there is none, or more than one."""
@@ -15,11 +18,11 @@ def unique_match(left: DataFrame, right: DataFrame, on: Sequence[str], keep: Seq
 
 
 def predecessor(now: DataFrame, identity: Sequence[str], keep: Sequence[str], ts: str, current: int, before: int) -> DataFrame:
-    """Rows of the snapshot `current` with prev_<column> of the same identity at the snapshot `before`: one pass over the
-    two."""
+    """Rows of the snapshot `current` with prev_<column> of the same identity at the snapshot `before`, and before_rows, how many
+    it has there (a null before and no row before differ): one pass over the two."""
     two = now.where(F.col(ts).isin(current, before))
     at = lambda c, t: F.max(F.when(F.col(ts) == t, F.col(c)))
-    out = two.groupBy(*identity).agg(F.count_if(F.col(ts) == current).alias("_n"), *(at(c, current).alias(c) for c in keep), *(at(c, before).alias(f"prev_{c}") for c in keep))
+    out = two.groupBy(*identity).agg(F.count_if(F.col(ts) == current).alias("_n"), F.count_if(F.col(ts) == before).alias("before_rows"), *(at(c, current).alias(c) for c in keep), *(at(c, before).alias(f"prev_{c}") for c in keep))
     return out.where("_n > 0").drop("_n")
 
 
@@ -67,32 +70,37 @@ def longest_prefix(paths: DataFrame, path: str, mounts: DataFrame, mount: str, k
 
 def wait_tree(edges: DataFrame, waiter: str, blocker: str, most_depth: int = 32) -> DataFrame:
     """Who waits for whom, from the roots: pid, root, depth, path. A root blocks and doesn't wait; a group of pids that all
-    wait, a pure cycle, hangs from its smallest pid that reaches itself. A pid that is on its own path isn't followed."""
+    wait, a pure cycle, hangs from its smallest pid that reaches itself. A pid that is on its own path isn't followed. The edges
+    and the tree from the roots are written once: each step of the recursion reads the former, the search for cycles the latter."""
     spark = edges.sparkSession
-    name = f"_edges_{abs(hash((waiter, blocker)))}"
-    edges.select(F.col(waiter).alias("w"), F.col(blocker).alias("b")).where("w <> b").distinct().createOrReplaceTempView(name)
+    name = f"edges_{uuid.uuid4().hex}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    views = [name, f"{name}_left", f"{name}_tree", f"{name}_cycles"]
+    edges.select(F.col(waiter).alias("w"), F.col(blocker).alias("b")).where("w <> b").distinct().checkpoint().createOrReplaceTempView(name)
     walk = """
         SELECT pid, pid AS root, 0 AS depth, ARRAY(pid) AS path FROM ({roots})
         UNION ALL
         SELECT e.w, t.root, t.depth + 1, array_append(t.path, e.w) FROM t JOIN {name} e ON t.pid = e.b
         WHERE NOT array_contains(t.path, e.w) AND t.depth < {depth}"""
-    roots = f"SELECT DISTINCT x.b AS pid FROM {name} x LEFT ANTI JOIN {name} y ON x.b = y.w"
-    tree = spark.sql(f"WITH RECURSIVE t(pid, root, depth, path) AS ({walk.format(roots=roots, name=name, depth=most_depth)}) SELECT * FROM t")
-    tree.createOrReplaceTempView(f"{name}_tree")
-    left = spark.sql(f"SELECT w, b FROM {name} x LEFT ANTI JOIN {name}_tree t ON x.w = t.pid")
-    if left.isEmpty():
-        return tree
-    left.createOrReplaceTempView(f"{name}_left")
-    inner = f"""
-        SELECT b AS start, w AS pid, ARRAY(b, w) AS path, 1 AS depth FROM {name}_left
-        UNION ALL
-        SELECT c.start, e.w, array_append(c.path, e.w), c.depth + 1 FROM c JOIN {name}_left e ON c.pid = e.b
-        WHERE c.depth < {most_depth} AND c.pid <> c.start AND (e.w = c.start OR NOT array_contains(c.path, e.w))"""
-    cycles = spark.sql(f"WITH RECURSIVE c(start, pid, path, depth) AS ({inner}) SELECT start, array_min(path) AS least FROM c WHERE pid = start")
-    cycles.createOrReplaceTempView(f"{name}_cycles")
-    heads = f"SELECT DISTINCT start AS pid FROM {name}_cycles GROUP BY start HAVING min(least) = start"
-    more = spark.sql(f"WITH RECURSIVE t(pid, root, depth, path) AS ({walk.format(roots=heads, name=f'{name}_left', depth=most_depth)}) SELECT * FROM t")
-    return tree.union(more)
+    try:  # plans are resolved as they are made; their views needn't stay
+        roots = f"SELECT DISTINCT x.b AS pid FROM {name} x LEFT ANTI JOIN {name} y ON x.b = y.w"
+        tree = spark.sql(f"WITH RECURSIVE t(pid, root, depth, path) AS ({walk.format(roots=roots, name=name, depth=most_depth)}) SELECT * FROM t").checkpoint()
+        tree.createOrReplaceTempView(f"{name}_tree")
+        spark.sql(f"SELECT w, b FROM {name} x LEFT ANTI JOIN {name}_tree t ON x.w = t.pid").createOrReplaceTempView(f"{name}_left")
+        inner = f"""
+            SELECT b AS start, w AS pid, ARRAY(b, w) AS path, 1 AS depth FROM {name}_left
+            UNION ALL
+            SELECT c.start, e.w, array_append(c.path, e.w), c.depth + 1 FROM c JOIN {name}_left e ON c.pid = e.b
+            WHERE c.depth < {most_depth} AND c.pid <> c.start AND (e.w = c.start OR NOT array_contains(c.path, e.w))"""
+        cycles = spark.sql(f"WITH RECURSIVE c(start, pid, path, depth) AS ({inner}) SELECT start, array_min(path) AS least FROM c WHERE pid = start")
+        cycles.createOrReplaceTempView(f"{name}_cycles")
+        heads = f"SELECT DISTINCT start AS pid FROM {name}_cycles GROUP BY start HAVING min(least) = start"
+        more = spark.sql(f"WITH RECURSIVE t(pid, root, depth, path) AS ({walk.format(roots=heads, name=f'{name}_left', depth=most_depth)}) SELECT * FROM t")
+        return tree.union(more)
+    finally:
+        for v in views:
+            spark.catalog.dropTempView(v)
 
 
 def associated(a: DataFrame, b: DataFrame, on: Sequence[str], collect: str, out: str) -> DataFrame:

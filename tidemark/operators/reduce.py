@@ -65,12 +65,20 @@ def time_weighted(df: DataFrame, identity: Sequence[str], value: str, frm: int,
 
 
 def percent_of_total(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Adds pct = 100 x value / sum; one missing value leaves all of its group without."""
+    """Adds pct = 100 x value / sum; one missing value leaves all of its group without. A hot group's sum is taken map-side; the
+    totals are joined back in the way that their size calls for, and without groups they are one row."""
     totals = df.groupBy(*groups).agg(F.sum(value).alias("_sum"), F.count_if(F.col(value).isNull()).alias("_missing"))
-    out = df.join(F.broadcast(totals), list(groups)) if groups else df.crossJoin(F.broadcast(totals))
+    out = df.join(totals.select(*(F.col(g).alias(f"_g_{g}") for g in groups), "_sum", "_missing"), _same(groups)).drop(*(f"_g_{g}" for g in groups)) if groups else df.crossJoin(F.broadcast(totals))
     return out.withColumn("pct", F.when(F.col("_missing") == 0, ratio(F.col(value) * 100, F.col("_sum")))).drop("_sum", "_missing")
 
 
+def _same(groups: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for g in groups:
+        out = out & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return out
+
+
 def top(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """The first k rows of each group (planned as a limit below the window)."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col(out) <= k).withColumn(out, F.col(out).cast("bigint"))
@@ -176,7 +184,8 @@ def exhaustion(df: DataFrame, keys: Sequence[str], written: str, available: str,
 
 
 def retention(df: DataFrame, class_rank: Column, age: str, size: str, deficit: int, key: str) -> DataFrame:
-    """What to delete, by class and age, until `deficit` bytes are free: rows whose predecessors don't free enough."""
+    """What to delete, by class and age, until `deficit` bytes are free: rows whose predecessors don't free enough. One row a
+    file of a store's manifest goes through one task, not the files' rows."""
     w = Window.orderBy("_class", F.desc(age), key)
     out = df.withColumn("_class", class_rank).withColumn("freed_before", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return out.where(F.col("freed_before") < deficit).drop("_class")

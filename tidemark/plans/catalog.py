@@ -602,7 +602,12 @@ def session_clusters(s, d):
     return found.select("start", "end", F.size("members").cast("bigint").alias("members"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_EV}, e AS (SELECT user_id, min(us) AS s, max(us) AS t FROM ev WHERE v > 15000 GROUP BY user_id, us // {4 * HOUR}), n AS (SELECT *, row_number() OVER (ORDER BY s, t, user_id) AS i FROM e), "
+    f"r AS (SELECT i, s AS cs, t AS ct, 1 AS c, 0 AS split FROM n WHERE i = 1 UNION ALL SELECT n.i, CASE WHEN n.s - r.ct <= {HOUR} AND greatest(r.ct, n.t) - r.cs <= {6 * HOUR} THEN r.cs ELSE n.s END, CASE WHEN n.s - r.ct <= {HOUR} AND greatest(r.ct, n.t) - r.cs <= {6 * HOUR} THEN greatest(r.ct, n.t) ELSE n.t END, "
+    f"CASE WHEN n.s - r.ct <= {HOUR} AND greatest(r.ct, n.t) - r.cs <= {6 * HOUR} THEN r.c ELSE r.c + 1 END, CASE WHEN n.s - r.ct <= {HOUR} AND greatest(r.ct, n.t) - r.cs <= {6 * HOUR} THEN r.split WHEN n.s - r.ct <= {HOUR} THEN 1 ELSE 0 END FROM r JOIN n ON n.i = r.i + 1) "
+    'SELECT min(cs) AS start, max(ct) AS "end", count(*) AS members, max(split) AS split_from_previous FROM r GROUP BY c'
+)
 def incident_clusters(s, d):
     e = ev(s, d).where("v > 15000").groupBy("user_id", F.floor(F.col("us") / (4 * HOUR)).alias("w")).agg(F.min("us").alias("start"), F.max("us").alias("end"))
     found = incidents.clusters(e.withColumn("node", F.lit("n")), ["node"], HOUR, 6 * HOUR, key="user_id")
@@ -680,7 +685,7 @@ def unique_match_join(s, d):
     return joins.unique_match(table(s, d, "customer").select("c_custkey"), o, ["c_custkey"], ["o_orderkey"])
 
 
-@query(f"WITH {_EV}, a AS (SELECT user_id, CAST(sum(v) AS BIGINT) AS v FROM ev WHERE day = 12 GROUP BY 1), b AS (SELECT user_id, CAST(sum(v) AS BIGINT) AS v FROM ev WHERE day = 11 GROUP BY 1) SELECT a.user_id, a.v, b.v AS prev_v FROM a LEFT JOIN b USING (user_id)")
+@query(f"WITH {_EV}, a AS (SELECT user_id, CAST(sum(v) AS BIGINT) AS v FROM ev WHERE day = 12 GROUP BY 1), b AS (SELECT user_id, CAST(sum(v) AS BIGINT) AS v FROM ev WHERE day = 11 GROUP BY 1) SELECT a.user_id, CASE WHEN b.user_id IS NULL THEN 0 ELSE 1 END AS before_rows, a.v, b.v AS prev_v FROM a LEFT JOIN b USING (user_id)")
 def predecessor_join(s, d):
     t = ev(s, d).groupBy("user_id", "day").agg(F.sum("v").alias("v"))
     return joins.predecessor(t, ["user_id"], ["v"], "day", 12, 11)

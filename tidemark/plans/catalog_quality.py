@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -332,3 +334,113 @@ def sidecar_garbage(s, d):
     sidecars = table(s, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 100).alias("age"))
     live = table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
     return orphans(sidecars, live, "o_custkey", "age", 30).select("o_orderkey", "o_custkey", "age")
+
+
+# ---- rules and branches ----------------------------------------------------------------------------------------------------
+
+
+def _columns(rule: incidents.Rule) -> list[str]:
+    text = " ".join(str(x) for x in (rule.where, rule.grows, *(y for m in rule.measures() for y in m[:2])))
+    return sorted(set(re.findall(r"\b[a-z_]\w*\b", text)) - {"greatest", "abs", "dt", "None", "none", "is"})
+
+
+_FLAGS = {"activity_present", "clock_valid", "mapped", "idle_in_transaction"}
+#: Stand-ins for the columns of all rules; what a gate needs to be reached now and then.
+_SCALE = {"elapsed_us": 20_000, "xmin_age": 60, "replay_bytes": 3000, "replay_lag_us": 1500, "xact_age_us": 15_000, "throttled_usec": 900, "total_exec_time": 90, "mem_available": 1, "available_bytes": 1, "rx_errs": 1, "total": 2}
+_SMALL = {"state": 8, "status": 4, "cpu_id": 2, "max": 3}
+
+
+def _standin(c: str, k: int) -> str:
+    if c in _FLAGS:
+        return f"(v + {k}) % 3 > 0"
+    if c == "max":
+        return "CASE WHEN v % 4 > 0 THEN v % 15000 + 9000 END"
+    if c in _SMALL:
+        return f"(v + {k}) % {_SMALL[c]} - {1 if c == 'cpu_id' else 0}"
+    return f"(v * {2 * k + 3} + {k * 7919}) % 40009 * {_SCALE.get(c, 5)}"
+
+
+_ALL = sorted({c for r in incidents.RULES for c in _columns(r)})
+_RULE_ROWS = ", ".join(f"{_standin(c, k)} AS {c}" for k, c in enumerate(_ALL))
+_RULE_HEAD = f"user_id % 9 AS cluster, event_type, event_id AS ts, CASE WHEN event_id % 7 > 0 THEN 60000000 END AS dt, {_RULE_ROWS}"
+
+
+def _rule_sql(r: incidents.Rule) -> str:
+    rows = f"(SELECT * FROM z{f' WHERE {r.where}' if r.where else ''})"
+    ms = r.measures()
+    if r.kind.startswith("counter"):
+        ok = " AND ".join(["dt IS NOT NULL", *(f"({x}) IS NOT NULL" for n, d, _ in ms for x in (n, d) if x)])
+        sums = ", ".join(f"sum(CAST({n} AS DOUBLE)) FILTER ({ok}) AS n{k}, sum(CAST({d or 1} AS DOUBLE)) FILTER ({ok}) AS d{k}" for k, (n, d, _) in enumerate(ms))
+        inner = f"SELECT cluster, event_type, count(*) FILTER ({ok}) AS intervals, count(*) AS endpoints, sum(dt) FILTER ({ok}) AS t, {sums} FROM {rows} GROUP BY ALL HAVING count(*) FILTER ({ok}) >= {r.least} AND count(*) FILTER ({ok}) * 10 >= count(*) * 7"
+        value = {"counter_ratio": "CASE WHEN d{0} > 0 THEN n{0} / d{0} END", "counter_sum": "n{0}", "counter_rate": "n{0} * 1e6 / t"}[r.kind]
+    else:
+        xs = [f"CASE WHEN ({d}) > 0 THEN CAST({n} AS DOUBLE) / ({d}) END" if d else f"CAST({n} AS DOUBLE)" for n, d, _ in ms]
+        best = ", ".join(f"{'min' if r.below else 'max'}(x{k}) AS n{k}" for k in range(len(xs)))
+        grown = f", arg_max({r.grows}, ts) - arg_min({r.grows}, ts) AS grown" if r.grows else ", 1 AS grown"
+        inner = f"SELECT * FROM (SELECT cluster, event_type, count(*) AS intervals, {best}{grown} FROM (SELECT *, {', '.join(f'{x} AS x{k}' for k, x in enumerate(xs))} FROM {rows}) WHERE {' OR '.join(f'x{k} IS NOT NULL' for k in range(len(xs)))} GROUP BY ALL) WHERE grown > 0"
+        value = "n{0}"
+    hit = ", ".join(f"CASE WHEN {value.format(k)} {'<' if r.below else '>='} {g!r} THEN {value.format(k)} END" for k, (_, _, g) in enumerate(ms))
+    hit = f"coalesce({hit})" if len(ms) > 1 else hit
+    return f"SELECT cluster, '{r.id}' AS rule, '{r.role}' AS role, '{{\"event_type\":\"' || event_type || '\"}}' AS entity, round({hit}, 6) AS value, intervals FROM ({inner}) WHERE ({hit}) IS NOT NULL"
+
+
+@query(f"WITH {_EV}, z AS (SELECT {_RULE_HEAD} FROM ev), f AS ({' UNION ALL '.join(_rule_sql(r) for r in incidents.RULES)}), o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY rule, entity) AS k FROM f) SELECT cluster, rule, role, entity, value, intervals FROM o WHERE k <= 100")
+def rule_catalogue(s, d):
+    """All rules over counters and gauges, each with its measures and conditions, in one bounded order."""
+    rows = ev(s, d).selectExpr(*re.split(r", (?![^(]*\))", _RULE_HEAD))
+    sections = {r.section: (rows, ["event_type"]) for r in incidents.RULES}
+    return incidents.evaluate(sections, ["cluster"], most=100).select("cluster", "rule", "role", "entity", F.round("value", 6).alias("value"), "intervals")
+
+
+_STATES = [st for b in incidents.BRANCHES for st in b.states]
+_STATE = "CASE event_id % 17 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_STATES)) + " ELSE '23505' END"
+_LOG_EVENTS = f"SELECT user_id % 5 AS cluster, day AS ts, CASE WHEN event_type = 'view' THEN 'child_process_crash' ELSE 'error_group' END AS kind, CASE WHEN event_type = 'signup' THEN 'PANIC' ELSE 'ERROR' END AS severity, {_STATE} AS sqlstate, v % 4 AS count, user_id AS pid, CAST(v % 6 + 6 AS INTEGER) AS signal FROM ev"
+
+
+def _branch_sql(b: incidents.Branch) -> str:
+    if b.sigkill is not None:
+        test, entity = f"kind = 'child_process_crash' AND signal {'=' if b.sigkill else '<>'} 9", "'{\"at\":' || ts || ',\"pid\":' || pid || ',\"signal\":' || signal || '}'"
+    else:
+        column, values = ("sqlstate", b.states) if b.states else ("severity", (b.severity,))
+        test = f"kind = 'error_group' AND count > 0 AND {column} IN ({', '.join(repr(x) for x in values)})"
+        entity = f"'{{\"{column}\":\"' || {column} || '\",\"at\":' || ts || '}}'"
+    return f"SELECT DISTINCT cluster, '{b.id}' AS rule, '{b.slug}' AS slug, '{b.cap}' AS cap, {entity} AS entity FROM l WHERE {test}"
+
+
+@query(f"WITH {_EV}, l AS ({_LOG_EVENTS}) {' UNION ALL '.join(map(_branch_sql, incidents.BRANCHES))}")
+def event_branches(s, d):
+    e = ev(s, d)
+    state = F.expr(_STATE)
+    rows = e.select((F.col("user_id") % 5).alias("cluster"), F.col("day").alias("ts"), F.when(F.col("event_type") == "view", "child_process_crash").otherwise("error_group").alias("kind"), F.when(F.col("event_type") == "signup", "PANIC").otherwise("ERROR").alias("severity"), state.alias("sqlstate"), (F.col("v") % 4).alias("count"), F.col("user_id").alias("pid"), (F.col("v") % 6 + 6).cast("int").alias("signal"))
+    return incidents.event_findings(rows, ["cluster"])
+
+
+@query(f"WITH {_EV}, r AS (SELECT DISTINCT user_id % 4 AS cluster, user_id AS pid, day FROM ev WHERE event_type IN ('view', 'click') AND v > 5000), k AS (SELECT *, day - row_number() OVER (PARTITION BY cluster, pid ORDER BY day) AS k FROM r), n AS (SELECT cluster, pid, count(*) AS n FROM k GROUP BY cluster, pid, k), m AS (SELECT cluster, pid, max(n) AS n FROM n WHERE n >= 3 GROUP BY ALL) SELECT cluster, 'PG-SYNC-018' AS rule, 'coincident' AS role, '{{\"pid\":' || pid || ',\"backend_start\":1}}' AS entity, CAST(n AS DOUBLE) AS value, n AS intervals FROM m")
+def sync_wait_findings(s, d):
+    e = ev(s, d).where("event_type IN ('view', 'click') AND v > 5000").select((F.col("user_id") % 4).alias("cluster"), F.col("user_id").alias("pid"), F.lit(1).alias("backend_start"), F.col("day").alias("step"), F.lit("SyncRep").alias("wait_event")).distinct()
+    return incidents.sync_findings(e, ["cluster"])
+
+
+@query(f"WITH {_EV}, e AS (SELECT DISTINCT user_id % 4 AS cluster, day, user_id AS pid, v % 20 AS blocker FROM ev WHERE event_type = 'error'), r AS (SELECT cluster, blocker AS pid, 'lead' AS role, count(DISTINCT day) AS n FROM e GROUP BY ALL UNION ALL SELECT cluster, pid, 'downstream', count(DISTINCT day) FROM e GROUP BY ALL) SELECT cluster, 'PG-LOCK-012' AS rule, role, '{{\"pid\":' || pid || '}}' AS entity, CAST(n AS DOUBLE) AS value, n AS intervals FROM r")
+def lock_wait_findings(s, d):
+    e = ev(s, d).where("event_type = 'error'").select((F.col("user_id") % 4).alias("cluster"), F.col("day").alias("ts"), F.col("user_id").cast("bigint").alias("pid"), (F.col("v") % 20).alias("blocker"))
+    return incidents.lock_findings(e, ["cluster"])
+
+
+@query(f"WITH {_EV}, a AS (SELECT user_id % 4 AS cluster, day, event_type, count(*) AS n FROM ev WHERE v % 3 > 0 AND (event_type = 'view' OR v % 8 = 0) GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY cluster, day) AS t FROM a), k AS (SELECT * FROM t WHERE t >= 3), g AS (SELECT cluster, sum(n) AS total, count(DISTINCT day) AS steps FROM k GROUP BY cluster), c AS (SELECT cluster, event_type, sum(n) AS n FROM k GROUP BY ALL) SELECT cluster, 'PG-WAIT-019' AS rule, 'coincident' AS role, '{{\"wait_event_type\":\"' || event_type || '\"}}' AS entity, round(CAST(n AS DOUBLE) / total, 9) AS value, steps AS intervals FROM c JOIN g USING (cluster) WHERE steps >= 3 AND n * 2 >= total")
+def wait_class_findings(s, d):
+    rows = ev(s, d).where("v % 3 > 0").select((F.col("user_id") % 4).alias("cluster"), F.col("day").alias("step"), F.col("event_type").alias("wait_event_type"), ((F.col("event_type") == "view") | (F.col("v") % 8 == 0)).alias("active"))
+    return incidents.wait_findings(rows, ["cluster"]).withColumn("value", F.round("value", 9))
+
+
+@query(f"WITH {_EV}, p AS (SELECT DISTINCT user_id % 3 AS k, day AS step, {T0} + day * 60000000 AS ts, v % 9 AS planid FROM ev WHERE event_type = 'click'), q AS (SELECT *, (step + planid) * 10 AS calls, step * (planid + 1) AS total_time FROM p), st AS (SELECT DISTINCT k, step FROM q), x AS (SELECT q.*, (SELECT count(*) FROM q b WHERE b.k = q.k AND b.planid = q.planid AND b.step = q.step - 1) AS was, c.calls - q.calls AS dc, c.total_time - q.total_time AS dt FROM q JOIN q c ON c.k = q.k AND c.planid = q.planid AND c.step = q.step + 1 JOIN st s0 ON s0.k = q.k AND s0.step = q.step - 1), n AS (SELECT * FROM x WHERE was = 0 AND dc > 0 AND dt > 0), o AS (SELECT *, row_number() OVER (PARTITION BY k, step ORDER BY dt DESC, planid DESC) AS r FROM n) SELECT k AS cluster, 'PG-PLAN-002' AS rule, 'coincident' AS role, '{{\"planid\":' || planid || ',\"step\":' || step || '}}' AS entity, CAST(dt AS DOUBLE) AS value, CAST(3 AS BIGINT) AS intervals FROM o WHERE r = 1")
+def plan_churn_rule(s, d):
+    p = ev(s, d).where("event_type = 'click'").select((F.col("user_id") % 3).alias("cluster"), F.col("day").alias("step"), (T0 + F.col("day") * 60_000_000).alias("ts"), (F.col("v") % 9).alias("planid")).distinct()
+    p = p.withColumns({"calls": (F.col("step") + F.col("planid")) * 10, "total_time": F.col("step") * (F.col("planid") + 1)})
+    return incidents.plan_churn_findings(p, ["cluster"])
+
+
+@query(f"WITH {_EV}, x AS (SELECT user_id % 4 AS cluster, user_id AS pid, 7 AS starttime, count(*) AS intervals, CAST(sum(v + v % 100) AS BIGINT) AS bytes FROM ev GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT *, sha256(pid || '|' || starttime) AS process FROM x), o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY bytes DESC, process) AS r FROM k) SELECT cluster, 'OS-IOWHO-026' AS rule, 'coincident' AS role, '{{\"process\":\"' || process || '\"}}' AS entity, CAST(bytes AS DOUBLE) AS value, intervals FROM o WHERE r <= 8")
+def contender_findings(s, d):
+    rows = ev(s, d).select((F.col("user_id") % 4).alias("cluster"), F.col("user_id").alias("pid"), F.lit(7).alias("starttime"), F.col("v").alias("read_bytes"), (F.col("v") % 100).alias("write_bytes"))
+    return incidents.contender_findings(rows, ["cluster"])
