@@ -56,6 +56,19 @@ def frame_sort(df: DataFrame, column: str, descending: bool, entity: str, limit:
     return df.orderBy(c, F.col(entity)).limit(limit)
 
 
+#: Kinds of cells from the least, for a total order over cells of different kinds.
+CELL_KINDS = ["null", "boolean", "signed", "unsigned", "float", "time", "text", "blob", "list"]
+
+
+def cell_order(kind: Column, whole: Column, number: Column, text: Column) -> list[Column]:
+    """What orders cells of mixed kinds: kind, then the value of that kind; NaN is the greatest number, texts go by bytes. A cell
+    of an unknown kind comes last."""
+    rank = F.array_position(F.lit(CELL_KINDS), F.coalesce(kind, F.lit("null")))
+    rank = F.when(rank == 0, len(CELL_KINDS) + 1).otherwise(rank)
+    of = lambda *kinds: kind.isin(*kinds)
+    return [rank.asc(), F.when(of("boolean", "signed", "unsigned", "time"), whole).asc(), F.when(of("float"), number).asc(), F.when(of("text", "blob", "list"), text).asc()]
+
+
 def half_open(df: DataFrame, frm: int, to: int, ts: str = "ts") -> DataFrame:
     """Rows of [frm, to): timelines, unlike row queries, don't have their end."""
     return df.where((F.col(ts) >= frm) & (F.col(ts) < to))

@@ -401,6 +401,64 @@ def dictionary_lookup(s, d):
     return sections.resolve(rows, "word", words)
 
 
+def _parts(s, d, name: str):
+    """Three live parts, by days."""
+    root = scratch(s, name)
+    e = ev(s, d).select("event_id", "us", "user_id", "v", "day")
+    for k, (a, b) in enumerate(((-1, 10), (10, 20), (20, 10_000))):
+        e.where((F.col("day") >= a) & (F.col("day") < b)).coalesce(1).write.parquet(f"{root}/part={k}")
+    return root, e
+
+
+@query(f"WITH {_EV} SELECT event_id, user_id, v FROM ev")
+def journal_recovery(s, d):
+    """Parts are read though one between them is damaged."""
+    root, e = _parts(s, d, "journal")
+    s.createDataFrame([("no part at all",)], "t string").coalesce(1).write.text(f"{root}/part=9")
+    return sections.damaged(s, root, e.schema).select("event_id", "user_id", "v")
+
+
+@query("SELECT * FROM (VALUES (false, 3), (true, 1)) AS t(damaged, files)")
+def journal_damage(s, d):
+    root, _ = _parts(s, d, "damage")
+    s.createDataFrame([("no part at all",)], "t string").coalesce(1).write.text(f"{root}/part=9")
+    return sections.damage(s, root).groupBy("damaged").agg(F.count("*").cast("int").alias("files"))
+
+
+@query(f"WITH {_EV} SELECT event_id, v FROM ev WHERE day < 20")
+def pinned_view(s, d):
+    """A view that was pinned before the last part came."""
+    root, e = _parts(s, d, "pinned")
+    files = [f for f in sections.pinned(s, root) if "part=2" not in f]
+    e.where("day >= 20").limit(5).coalesce(1).write.mode("append").parquet(f"{root}/part=1")
+    return sections.read_pinned(s, files, e.schema).select("event_id", "v")
+
+
+@query(f"WITH {_EV}, r AS (SELECT user_id % 3 AS seg, event_type, day, CASE WHEN user_id % 3 = 1 THEN v * 2 ELSE v END AS v FROM ev) SELECT 'activity' AS view, event_type AS entity, day AS bucket, CAST(sum(v) AS BIGINT) AS value FROM r GROUP BY event_type, day")
+def materialized_cells(s, d):
+    """Pre-aggregates of segments, one of which is written anew, then read as one."""
+    from tidemark.operators import metrics
+
+    folder = scratch(s, "cells")
+    rows = ev(s, d).withColumn("segment", (F.col("user_id") % 3).cast("int"))
+    metrics.refresh_cells(metrics.segment_cells(rows, "segment", "activity", "event_type", F.col("day"), "v", "sum"), folder, "segment")
+    again = rows.where("segment = 1").withColumn("v", F.col("v") * 2)
+    metrics.refresh_cells(metrics.segment_cells(again, "segment", "activity", "event_type", F.col("day"), "v", "sum"), folder, "segment")
+    return metrics.merge_cells(s.read.parquet(folder), "sum")
+
+
+@query(f"WITH {_EV}, c AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'signed' WHEN 2 THEN 'float' WHEN 3 THEN 'boolean' WHEN 4 THEN 'time' END AS kind, v, event_type FROM ev), o AS (SELECT *, row_number() OVER (ORDER BY CASE kind WHEN 'boolean' THEN 1 WHEN 'signed' THEN 2 WHEN 'float' THEN 4 WHEN 'time' THEN 5 WHEN 'text' THEN 6 ELSE 0 END, CASE WHEN kind IN ('signed', 'time') THEN v WHEN kind = 'boolean' THEN v % 2 END, CASE WHEN kind = 'float' THEN -v / 2.0 END, CASE WHEN kind = 'text' THEN event_type END, event_id) AS place FROM c) SELECT event_id, place FROM o WHERE place <= 6000")
+def mixed_cell_order(s, d):
+    """Cells of different kinds in one total order."""
+    from pyspark.sql import Window
+
+    kind = F.expr("CASE event_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'signed' WHEN 2 THEN 'float' WHEN 3 THEN 'boolean' WHEN 4 THEN 'time' END")
+    e = ev(s, d).withColumns({"kind": kind, "whole": F.when(kind == "boolean", F.col("v") % 2).otherwise(F.col("v")), "number": -F.col("v") / 2.0})
+    order = [*frames.cell_order(F.col("kind"), F.col("whole"), F.col("number"), F.col("event_type")), F.col("event_id")]
+    top = e.orderBy(*order).limit(6000)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint")).select("event_id", "place")
+
+
 @query(None)
 def file_inventory(s, d):
     """The tables' files with their bytes and shares."""

@@ -104,6 +104,14 @@ for _view in ROWS:
     _add(_view)
 
 
+@query(f"{_delta_sql('statements', SQL['statements'])[0].replace('FROM cum)', 'FROM cum WHERE user_id % 5 = 1)')}, f AS (SELECT CAST(queryid AS VARCHAR) AS entity, d_calls AS calls_delta, CASE WHEN count(*) FILTER (d_total_exec_time IS NULL) OVER () = 0 THEN 100.0 * d_total_exec_time / sum(d_total_exec_time) OVER () END AS time_pct FROM x) SELECT entity, calls_delta, round(time_pct, 9) AS time_pct FROM f WHERE calls_delta = 4 ORDER BY calls_delta DESC NULLS LAST, entity LIMIT 40")
+def database_frame(s, d):
+    """One database's statements, searched by text: shares are of the database, not of what the search leaves."""
+    rows = snapshots(s, d, "statements").withColumn("dbid", F.col("queryid") % 5)
+    out = frame(rows, "statements", AT, columns=["calls_delta", "time_pct"], sort="calls_delta desc", limit=40, database=("dbid", 1), text="calls_delta:4")
+    return out.withColumn("time_pct", F.round("time_pct", 9))
+
+
 #: Cells with levels, as (column, metric, reason before the level, observed, level).
 def _level(x: str, warning: str, critical: str) -> str:
     return f"CASE WHEN {x} {critical} THEN 'critical' WHEN {x} {warning} THEN 'warning' ELSE 'ok' END"

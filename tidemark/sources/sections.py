@@ -172,3 +172,21 @@ def damaged(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
 def orphans(sidecars: DataFrame, live: DataFrame, key: str, age: str, grace: int) -> DataFrame:
     """Derived files of segments that are gone, older than a grace."""
     return sidecars.join(live.select(key).distinct(), key, "left_anti").where(F.col(age) > grace)
+
+
+def damage(spark: SparkSession, root: str) -> DataFrame:
+    """path, bytes, damaged of the files below a root: whether one lacks the mark that a Parquet file begins and ends with."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    mark = F.lit(b"PAR1")
+    whole = (F.col("length") >= 12) & (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
+    return files.select("path", F.col("length").alias("bytes"), (~whole).alias("damaged"))
+
+
+def pinned(spark: SparkSession, root: str) -> list[str]:
+    """The data files that are there now. A read of exactly these stays the same, whatever is written later."""
+    return sorted(spark.read.option("recursiveFileLookup", "true").parquet(root).inputFiles())
+
+
+def read_pinned(spark: SparkSession, files: Sequence[str], schema: T.StructType) -> DataFrame:
+    """The rows of pinned files; a file that has gone since raises."""
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
