@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import checkpoints, connected_components
-from tidemark.llm.exchange import even_labels
+from tidemark.llm.exchange import even_labels, label, multiple
 
 FOUND = "cid long, links long, rep long, root long"
 SKETCH = 256
@@ -63,7 +63,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.9999, block: int = 512, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     spark = vectors.sparkSession
-    bins = even_labels(vectors, 8)
+    bins = even_labels(vectors, 8 * multiple(vectors))
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].alias("x"), vectors[label_col].alias("label"))
     good = F.col("label").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
@@ -97,7 +97,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, recall: float =
     spread = spread.join(full, ["lab", "dim", "t", "code"], "left").withColumn("b", F.coalesce("b", F.lit(1)))
     spread = spread.withColumn("s", F.pmod(F.xxhash64("cid", "t"), F.col("b")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
     spread = spread.withColumn("i", F.least("s", "o")).withColumn("j", F.greatest("s", "o"))
-    spread = spread.withColumn("bin", F.element_at(F.lit(bins.tolist()), (F.pmod(F.xxhash64("lab", "dim", "t", "code", "i", "j"), F.lit(len(bins))) + 1).cast("int")))
+    spread = spread.withColumn("bin", label(bins, "lab", "dim", "t", "code", "i", "j"))
 
     def buckets(cols: dict[str, np.ndarray], *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order by bucket and then by the rest, the keys in it, the buckets' starts and the end."""

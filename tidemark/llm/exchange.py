@@ -6,6 +6,12 @@ documents hold costs as many entries as there are groups. A bucket answers with
 keys out again in the next pass, from the same documents, and reads the bits in the same order: answers need neither
 keys nor document ids. All passes read one shuffle of the documents (the plan reuses the exchange), nothing is collected,
 and a lost executor's parts are worked out again from the input.
+
+Groups and buckets are as many as shuffle partitions, and a whole multiple of that where the input has more than
+`GROUP_BYTES` a partition, so that neither grows with the table. Every group would send every bucket a row, which is the square
+of their number: beyond `ROUTED_FROM` of them rows take two hops, in packs. A group sends each super-bucket (about the root
+of all buckets) one pack, the packs of a batch of groups (about the root of all groups) meet and are dealt out by bucket, and
+answers go the same way back. Rows are then the number to the power of 1.5, and a pack holds the root of it.
 """
 
 from __future__ import annotations
@@ -14,15 +20,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tidemark.llm.text import by_bytes, flat, release
+from tidemark.llm.text import by_bytes, flat, mix, release
 
 ROW = "grp int, bucket int, step int, n int, keys binary, extra binary"
 ANSWER = "grp int, bucket int, step int, n int, bits binary"
 STEPS = 8  # a row's step is 8 x the bucket's rank + its step in the operator
 NO_ID = np.iinfo(np.int64).max
+GROUP_BYTES = 64 << 20
+ROUTED_FROM = 2048
+LISTED = 1 << 14
+ROUTED = "super int, batch int, packed binary"
 
 
 def spark_hash(x: np.ndarray) -> np.ndarray:
@@ -40,21 +51,38 @@ def spark_hash(x: np.ndarray) -> np.ndarray:
 
 
 def even_labels(df: DataFrame, each: int) -> np.ndarray:
-    """Integers of which each shuffle partition gets the same number when Spark deals by them."""
+    """Integers of which each shuffle partition gets the same number when Spark deals by them; beyond `LISTED` of them plain ones,
+    whose numbers are about the same."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n * each > LISTED:
+        return np.arange(n * each, dtype=np.int32)
     place = spark_hash(np.arange(n * (each * 8 + 40))).astype(np.int64) % n
     order = np.argsort(place, kind="stable")
     first = np.searchsorted(place[order], np.arange(n))
     return np.sort(np.concatenate([order[first + k] for k in range(each)])).astype(np.int32)
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, each: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, grp: as many groups for each shuffle partition; repeated ids spread by their texts. More groups mean
-    more packed rows: groups x buckets. carry: columns that go along in a struct, rest."""
+def label(labels: np.ndarray, *by: str) -> Column:
+    """The label that a hash of columns deals to."""
+    place = F.pmod(F.xxhash64(*by), F.lit(len(labels)))
+    return place.cast("int") if len(labels) > LISTED else F.element_at(F.lit(labels.tolist()), (place + 1).cast("int"))
+
+
+def multiple(df: DataFrame) -> int:
+    """How many groups each partition must have for none to hold more than `GROUP_BYTES` of the input, by the plan's own size."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, int(-(-size // (n * GROUP_BYTES)))) if size < 2**60 else 1  # unknown sizes are set to the greatest
+
+
+def dealt(docs: DataFrame, id_col: str, text_col: str, labels: np.ndarray, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, grp: repeated ids spread by their texts. carry: columns that go along in a struct, rest."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must be an integer, not {kind.simpleString()}")
     rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *rest)
-    labels = even_labels(docs, each)
-    return rows.withColumn("grp", F.element_at(F.lit(labels.tolist()), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(labels))) + 1).cast("int")))
+    return rows.withColumn("grp", label(labels, "doc_id", "text"))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -144,31 +172,97 @@ def released(table: pa.Table) -> pa.Table:
     return table
 
 
-def send_pass(df: DataFrame, work: Callable[[int, pa.Table], list[tuple]]) -> DataFrame:
-    """One pass over the groups without earlier answers."""
+def _pack(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packs: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in packs])
+
+
+def _split(table: pa.Table, by: np.ndarray) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each value, in order."""
+    order = np.argsort(by, kind="stable")
+    values = by[order]
+    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(values)], strict=False):
+        yield int(values[a]), table.take(pa.array(order[a:b]))
+
+
+class Exchange:
+    """The groups and buckets of an operator, and the way between them."""
+
+    def __init__(self, docs: DataFrame, groups: int = 1, buckets: int = 1) -> None:
+        k = multiple(docs)
+        self.groups, self.buckets = even_labels(docs, groups * k), even_labels(docs, buckets * k)
+        n = max(len(self.groups), len(self.buckets))
+        self.hops = int(np.ceil(np.sqrt(n))) if n > ROUTED_FROM else 0
+        self.per = -(-len(self.buckets) // max(self.hops, 1))
+        self.row = ROUTED if self.hops else ROW
+
+    def _batch(self, grp: np.ndarray) -> np.ndarray:
+        return (mix(grp.astype(np.uint64), 31) % np.uint64(self.hops)).astype(np.int64)
+
+    def _routed(self, rows: list[tuple[int, int, pa.Table]]) -> pa.Table:
+        return as_table([(a, b, _pack(t)) for a, b, t in rows], [pa.int32(), pa.int32(), pa.binary()], ["super", "batch", "packed"])
+
+    def sent(self, table: pa.Table) -> pa.Table:
+        """A group's rows on their way: as they are, or a pack for each super-bucket."""
+        if not self.hops:
+            return table
+        to = table.column("step").to_numpy() // STEPS // self.per
+        return self._routed([(k, int(self._batch(part.column("grp").to_numpy()[:1])[0]), part) for k, part in _split(table, to)])
+
+    def _hop(self, rows: DataFrame, to: str) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            inside = _unpack(table.column("packed").to_pylist())
+            out = [(k, _pack(part)) for k, part in _split(inside, inside.column(to).to_numpy())]
+            return released(as_table(out, [pa.int32(), pa.binary()], [to, "packed"]))
+
+        return rows.groupBy("super", "batch").applyInArrow(run, f"{to} int, packed binary")
+
+    def at_buckets(self, rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+        """What buckets make of their rows, a table with a column grp; `read` unpacks it at the groups."""
+        if not self.hops:
+            return rows.groupBy("bucket").applyInArrow(lambda t: released(work(t)), schema)
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        return released(row_table(work(key[0].as_py(), table)))
+        def run(table: pa.Table) -> pa.Table:
+            inside = _unpack(table.column("packed").to_pylist())
+            here = int(inside.column("step")[0].as_py()) // STEPS // self.per
+            out = work(inside)
+            return released(self._routed([(here, k, part) for k, part in _split(out, self._batch(out.column("grp").to_numpy()))]))
 
-    return df.groupBy("grp").applyInArrow(run, ROW)
+        return self._hop(self._hop(rows, "bucket").groupBy("bucket").applyInArrow(run, ROUTED), "grp")
 
+    def read(self, table: pa.Table, empty: pa.Table) -> pa.Table:
+        """What has come to a group; `empty` where nothing has."""
+        if not self.hops:
+            return table
+        return _unpack(table.column("packed").to_pylist()) if table.num_rows else empty
 
-def answer_pass(rows: DataFrame, work: Callable[[pa.Table], list[tuple]]) -> DataFrame:
-    """The buckets' answers."""
+    def send_pass(self, df: DataFrame, work: Callable[[int, pa.Table], list[tuple]]) -> DataFrame:
+        """One pass over the groups without earlier answers."""
 
-    def run(table: pa.Table) -> pa.Table:
-        return released(answer_table(work(table)))
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            return released(self.sent(row_table(work(key[0].as_py(), table))))
 
-    return rows.groupBy("bucket").applyInArrow(run, ANSWER)
+        return df.groupBy("grp").applyInArrow(run, self.row)
 
+    def answer_pass(self, rows: DataFrame, work: Callable[[pa.Table], list[tuple]]) -> DataFrame:
+        """The buckets' answers."""
+        return self.at_buckets(rows, lambda t: answer_table(work(t)), ANSWER)
 
-def joined_pass(df: DataFrame, told: DataFrame, work: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """A pass over the groups together with the answers so far."""
+    def joined_pass(self, df: DataFrame, told: DataFrame, work: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str | None = None) -> DataFrame:
+        """A pass over the groups together with the answers so far. No schema: rows for buckets."""
 
-    def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        return released(work(key[0].as_py(), table, told))
+        def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+            out = work(key[0].as_py(), table, self.read(told, answer_table([])))
+            return released(out if schema else self.sent(out))
 
-    return df.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(run, schema)
+        return df.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(run, schema or self.row)
 
 
 def parts(table: pa.Table, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:

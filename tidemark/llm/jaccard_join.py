@@ -363,9 +363,9 @@ def _components(rows: DataFrame, survey: DataFrame, more_links: DataFrame | None
     frequent = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "a").limit(ORDERED).toPandas()
     order = spark.sparkContext.broadcast(_Order(frequent["a"].to_numpy(np.int64).astype(np.uint64), frequent["times"].to_numpy(np.int64)))
 
-    groups, buckets = ex.even_labels(docs, 2), ex.even_labels(docs, 1)
-    bins = ex.even_labels(docs, 4)
-    grp = F.element_at(F.lit(groups.tolist()), (F.pmod(F.xxhash64("doc_id"), F.lit(len(groups))) + 1).cast("int"))
+    way = ex.Exchange(docs, 2, 1)
+    buckets, bins = way.buckets, ex.even_labels(docs, 4 * ex.multiple(docs))
+    grp = ex.label(way.groups, "doc_id")
     fit = base.where("n > 0 AND doc_id IS NOT NULL")
     classes = fit.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
     copies = fit.join(classes, ["a", "b", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
@@ -392,11 +392,11 @@ def _components(rows: DataFrame, survey: DataFrame, more_links: DataFrame | None
         new = np.ones(len(at), bool)  # rows that repeat a doc_id
         new[1:] = (spread[1:] != spread[:-1]) | (owner[1:] != owner[:-1])
         spread, owner, sizes = spread[new], owner[new], sizes[new]
-        return ex.released(ex.row_table(ex.send(key[0].as_py(), 0, spread, buckets, lambda a, b: ex.planes(owner[a:b]) + ex.planes(sizes[a:b]))))
+        return ex.released(way.sent(ex.row_table(ex.send(key[0].as_py(), 0, spread, buckets, lambda a, b: ex.planes(owner[a:b]) + ex.planes(sizes[a:b])))))
 
-    posted = dealt.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(post, ex.ROW)
-    asked = posted.groupBy("bucket").applyInArrow(lambda t: ex.released(_posted(t, percent, block)), "grp int, n int, packed binary")
-    asked = asked.groupBy("grp").applyInArrow(lambda t: _invited(t, percent, quarters), "grp int, centre long, doc long, block long, seed long")
+    posted = dealt.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(post, way.row)
+    asked = way.at_buckets(posted, lambda t: _posted(t, percent, block), "grp int, n int, packed binary")
+    asked = asked.groupBy("grp").applyInArrow(lambda t: _invited(way.read(t, t), percent, quarters), "grp int, centre long, doc long, block long, seed long")
     met = _meet(dealt, asked, order, size, percent, bins).checkpoint()
     links = met.where("kind = 0").select("u", "v").union(copies)
     links = links if more_links is None else links.union(more_links)
@@ -414,7 +414,7 @@ def _components(rows: DataFrame, survey: DataFrame, more_links: DataFrame | None
         every = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("loose_parts") - 1))).withColumn("i", place)
         few = left.where("component <> main").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", loose)
         pick = ["centre", "doc", "component", (F.col("i").cast("long") * (1 << 31) + F.col("j") + 1).alias("block")]
-        again = every.select(*pick).union(few.select(*pick)).distinct().withColumnRenamed("component", "seed").checkpoint().withColumn("grp", F.element_at(F.lit(groups.tolist()), (F.pmod(F.xxhash64("doc"), F.lit(len(groups))) + 1).cast("int")))
+        again = every.select(*pick).union(few.select(*pick)).distinct().withColumnRenamed("component", "seed").checkpoint().withColumn("grp", ex.label(way.groups, "doc"))
         few_docs = again.select(F.col("doc").alias("doc_id")).distinct()
         if few_docs.count() <= BROADCAST_IDS:  # then only their texts are dealt again
             dealt = dealt.join(F.broadcast(few_docs), "doc_id", "left_semi")

@@ -147,8 +147,9 @@ def _told(told: pa.Table, symbols: np.ndarray) -> np.ndarray:
 def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, span_starts, span_lengths (removed runs of words), kept_text (kept words, one space
     between) of every document."""
-    buckets = ex.even_labels(docs, 1)
-    rows = ex.dealt(docs, id_col, text_col)
+    way = ex.Exchange(docs)
+    buckets = way.buckets
+    rows = ex.dealt(docs, id_col, text_col, way.groups)
 
     def name(grp: int, table: pa.Table) -> list[tuple]:
         key, many = _Group(table, width).symbols()
@@ -194,6 +195,6 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
         many = pa.list_(pa.int64())
         return ex.as_table(out, [pa.int64(), pa.int64(), pa.int64(), many, many, pa.string()], ["doc_id", "n_words", "n_removed", "span_starts", "span_lengths", "kept_text"])
 
-    symbols = ex.answer_pass(ex.send_pass(rows, name), shared)
-    prints = ex.answer_pass(ex.joined_pass(rows, symbols, verify, ex.ROW), smaller)
-    return ex.joined_pass(rows, symbols.unionByName(prints), remove, "doc_id long, n_words long, n_removed long, span_starts array<long>, span_lengths array<long>, kept_text string")
+    symbols = way.answer_pass(way.send_pass(rows, name), shared)
+    prints = way.answer_pass(way.joined_pass(rows, symbols, verify), smaller)
+    return way.joined_pass(rows, symbols.unionByName(prints), remove, "doc_id long, n_words long, n_removed long, span_starts array<long>, span_lengths array<long>, kept_text string")

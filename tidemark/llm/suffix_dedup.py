@@ -250,8 +250,9 @@ def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, g
     document. whole_chars: runs are narrowed so that no character is cut, and kept is UTF-8. carry: columns of
     the input that come along in a struct, rest."""
     gram = min(gram, width)
-    buckets = ex.even_labels(docs, 1)
-    rows = ex.dealt(docs, id_col, text_col, carry=carry)
+    way = ex.Exchange(docs)
+    buckets = way.buckets
+    rows = ex.dealt(docs, id_col, text_col, way.groups, carry)
 
     def name(grp: int, table: pa.Table) -> list[tuple]:
         keys, count = _Group(table, width, gram).anchors()
@@ -334,9 +335,9 @@ def suffix_dedup(docs: DataFrame, width: int = 200, whole_chars: bool = False, g
 
     form = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_lengths array<long>, kept binary"
     form += f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""
-    anchors = ex.answer_pass(ex.send_pass(rows, name), shared)
-    marks = ex.answer_pass(ex.joined_pass(rows, anchors, evidence, ex.ROW), mark)
-    return ex.joined_pass(rows, anchors.unionByName(marks), remove, form)
+    anchors = way.answer_pass(way.send_pass(rows, name), shared)
+    marks = way.answer_pass(way.joined_pass(rows, anchors, evidence), mark)
+    return way.joined_pass(rows, anchors.unionByName(marks), remove, form)
 
 
 def cut_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
