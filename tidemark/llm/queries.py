@@ -174,3 +174,41 @@ t AS (SELECT k.doc_id, string_agg(hex(array_slice(raw, x, least(y, octet_length(
 n AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
 SELECT d.doc_id, octet_length(raw) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN raw ELSE unhex(coalesce(kept, '')) END) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
+
+
+def _license_sql(threshold: float = 0.8) -> str:
+    """Every unit against every template, whatever words it holds, and the nearest folder above by its depth."""
+    from tidemark.llm.license_scan import TEMPLATES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    words = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')".format
+    templates = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(TEMPLATES))
+    code = r"[ \t]*[^\s#/*;%-]"
+    return f"""
+WITH d AS (SELECT doc_id, concat_ws('/', source, CAST(floor(doc_id / 100) AS BIGINT), doc_id) AS path, text, coalesce(regexp_matches(text, '(?i)licen[cs]e'), false) AS grants FROM documents),
+t(k, licence, text) AS (VALUES {templates}),
+tw AS (SELECT k, licence, w, count(*) AS n FROM (SELECT k, licence, unnest({words("text")}) AS w FROM t) GROUP BY ALL),
+total AS (SELECT count(*) AS n FROM d),
+df AS (SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest({words("text")}) AS w FROM d) WHERE w IN (SELECT w FROM tw) GROUP BY w),
+idf AS (SELECT w, ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1 AS idf FROM (SELECT DISTINCT w FROM tw) LEFT JOIN df USING (w), total),
+tv AS (SELECT k, licence, w, tw.n * idf / sqrt(sum(tw.n * idf * tw.n * idf) OVER (PARTITION BY k)) AS weight FROM tw JOIN idf USING (w)),
+low AS (SELECT doc_id, grants, lower(text) AS l FROM d WHERE text IS NOT NULL),
+pieces AS (SELECT doc_id, unnest(string_split(l, chr(10))) AS u FROM low
+UNION SELECT doc_id, u FROM (SELECT doc_id, unnest(regexp_split_to_array(l, '\n(?:[^a-z0-9\n]*\n)+')) AS u FROM low) WHERE contains(u, chr(10))
+UNION SELECT doc_id, u FROM (SELECT doc_id, regexp_replace(unnest(string_split(regexp_replace(l, '\n({code})', chr(1) || '\1', 'g'), chr(1))), '^{code}[^\n]*\n', '') AS u FROM low) WHERE contains(u, chr(10))
+UNION SELECT doc_id, u FROM (SELECT doc_id, unnest(regexp_extract_all(l, '(?s)/\\*.*?\\*/')) AS u FROM low) WHERE contains(u, chr(10))
+UNION SELECT doc_id, l FROM low WHERE grants),
+units AS (SELECT u, row_number() OVER () AS id FROM (SELECT DISTINCT u FROM pieces)),
+uw AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest({words("u")}) AS w FROM units) GROUP BY ALL),
+ux AS (SELECT id, w, uw.n * coalesce(idf, ln(1 + total.n) + 1) AS x FROM uw LEFT JOIN idf USING (w), total),
+norms AS (SELECT id, sqrt(sum(x * x)) AS norm FROM ux GROUP BY id),
+dots AS (SELECT id, k, licence, sum(x * weight) AS dot FROM ux JOIN tv USING (w) GROUP BY ALL),
+near AS (SELECT id, licence, round(dot / norm, 9) AS score FROM dots JOIN norms USING (id) WHERE round(dot / norm, 9) >= {threshold}),
+own AS (SELECT doc_id, max(score) AS score, min(licence) FILTER (score = top) AS own FROM (SELECT doc_id, licence, score, max(score) OVER (PARTITION BY doc_id) AS top FROM pieces JOIN units USING (u) JOIN near USING (id)) GROUP BY doc_id),
+base AS (SELECT d.doc_id, path, grants, own, score, regexp_replace(path, '/?[^/]*$', '') AS folder FROM d LEFT JOIN own USING (doc_id)),
+given AS (SELECT folder, min(path) AS licence_path, arg_min(own, path) AS licence FROM base WHERE grants AND own IS NOT NULL GROUP BY folder),
+above AS (SELECT b.doc_id, arg_max(g.licence_path, length(g.folder)) AS licence_path, arg_max(g.licence, length(g.folder)) AS licence FROM base b JOIN given g ON b.own IS NULL AND (g.folder = '' OR b.folder = g.folder OR starts_with(b.folder, g.folder || '/')) GROUP BY b.doc_id)
+SELECT b.doc_id, b.path, coalesce(b.own, a.licence) AS licence, b.score, b.own IS NULL AND a.licence IS NOT NULL AS inherited, a.licence_path FROM base b LEFT JOIN above a USING (doc_id)"""
+
+
+ORACLE_SQL["op8_license_scan"] = _license_sql()
