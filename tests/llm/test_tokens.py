@@ -53,6 +53,14 @@ def test_token_counts(spark, library):
     assert token_counts(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 
 
+def test_long_texts_with_special_strings(encoder, library):
+    part = "It's a  text.\nOf <| odd parts, été 12 and \t blanks  " * 4000
+    for text in (part + "<|endoftext|>" + part, "<|endoftext|>" * 9000, part[:70_000] + " <|endoftext|> " + "x" * 90_000 + "<|endoftext|>", "a<|" * 40_000):
+        assert len(text) > 1 << 16
+        assert encoder.counts(pa.array([text])).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
+        assert next(encoder.ids(pa.array([text]))).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_pack_loses_nothing(spark, library):
     rows = [*corpus(1), *((1000 + k, t) for k, t in enumerate(ODD))]
     out = pack(spark.createDataFrame(rows, SCHEMA).repartition(3), PATH).toPandas()

@@ -135,12 +135,14 @@ def longest(words: Words, tests: Tests, word: np.ndarray, place: np.ndarray, win
         yield at, k, size
 
 
-def _blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> list[Tests]:
+def _blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> Iterator[tuple[bool, Tests]]:
+    """One block at a time, and whether it is the last."""
     items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [Tests([tuple(r) for r in items.where(block == k).collect()], width) for k in range(n)]
+    for k in range(n):
+        yield k == n - 1, Tests([tuple(r) for r in items.where(block == k).collect()], width)
 
 
 def _hits(batch: pa.Array, tests: Tests) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray, np.ndarray]]:
@@ -153,12 +155,11 @@ def _hits(batch: pa.Array, tests: Tests) -> Iterator[tuple[int, int, Words, np.n
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the items themselves (item_ids), per document."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(t) for t in _blocks(benchmark, width, item_col, item_text_col)]
     kind = docs.schema[id_col].dataType.simpleString()
     state = f"doc_id {kind}, text string, hits binary, items array<string>"
     out = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    for k, shared in enumerate(blocks):
-        last = k == len(blocks) - 1
+    for last, tests in _blocks(benchmark, width, item_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(tests)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             tests = shared.value
@@ -198,7 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents, all columns, that hold no benchmark window."""
     place = docs.columns.index(text_col)
-    for tests in _blocks(benchmark, width, item_col, item_text_col):
+    for _, tests in _blocks(benchmark, width, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(tests)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -217,7 +218,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     out = None
-    for tests in _blocks(benchmark, width, item_col, item_text_col):
+    for _, tests in _blocks(benchmark, width, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(tests)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

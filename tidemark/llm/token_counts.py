@@ -5,7 +5,8 @@ before a single space between two characters that aren't white space, where a La
 isn't one, before a line feed, and after a single one. The pieces' ids end to end are the text's ids, so a long text never
 is encoded in one go. The pieces of a byte-balanced batch are found and fingerprinted in a few passes over the bytes;
 distinct new ones are encoded by `encode_batch_fast`, and a bounded table keeps their ids for the worker's later batches.
-A text that may hold a special string is encoded by the library as it is. Only lengths leave the worker.
+A text that may hold a special string is encoded by the library as it is, a long one between its special strings, and there
+in parts at safe boundaries. Only lengths leave the worker.
 
 Null text: empty, 0 tokens. Null doc_id: kept as it is. Other columns are ignored. An empty table gives no rows.
 """
@@ -13,6 +14,7 @@ Null text: empty, 0 tokens. Null doc_id: kept as it is. Other columns are ignore
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,7 @@ from tidemark.llm.text import by_bytes, byte_sums, flat, release, stretch
 BATCH_BYTES = 1 << 21
 TABLE_PIECES = 1_200_000
 TABLE_IDS = 1 << 23
+LONG = 1 << 16
 
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
@@ -60,6 +63,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        # those that take no blanks with them and stand anywhere, so that a text may be parted at them
+        self.plain_specials = bool(added) and not any(t.lstrip or t.rstrip or t.single_word for t in added)
+        self.specials = re.compile("(" + "|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content))) + ")")
         self._empty()
 
     def _empty(self) -> None:
@@ -115,7 +122,21 @@ class PieceEncoder:
         return place[back], first, whole
 
     def _whole(self, text: str | None) -> list[int]:
-        return self.tokenizer.encode(text or "", add_special_tokens=False).ids
+        encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        if not text or len(text) <= LONG or not self.plain_specials:
+            return encode(text or "")
+        out: list[int] = []
+        for part in self.specials.split(text):
+            if len(part) <= LONG:
+                out += encode(part)
+                continue
+            raw = np.frombuffer(part.encode(), np.uint8)
+            start = boundaries(raw, np.array([0, len(raw)]))
+            cuts = [a for a, _ in by_bytes(np.diff(np.r_[start, len(raw)]), 4 * LONG)]
+            ends = [*start[cuts[1:]].tolist(), len(raw)]
+            for a, b in zip(start[cuts].tolist(), ends, strict=True):
+                out += encode(raw[a:b].tobytes().decode())
+        return out
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Numbers of tokens."""
