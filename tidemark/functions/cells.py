@@ -83,16 +83,23 @@ def token_values(token: Column, kinds: Sequence[str]) -> list[Column]:
     """The values of a token of integers, booleans and times; a token of other kinds or another revision gives nulls."""
     raw = F.translate(token, "-_", "+/")
     raw = F.hex(F.unbase64(F.rpad(raw, (F.ceil(F.length(raw) / 4) * 4).cast("int"), F.lit("="))))
-    at, out = F.lit(3), []
+
+    def reader(kind: str, n: int) -> Callable[[Column], Column]:
+        def step(x: Column) -> Column:
+            tag = F.substring(x["raw"], x["at"], F.lit(2))
+            big = F.concat(*(F.substring(x["raw"], x["at"] + 2 * (n - k), F.lit(2)) for k in range(n)))
+            sign = F.when(F.substring(big, 1, 1) >= "8", F.lit("F" * (16 - 2 * n))).otherwise(F.lit("0" * (16 - 2 * n)))
+            value = F.conv(F.concat(sign, big), 16, -10).cast("bigint")
+            value = value == 1 if kind == "boolean" else value
+            after = x["at"] + F.when(tag == "00", 2).otherwise(2 + 2 * n)
+            return F.struct(after.alias("at"), x["raw"].alias("raw"), F.when(tag == _hex_byte(TAGS[kind]), value).alias("value"))
+
+        return step
+
+    state, out = F.struct(F.lit(3).alias("at"), raw.alias("raw")), []
     for kind in kinds:
-        n = 1 if kind == "boolean" else _BYTES[kind]
-        tag = F.substring(raw, at, F.lit(2))
-        big = F.concat(*(F.substring(raw, at + 2 * (n - k), F.lit(2)) for k in range(n)))
-        sign = F.when(F.substring(big, 1, 1) >= "8", F.lit("F" * (16 - 2 * n))).otherwise(F.lit("0" * (16 - 2 * n)))
-        value = F.conv(F.concat(sign, big), 16, -10).cast("bigint")
-        value = value == 1 if kind == "boolean" else value
-        out.append(F.when(tag == _hex_byte(TAGS[kind]), value))
-        at = F.when(tag == "00", at + 2).otherwise(at + 2 + 2 * n)
+        state = _let(state, reader(kind, 1 if kind == "boolean" else _BYTES[kind]))
+        out.append(state["value"])
     return out
 
 

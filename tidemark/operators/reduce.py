@@ -72,6 +72,12 @@ def percent_of_total(df: DataFrame, value: str, groups: Sequence[str] = ()) -> D
     return out.withColumn("pct", F.when(F.col("_missing") == 0, ratio(F.col(value) * 100, F.col("_sum")))).drop("_sum", "_missing")
 
 
+def exact_counts(df: DataFrame, keys: Sequence[str | Column], distinct: dict[str, str] | None = None, filtered: dict[str, Column] | None = None) -> DataFrame:
+    """Exact distinct counts of columns and counts of rows that meet conditions, by name."""
+    aggs = [F.count_distinct(c).alias(n) for n, c in (distinct or {}).items()] + [F.count_if(c).alias(n) for n, c in (filtered or {}).items()]
+    return df.groupBy(*keys).agg(*aggs)
+
+
 def _same(groups: Sequence[str]) -> Column:
     out = F.lit(True)
     for g in groups:

@@ -420,7 +420,7 @@ def spine_rebucket(s, d):
 
 @query(f"WITH {_EV} SELECT day, count(DISTINCT user_id) AS users, count(*) FILTER (event_type = 'error') AS errors FROM ev GROUP BY day")
 def distinct_and_filtered_counts(s, d):
-    return ev(s, d).groupBy("day").agg(F.count_distinct("user_id").alias("users"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return reduce.exact_counts(ev(s, d), ["day"], {"users": "user_id"}, {"errors": F.col("event_type") == "error"})
 
 
 @query(f"WITH {_EV} SELECT event_type, day, count(*) AS rows, count(*) FILTER (v > 20000) AS notable, CASE WHEN max(v) > 30000 THEN 'critical' WHEN max(v) > 20000 THEN 'warning' ELSE 'ok' END AS worst FROM ev GROUP BY ALL")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import entities, frames, incidents, joins, metrics, quality, reduce, series
 from tidemark.plans.catalog import _CN, _DIFF, _EV, DAY, HOUR, T0, cn, df, ev, query, table
+from tidemark.sources.external import candidates
 
 # ---- gaps, failures, coverage ----------------------------------------------------------------------------------------------
 
@@ -183,9 +184,7 @@ def lens_availability(s, d):
 @query("WITH c AS (SELECT c_custkey, c_acctbal, c_nationkey, count(*) OVER () AS source_total FROM customer), k AS (SELECT * FROM c ORDER BY c_acctbal DESC, c_custkey LIMIT 30) SELECT c_custkey, source_total, n_name FROM k LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 2 = 0")
 def candidates_join(s, d):
     """Top candidates with the size of the source, joined back to names that some of them lack."""
-    c = table(s, d, "customer")
-    total = c.agg(F.count("*").alias("source_total"))
-    top = c.select("c_custkey", "c_acctbal", "c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey").limit(30).crossJoin(F.broadcast(total))
+    top = candidates(table(s, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), ("c_acctbal",), 30, "c_custkey")
     names = table(s, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return top.join(names, "c_nationkey", "left").select("c_custkey", "source_total", "n_name")
 

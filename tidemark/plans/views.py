@@ -266,7 +266,9 @@ def levels(rows: DataFrame, view: View | str, snapshot_ts: int, columns: Sequenc
         for c in b.resets:
             reset = reset | F.coalesce(F.col(f"r_{c}") == "reset", F.lit(False)) if c in counters else reset
         policy = POLICIES[b.metric]
-        if policy.shape == "age":
+        if policy.shape == "age" and absent:
+            inputs[2] = F.lit(True)
+        elif policy.shape == "age":
             inputs[2] = F.when(inputs[0].isNull() | inputs[2].isNull(), True).otherwise(inputs[2])  # missing, not out of force
         judged = classify(policy, *inputs)
         reason = F.when(reset, "reset").when(~F.coalesce(applies, F.lit(False)), "not_applicable").otherwise(judged["reason"])

@@ -151,7 +151,7 @@ def topology(lines: DataFrame, line: str = "line") -> DataFrame:
     """/proc/cpuinfo: cpu_id, socket_id, core_id of each processor block."""
     from pyspark.sql import Window
 
-    key, number = F.trim(F.split("value", ":")[0]), F.trim(F.regexp_extract("value", r":(.*)$", 1)).try_cast("int")
+    key, number = F.regexp_extract("value", r"^\s*([^:]*?)\s*:", 1), F.regexp_extract("value", r":\s*(\d+)\s*$", 1).try_cast("int")
     rows = lines.select(F.col(line).alias("_line"), key.alias("k"), number.alias("n"))
     w = Window.orderBy("_line").rowsBetween(Window.unboundedPreceding, 0)  # one small file
     blocks = rows.withColumn("_b", F.sum(F.when(F.col("k") == "processor", 1).otherwise(0)).over(w)).where("_b > 0")
