@@ -263,7 +263,7 @@ def typed_log_events(s, d):
 
 
 @query(
-    f"WITH {_EV}, q AS (SELECT *, event_id % 10 AS k FROM ev) SELECT event_id, CASE WHEN k = 1 THEN v END AS buffers, CASE WHEN k = 1 THEN 1.5 END AS write_s, CASE WHEN k = 2 THEN 'db.public.t' || user_id END AS relation, CASE WHEN k = 2 THEN v END AS tuples_removed, CASE WHEN k = 3 THEN CAST(v AS DOUBLE) + 0.25 END AS duration_ms, CASE WHEN k IN (4, 6) THEN user_id END AS pid, CASE WHEN k = 4 THEN 'ShareLock' END AS lock_mode, CASE WHEN k = 4 THEN CAST(v AS DOUBLE) END AS waited_ms, CASE WHEN k = 5 THEN v END AS temp_bytes, CASE WHEN k = 6 THEN 9 END AS signal, CASE WHEN k = 8 THEN 'fast' END AS shutdown_mode FROM q"
+    f"WITH {_EV}, q AS (SELECT *, event_id % 10 AS k FROM ev) SELECT event_id, CASE WHEN k = 1 THEN v END AS buffers, CASE WHEN k = 1 THEN CAST(1.5 AS DOUBLE) END AS write_s, CASE WHEN k = 2 THEN 'db.public.t' || user_id END AS relation, CASE WHEN k = 2 THEN v END AS tuples_removed, CASE WHEN k = 3 THEN CAST(v AS DOUBLE) + 0.25 END AS duration_ms, CASE WHEN k IN (4, 6) THEN user_id END AS pid, CASE WHEN k = 4 THEN 'ShareLock' END AS lock_mode, CASE WHEN k = 4 THEN CAST(v AS DOUBLE) END AS waited_ms, CASE WHEN k = 5 THEN v END AS temp_bytes, CASE WHEN k = 6 THEN 9 END AS signal, CASE WHEN k = 8 THEN 'fast' END AS shutdown_mode FROM q"
 )
 def log_event_fields(s, d):
     """The typed fields of messages of a known form."""
@@ -318,7 +318,7 @@ def proc_networks(s, d):
     return procfs.netdev(rows).select("interface", "rx_bytes", "rx_errs", "tx_bytes")
 
 
-@query(f"WITH {_EV} SELECT CASE WHEN v % 2 = 0 THEN 'some' ELSE 'full' END AS kind, day + 0.25 AS avg10, event_id AS total_us FROM ev")
+@query(f"WITH {_EV} SELECT CASE WHEN v % 2 = 0 THEN 'some' ELSE 'full' END AS kind, CAST(day + 0.25 AS DOUBLE) AS avg10, event_id AS total_us FROM ev")
 def proc_pressure(s, d):
     rows = _text(s, d, "concat(CASE WHEN v % 2 = 0 THEN 'some' ELSE 'full' END, ' avg10=', day, '.25 avg60=0.00 avg300=1.50 total=', event_id)")
     return procfs.pressure(rows).select("kind", "avg10", "total_us")

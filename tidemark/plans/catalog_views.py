@@ -171,7 +171,7 @@ def table_levels(s, d):
     return _rounded(levels(snapshots(s, d, "tables"), "tables", AT))
 
 
-@query(_levels_sql("processes", [("rmem_kb", "os.process.rss_kib", "NULL", "rmem_kb", _level("observed", "> 1048576", "> 4194304"))]))
+@query(_levels_sql("processes", [("rmem_kb", "os.process.rss_kib", "CAST(NULL AS VARCHAR)", "rmem_kb", _level("observed", "> 1048576", "> 4194304"))]))
 def process_levels(s, d):
     return _rounded(levels(snapshots(s, d, "processes"), "processes", AT))
 
