@@ -235,6 +235,19 @@ def test_sections(spark, tmp_path):
         sections.write_part(spark.createDataFrame([(None, 1, 5)], "ts bigint, id int, n bigint"), root, old, 12)
 
 
+def test_inventory_of_tables_in_parts(spark, tmp_path):
+    """A table may be a file or a folder of parts, also in folders of its own; either is one row."""
+    from tidemark.plans.catalog_values import _TABLES, file_inventory
+
+    for k, t in enumerate(_TABLES):
+        for part in [f"{t}.parquet"] if k % 2 else [f"{t}.parquet/part-0000.parquet", f"{t}.parquet/k=1/part-0001.parquet"]:
+            (tmp_path / part).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / part).write_bytes(b"x" * (k + 1))
+    (tmp_path / "other.parquet").write_bytes(b"x")
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+        assert rows(file_inventory(spark, root), "file") == sorted((f"{t}.parquet", True) for t in _TABLES)
+
+
 def test_dictionaries(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id bigint, value string")
     assert rows(sections.dictionary_merge([a, a]), "id") == [(1, "x"), (2, "y")]

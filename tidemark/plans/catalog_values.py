@@ -464,8 +464,9 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', true)" for t in _TABLES) + ") AS t(file, held)")
 def file_inventory(s, d):
-    """The tables' files, and that each has a share of all bytes."""
-    files = sections.inventory(s, d).select(F.element_at(F.split("path", "/"), -1).alias("file"), ((F.col("bytes") > 0) & (F.col("share") > 0) & (F.col("share") < 1)).alias("held"))
+    """The tables' files or folders of parts, and that each has a share of all bytes."""
+    files = sections.inventory(s, d).groupBy(F.col("entry").alias("file")).agg(F.sum("bytes").alias("bytes"), F.sum("share").alias("share"))
+    files = files.select("file", ((F.col("bytes") > 0) & (F.col("share") > 0) & (F.col("share") < 1)).alias("held"))
     return files.where(F.col("file").isin(*(f"{t}.parquet" for t in _TABLES)))
 
 

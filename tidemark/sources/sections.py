@@ -158,8 +158,12 @@ def surrogate(text, limit: int = 1 << 20):
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """path, bytes, share of all bytes, of every file below a root."""
+    """path, bytes, share of all bytes, of every file below a root, and its entry: what lies directly below the root, that file
+    or the folder that holds it with the other parts of a table."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(top).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"), "modificationTime")
+    files = files.withColumn("entry", F.when(F.startswith("path", F.lit(f"{top}/")), F.substring_index(F.substring("path", len(top) + 2, 1 << 30), "/", 1)).otherwise(F.raise_error(F.concat(F.lit(f"not below {top}: "), "path"))))
     total = files.agg(F.sum("bytes").alias("_all"))
     return files.crossJoin(F.broadcast(total)).withColumn("share", F.col("bytes") / F.col("_all")).drop("_all")
 
