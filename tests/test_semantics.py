@@ -1,5 +1,8 @@
 """Traps of the semantics, on small tables."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +146,46 @@ def test_clusters_keep_the_span_cap(spark):
         incidents.clusters(df, ["node"], 5, 9).collect()
 
 
+def greedy(episodes, epsilon, most_span):
+    """Clusters of (node, start, end, key) by the rule as it reads."""
+    out = []
+    for n, s, e, k in sorted(((n, s, s if e is None else max(s, e), k) for n, s, e, k in episodes), key=lambda x: (x[0] or "", *x[1:])):
+        last = out[-1] if out and out[-1][0] == n else None
+        near = bool(last) and s - last[2] <= epsilon
+        if near and max(last[2], e) - last[1] <= most_span:
+            last[2] = max(last[2], e)
+            last[3].append(k)
+        else:
+            out.append([n, s, e, [k], int(near)])
+    return out
+
+
+@pytest.mark.parametrize("epsilon,most_span", [(0, 12), (3, 12), (3, 25), (7, 60), (5, 10_000)])
+def test_clusters_follow_the_greedy_rule(spark, epsilon, most_span):
+    r = random.Random(epsilon * 100 + most_span)
+    starts = [(r.choice(["a", "b", None]), r.randrange(-200, 400)) for _ in range(300)]
+    df = [(n, s, r.choice([None, s - 2, s, *(s + r.randrange(12) for _ in range(6))]), k) for k, (n, s) in enumerate(starts)]
+    want = greedy(df, epsilon, most_span)
+    episodes = spark.createDataFrame([*df, ("a", None, 5, 1000), ("a", None, None, 1001)], "node string, start bigint, end bigint, episode int")
+    alone = [["a", None, 5, [1000], 0], ["a", None, None, [1001], 0]]
+    got = [tuple(x) for x in incidents.clusters(episodes, ["node"], epsilon, most_span).collect()]
+    assert sorted(got, key=repr) == sorted(map(tuple, want + alone), key=repr)
+    got = [tuple(x) for x in incidents.clusters(episodes, ["node"], epsilon, most_span, listed=False).collect()]
+    assert sorted(got, key=repr) == sorted(((*x[:3], len(x[3]), x[4]) for x in want + alone), key=repr)
+
+
+@pytest.mark.parametrize("most_span", [6_000, 10**9])
+def test_clusters_of_one_long_chain(spark, most_span):
+    """The work grows with the episodes and not with the square of a chain."""
+    n = 200_000
+    df = spark.range(n).select(F.lit("n").alias("node"), F.col("id").alias("start"), (F.col("id") + F.pmod(F.xxhash64("id"), F.lit(500))).alias("end"), F.col("id").alias("episode"))
+    began = time.monotonic()
+    got = incidents.clusters(df, ["node"], 100, most_span).collect()
+    assert time.monotonic() - began < 60
+    want = greedy([tuple(x) for x in df.collect()], 100, most_span)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_wait_tree_and_cycles(spark):
     df = spark.createDataFrame([(2, 1), (3, 2), (3, 1), (8, 9), (9, 8), (10, 9)], "w int, b int")
     got = rows(joins.wait_tree(df, "w", "b").select("pid", "root", "depth"), "root", "depth", "pid")

@@ -2,43 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalar import ratio
 
 
-def clusters(episodes: DataFrame, node: Sequence[str], epsilon: int, most_span: int, start: str = "start", end: str = "end", key: str = "episode") -> DataFrame:
+def clusters(episodes: DataFrame, node: Sequence[str], epsilon: int, most_span: int, start: str = "start", end: str = "end", key: str = "episode", listed: bool = True) -> DataFrame:
     """Episodes of a node in order of (start, end, key): one joins the open cluster if it begins at most epsilon after its
-    end and the merged span is at most most_span, else it opens the next: node, cluster, start, end, members, span_splits.
-
-    The greedy rule has state, so it folds over a sorted array, in JVM expressions. Two episodes more than epsilon apart
-    from all before are never in one cluster, so a node's episodes are first cut there with a window, and only the parts
-    are folded. An episode longer than most_span raises."""
-    w = Window.partitionBy(*node).orderBy(start, end, key)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = episodes.withColumn("_chain", F.when(reach.isNull() | (F.col(start) - reach > epsilon), 1).otherwise(0))
-    rows = rows.withColumn("_chain", F.sum("_chain").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_ok", F.when(F.col(end) - F.col(start) > most_span, F.raise_error(F.lit("an episode is longer than a cluster may be"))).otherwise(F.lit(None)))
-    item = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(key).alias("k"), F.col("_ok").cast("string").alias("x"))
-    kind = episodes.schema[key].dataType.simpleString()
-    shape = f"array<struct<s:bigint,e:bigint,m:array<{kind}>,j:int>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        near = x["s"] - last["e"] <= epsilon
-        fits = F.greatest(last["e"], x["e"]) - last["s"] <= most_span
-        merged = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), F.array_append(last["m"], x["k"]).alias("m"), last["j"].alias("j"))
-        fresh = F.struct(x["s"].alias("s"), x["e"].alias("e"), F.array(x["k"]).alias("m"), F.when(F.size(acc) > 0, near.cast("int")).otherwise(0).alias("j"))
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))
-        return F.when((F.size(acc) > 0) & near & fits, joined).otherwise(F.concat(acc, F.array(fresh))).cast(shape)
-
-    out = rows.groupBy(*node, "_chain").agg(F.array_sort(F.collect_list(item)).alias("a"))
-    out = out.withColumn("c", F.explode(F.aggregate("a", F.array().cast(shape), step)))
-    return out.select(*node, F.col("c.s").alias("start"), F.col("c.e").alias("end"), F.col("c.m").alias("members"), F.col("c.j").alias("split_from_previous"))
+    end and the merged span is at most most_span, else it opens the next: node, start, end, members (their keys in that order;
+    not listed: n_members, their number), split_from_previous. An episode without an end, or with one before its start, ends
+    where it starts; one without a start is a cluster of its own; one longer than most_span raises.
+
+    Two episodes more than epsilon apart from all before are never in one cluster, so a node's timeline is first cut there
+    into chains. Starts less than epsilon apart are never cut, so slots of that length, with their first start and last end,
+    tell the chains, and a window runs over slots and not over episodes. A chain no longer than most_span is one cluster. In a
+    longer one the greedy rule has state: its distinct (start, end), which never part, are numbered as a stream in their order."""
+    s, e = F.col(start).cast("bigint"), F.greatest(start, end).cast("bigint")
+    e = F.when(e - s > most_span, F.raise_error(F.lit("an episode is longer than a cluster may be")).cast("bigint")).otherwise(e)
+    rows = episodes.select(*node, s.alias("_s"), e.alias("_e"), F.col(key).alias("_k"))
+    what = [F.count("*").alias("_n"), *([F.transform(F.array_sort(F.collect_list(F.struct("_k"))), lambda x: x["_k"]).alias("_m")] if listed else [])]
+    items = rows.where("_s IS NOT NULL").groupBy(*node, "_s", "_e").agg(*what).withColumn("_b", F.col("_s") - F.pmod("_s", F.lit(max(epsilon, 1)).cast("bigint")))
+
+    slots = items.groupBy(*node, "_b").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_n").alias("_n"))
+    w = Window.partitionBy(*node).orderBy("_b")
+    reach = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    slots = slots.withColumn("_cut", F.when(reach.isNull() | (F.col("_s") - reach > epsilon), 1).otherwise(0))
+    slots = slots.withColumn("_chain", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*node, "_chain")
+    slots = slots.withColumn("_long", F.max("_e").over(whole) - F.min("_s").over(whole) > most_span)
+
+    named = slots.select(*(F.col(c).alias(f"_node{k}") for k, c in enumerate(node)), F.col("_b").alias("_slot"), "_chain", "_long")
+    same = F.col("_b") == F.col("_slot")
+    for k, c in enumerate(node):
+        same = same & F.col(c).eqNullSafe(F.col(f"_node{k}"))
+    parts = ["_s", "_e", "_n", *(["_m"] if listed else [])]
+    placed = lambda test: items.join(named.where(test), same).select(*node, "_chain", *parts)
+    short = placed("NOT _long") if listed else slots.where("NOT _long").select(*node, "_chain", *parts)
+    found = short.withColumns({"_c": F.lit(0).cast("bigint"), "_j": F.lit(0)}).unionByName(_numbered(placed("_long"), [*node, "_chain"], epsilon, most_span))
+    members = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_e", "_m"))), lambda x: x["_m"])).alias("members") if listed else F.sum("_n").alias("n_members")
+    out = found.groupBy(*node, "_chain", "_c").agg(F.min("_s").alias("start"), F.max("_e").alias("end"), members, F.max("_j").alias("split_from_previous"))
+    alone = rows.where("_s IS NULL").select(*node, F.col("_s").alias("start"), F.col("_e").alias("end"), F.array("_k").alias("members") if listed else F.lit(1).cast("bigint").alias("n_members"), F.lit(0).alias("split_from_previous"))
+    return out.drop("_chain", "_c").unionByName(alone)
+
+
+def _numbered(items: DataFrame, chain: Sequence[str], epsilon: int, most_span: int) -> DataFrame:
+    """Adds _c, the number of an item's cluster in its chain, and _j, whether the cluster begins near the end of that before."""
+
+    names = items.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = reached = c = j = 0
+        for batch in batches:
+            cs, js = [], []
+            for first, s, e in zip(*(batch.column(x).to_pylist() for x in ("_first", "_s", "_e")), strict=True):
+                near = not first and s - reached <= epsilon
+                if near and max(reached, e) - opened <= most_span:
+                    reached = max(reached, e)
+                else:
+                    opened, reached, c, j = s, e, 0 if first else c + 1, int(near)
+                cs.append(c)
+                js.append(j)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(cs, pa.int64()), pa.array(js, pa.int32())], [*names, "_c", "_j"])
+
+    shape = T.StructType([*items.schema.fields, T.StructField("_c", T.LongType()), T.StructField("_j", T.IntegerType())])
+    w = Window.partitionBy(*chain).orderBy("_s", "_e")
+    return items.withColumn("_first", F.row_number().over(w) == 1).mapInArrow(number, shape)
 
 
 @dataclass(frozen=True)

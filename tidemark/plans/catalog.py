@@ -598,8 +598,8 @@ def scan_accounting(s, d):
 )
 def session_clusters(s, d):
     e = ev(s, d).where("v > 15000").groupBy("user_id", F.floor(F.col("us") / (4 * HOUR)).alias("w")).agg(F.min("us").alias("start"), F.max("us").alias("end"))
-    found = incidents.clusters(e.withColumn("node", F.lit("n")), ["node"], HOUR, 400 * DAY, key="user_id")
-    return found.select("start", "end", F.size("members").cast("bigint").alias("members"))
+    found = incidents.clusters(e.withColumn("node", F.lit("n")), ["node"], HOUR, 400 * DAY, key="user_id", listed=False)
+    return found.select("start", "end", F.col("n_members").alias("members"))
 
 
 @query(
@@ -610,8 +610,8 @@ def session_clusters(s, d):
 )
 def incident_clusters(s, d):
     e = ev(s, d).where("v > 15000").groupBy("user_id", F.floor(F.col("us") / (4 * HOUR)).alias("w")).agg(F.min("us").alias("start"), F.max("us").alias("end"))
-    found = incidents.clusters(e.withColumn("node", F.lit("n")), ["node"], HOUR, 6 * HOUR, key="user_id")
-    return found.select("start", "end", F.size("members").cast("bigint").alias("members"), "split_from_previous")
+    found = incidents.clusters(e.withColumn("node", F.lit("n")), ["node"], HOUR, 6 * HOUR, key="user_id", listed=False)
+    return found.select("start", "end", F.col("n_members").alias("members"), "split_from_previous")
 
 
 @query(
