@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.language_id import KneserNey, Models, Spelling, _length, identify, learn
+from tidemark.llm.language_id import KneserNey, Models, Spelling, _Kept, _length, fold_of, identify, learn
 from tidemark.llm.toxicity import fit_nnpu, keep_clean, score
 from tidemark.llm.toxicity import learn as learn_toxicity
 
@@ -62,6 +62,44 @@ def test_calibration_reads_whole_texts(spark, monkeypatch):
     assert all(np.isclose(whole[g], h).all(1).any() for g, h in found)
 
 
+def test_calibration_takes_all_learning_rows(spark, monkeypatch):
+    """Temperature and limits against plain ones over every row, each scored by models that count neither it nor its copies."""
+    rows = [*languages(4, 600), *((2000 + i, t, g) for i, t, g in languages(4, 50)), (3000, "solo", "one"), (3001, "12", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, calibrate = [], Models.calibrate
+    monkeypatch.setattr(Models, "calibrate", lambda self, found, share: (seen.append((self, list(found))), calibrate(self, found, share)))
+    models = learn(docs, F.lit(True), keep_share=0.9)
+    (crossed, found), = seen
+    assert len(found) == len(rows)
+    h, y = crossed.entropies([t for _, t, _ in rows]), np.array([models.langs.index(g) for _, _, g in rows])
+    own = h[np.arange(len(y)), y]
+    assert sorted(map(repr, own.tolist())) == sorted(repr(x[models.langs.index(g)]) for g, x in found)
+    for k, part in enumerate(crossed.parts):
+        for g in part.langs:
+            keys = np.unique(Spelling([t for _, t, x in rows if x == g and fold_of(t) != k]).key)
+            assert part.models[part.langs.index(g)].levels[-1][0].tolist() == keys[_length(keys) == 5].tolist()
+    ok = np.isfinite(own)
+    assert ok.sum() == len(rows) - 2
+    likes = {t: (-own[ok] * t - np.log(np.exp(-h[ok] * t).sum(1))).sum() for t in 2.0 ** np.arange(-3, 8)}
+    assert likes[models.temperature] >= max(likes.values()) - 1e-3 * len(rows) * len(likes)
+    for k, g in enumerate(models.langs):
+        if g == "one":
+            assert models.limit[k] == np.inf
+            continue
+        mine = own[ok & (y == k)]
+        assert models.limit[k] == pytest.approx(np.quantile(np.ceil(mine / 0.001), 0.9) * 0.001 * 1.05)
+
+
+def test_kept_scores_equal_new_ones():
+    """Tables that fill up, are merged and emptied."""
+    r = np.random.default_rng(1)
+    kept = _Kept(2, 9000)
+    for _ in range(60):
+        key = np.unique(r.integers(0, 30_000, 700).astype(np.uint64))
+        assert kept.get(key, lambda new: np.stack([key[new], key[new] * 2], 1).astype(float)).tolist() == [[k, 2.0 * k] for k in key.tolist()]
+    assert sum(len(known) for known, _ in kept.tables) <= 9000 + 700
+
+
 def test_all_learning_rows_are_counted(spark):
     """Also those that calibrate, and languages of one text each."""
     rows = [*languages(2), *((1000 + k, f"bu{chr(97 + k % 26)}{chr(97 + k // 26)} wo", f"g{k:02}") for k in range(60))]

@@ -7,19 +7,23 @@ and key range, and the sums of all of them come to the driver, 16 bytes an n-gra
 grows with the words and scripts of the input and not with its size. A model is sorted arrays of 60-bit n-gram keys with discounted shares, and of context keys with back-off weights.
 
 A text's words are scored once each; its cross-entropy under a language is the mean over its symbols. The least wins;
-`score` is the posterior with a temperature fitted on the whole texts of at most `calibration_rows` learning texts (of one in 16, by
-hash) under models that don't count them, and `rejected` tells that the cross-entropy is above what `keep_share` of them stay
-under; then their counts are added, so the final models count all learning rows. A text that is null or has no
-letter is `und` with score 0. Learning rows need a label; without any, all texts are `und`. An empty table gives no rows.
+`score` is the posterior with a temperature fitted on the whole texts of all learning rows, and `rejected` tells that the
+cross-entropy is above what `keep_share` of its language's learning rows stay under. For both, rows are dealt to folds by their
+text, and models of the other folds, which don't count it or its copies, score it; a row whose language no other fold has says
+nothing there. The sums of likelihoods and the numbers of rows by entropy (steps of 0.001) are taken where the rows lie. The
+final models count all learning rows. A text that is null or has no letter is `und` with score 0. Learning rows need a label;
+without any, all texts are `und`. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import by_bytes, prefix_sums, release, stretch
@@ -28,6 +32,10 @@ ORDER = 5
 BOUNDARY = 1
 SHARDS = 16
 PART_CHARS = 1 << 16
+FOLDS = 2
+STEP = 0.001
+TEMPERATURES = 2.0 ** np.arange(-3, 8)
+KEPT_BYTES = 1 << 25
 _TABLE: list[np.ndarray] = []
 
 
@@ -56,14 +64,19 @@ class Spelling:
         end = np.flatnonzero(letter & np.r_[~letter[1:], True][:n]) + 1
         self.first = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
         name = stretch(prefix_sums(code.astype(np.uint64) + np.uint64(7)), start, end) if len(start) else np.empty(0, np.uint64)
-        _, pick, self.word = np.unique(name, return_index=True, return_inverse=True)
+        self.names, pick, self.word = np.unique(name, return_index=True, return_inverse=True)
         self.size = end[pick] - start[pick]
-        # each distinct word with the boundary after it
-        total = self.size + 1
-        self.at = np.cumsum(total) - total
-        place = np.arange(total.sum()) - np.repeat(self.at, total)
-        source = np.repeat(start[pick], total) + place
-        last = place == np.repeat(self.size, total)
+        self._code, self._start = code, start[pick]
+
+    def spell(self, some: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Maximal n-grams of some distinct words, each with the boundary after it, and where each word begins."""
+        size, start, code = self.size[some], self._start[some], self._code
+        total = size + 1
+        at = np.cumsum(total) - total
+        place = np.arange(total.sum()) - np.repeat(at, total)
+        source = np.repeat(start, total) + place
+        last = place == np.repeat(size, total)
+        n = len(code)
         symbols = np.where(last, BOUNDARY, code[np.minimum(source, max(n - 1, 0))] if n else 0).astype(np.uint64)
         key = symbols.copy()
         for j in range(1, ORDER):
@@ -71,44 +84,55 @@ class Spelling:
             before[j:] = symbols[:-j] if j < len(symbols) else before[j:]
             before[place == j - 1] = BOUNDARY
             key |= np.where(place >= j - 1, before, 0).astype(np.uint64) << np.uint64(12 * j)
-        self.key = key
+        return key, at
+
+    @cached_property
+    def key(self) -> np.ndarray:
+        """Maximal n-grams of all distinct words."""
+        return self.spell(slice(None))[0]
 
     def counts(self) -> np.ndarray:
         """Words of each text."""
         return np.diff(self.first)
 
 
+def fold_of(text: str) -> int:
+    """The fold of a text and all its copies."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS
+
+
 def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, shard, keys, counts (packed): all maximal n-grams of all rows, summed where they lie."""
+    """lang, fold, shard, keys, counts (packed): all maximal n-grams of all rows, summed where they lie."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list] = {}
+        sums: dict[tuple[str, int], list] = {}
         for batch in batches:
-            langs, texts = batch.column(1).to_pylist(), [t or "" for t in batch.column(0).to_pylist()]
-            for lang in set(langs):
-                mine = [t for t, g in zip(texts, langs, strict=True) if g == lang]
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            kinds = list(zip(batch.column(1).to_pylist(), map(fold_of, texts), strict=True))
+            for kind in set(kinds):
+                mine = [t for t, k in zip(texts, kinds, strict=True) if k == kind]
                 for a, b in by_bytes(np.array([len(t) for t in mine]), PART_CHARS):
                     s = Spelling(mine[a:b])
                     if len(s.word):
                         weight = np.repeat(np.bincount(s.word, minlength=len(s.size)), s.size + 1)
-                        sums.setdefault(lang, []).append(_sum(s.key, weight))
-                if len(sums.get(lang, [])) > 8:
-                    sums[lang] = [_sum(*map(np.concatenate, zip(*sums[lang], strict=True)))]
+                        sums.setdefault(kind, []).append(_sum(s.key, weight))
+                if len(sums.get(kind, [])) > 8:
+                    sums[kind] = [_sum(*map(np.concatenate, zip(*sums[kind], strict=True)))]
         rows = []
-        for lang, found in sums.items():
+        for kind, found in sums.items():
             key, n = _sum(*map(np.concatenate, zip(*found, strict=True)))
             shard = key % np.uint64(SHARDS)
-            rows += [(lang, k, key[shard == k].tobytes(), n[shard == k].astype("<i8").tobytes()) for k in range(SHARDS)]
+            rows += [(*kind, k, key[shard == k].tobytes(), n[shard == k].astype("<i8").tobytes()) for k in range(SHARDS)]
         release()
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "shard", "keys", "counts"])
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "fold", "shard", "keys", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
         key, n = _sum(np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u8"), np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i8"))
-        return pa.table({"lang": table.column("lang")[:1], "shard": table.column("shard")[:1], "keys": pa.array([key.tobytes()], pa.binary()), "counts": pa.array([n.astype("<i8").tobytes()], pa.binary())})
+        return pa.table({**{c: table.column(c)[:1] for c in ("lang", "fold", "shard")}, "keys": pa.array([key.tobytes()], pa.binary()), "counts": pa.array([n.astype("<i8").tobytes()], pa.binary())})
 
-    form = "lang string, shard int, keys binary, counts binary"
-    return docs.select(docs[text_col].cast("string").alias("t"), docs[lang_col].cast("string").alias("g")).mapInArrow(count, form).groupBy("lang", "shard").applyInArrow(merge, form)
+    form = "lang string, fold int, shard int, keys binary, counts binary"
+    return docs.select(docs[text_col].cast("string").alias("t"), docs[lang_col].cast("string").alias("g")).mapInArrow(count, form).groupBy("lang", "fold", "shard").applyInArrow(merge, form)
 
 
 def _sum(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +186,42 @@ class KneserNey:
         return np.log(p)
 
 
+class _Kept:
+    """Rows of numbers by key, emptied when they outgrow their room. New ones go to a small table first, so that few are moved."""
+
+    def __init__(self, width: int, most: int) -> None:
+        self.width, self.room = width, min(most, KEPT_BYTES // (8 * (width + 1)))
+        self.clear()
+
+    def clear(self) -> None:
+        self.tables = [(np.empty(0, np.uint64), np.empty((0, self.width)))] * 2
+
+    def get(self, key: np.ndarray, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Rows of sorted distinct keys; work(places) gives those of new ones."""
+        if sum(len(known) for known, _ in self.tables) > self.room:
+            self.clear()
+        out, left = np.empty((len(key), self.width)), np.arange(len(key))
+        for known, rows in self.tables:
+            at = np.searchsorted(known, key[left])
+            old = known[np.minimum(at, len(known) - 1)] == key[left] if len(known) else np.zeros(len(left), bool)
+            out[left[old]] = rows[at[old]]
+            left = left[~old]
+        if len(left):
+            out[left] = work(left)
+            large, small = self.tables[0], self._merged(self.tables[1], key[left], out[left])
+            if len(small[0]) > max(len(large[0]) // 8, 1 << 12):
+                large, small = self._merged(large, *small), (key[:0], out[:0])
+            self.tables = [large, small]
+        return out
+
+    @staticmethod
+    def _merged(table: tuple[np.ndarray, np.ndarray], key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(table[0], key)
+        return np.insert(table[0], at, key), np.insert(table[1], at, rows, axis=0)
+
+
 class Models:
-    """All languages; scores of n-grams are kept by the worker."""
+    """All languages; scores of words and n-grams are kept by the worker."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.langs = sorted(counts)
@@ -171,21 +229,18 @@ class Models:
         self.models = [KneserNey(*counts[g], symbols) for g in self.langs]
         self.temperature = 1.0
         self.limit = np.full(len(self.langs), np.inf)
-        self.known, self.kept = np.empty(0, np.uint64), np.empty((0, len(self.langs)))
+        self.words, self.grams = _Kept(len(self.langs), 1 << 18), _Kept(len(self.langs), 1 << 19)
 
     def _logs(self, key: np.ndarray) -> np.ndarray:
         u, back = np.unique(key, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, u), max(len(self.known) - 1, 0))
-        new = self.known[at] != u if len(self.known) else np.ones(len(u), bool)
-        if new.any():
-            if len(self.known) > 1 << 19:
-                self.known, self.kept, new = self.known[:0], self.kept[:0], np.ones(len(u), bool)
-            known = np.concatenate([self.known, u[new]])
-            kept = np.concatenate([self.kept, np.stack([m.logs(u[new]) for m in self.models], 1)])
-            order = np.argsort(known)
-            self.known, self.kept = known[order], kept[order]
-            at = np.searchsorted(self.known, u)
-        return self.kept[at][back]
+        return self.grams.get(u, lambda new: np.stack([m.logs(u[new]) for m in self.models], 1))[back]
+
+    def _words(self, s: Spelling) -> np.ndarray:
+        def work(new: np.ndarray) -> np.ndarray:
+            key, at = s.spell(new)
+            return -np.add.reduceat(self._logs(key), at, axis=0)
+
+        return self.words.get(s.names, work)
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Cross-entropy a symbol under each language; NaN without letters."""
@@ -195,73 +250,114 @@ class Models:
             n = s.counts()
             if not len(s.word):
                 continue
-            words = -np.add.reduceat(self._logs(s.key), s.at, axis=0)
+            words = self._words(s)
             rows = np.flatnonzero(n)
             total = np.add.reduceat(words[s.word], s.first[:-1][rows], axis=0)
             size = np.add.reduceat((s.size + 1)[s.word], s.first[:-1][rows])
             out[a + rows] = total / size[:, None]
         return out
 
-    def calibrate(self, rows: list[tuple[str, list[float]]], keep_share: float) -> None:
-        """Temperature of greatest likelihood, and each language's limit, from (lang, entropies)."""
-        rows = [r for r in rows if r[0] in self.langs]
-        h = np.array([h for _, h in rows]).reshape(len(rows), len(self.langs))
-        ok = ~np.isnan(h).any(1)
-        if not ok.any():
-            return
-        h, y = h[ok], np.array([self.langs.index(g) for g, _ in rows])[ok]
-        best = -np.inf
-        for t in 2.0 ** np.arange(-3, 8):
-            z = -h * t
-            like = (z[np.arange(len(y)), y] - z.max(1) - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1))).sum()
-            if like > best + 1e-3 * len(y):
+    def calibrate(self, held: Held, keep_share: float) -> None:
+        """Temperature of greatest likelihood, and each language's limit."""
+        rows = held.sums(keep_share)
+        n, best = sum(r["n"] for r in rows), -np.inf
+        for k, t in enumerate(TEMPERATURES):
+            like = sum(r[f"like{k}"] for r in rows)
+            if n and like > best + 1e-3 * n:
                 best, self.temperature = like, float(t)
-        for k in range(len(self.langs)):
-            if (y == k).any():
-                self.limit[k] = np.quantile(h[y == k, k], keep_share) * 1.05
+        for r in rows:
+            self.limit[self.langs.index(r["lang"])] = r["bin"] * STEP * 1.05
 
 
-def _held_entropies(rows: DataFrame, models: Models, text_col: str, lang_col: str) -> list[tuple[str, list[float]]]:
-    """Label and entropies of each distinct whole text; texts stay where they lie."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+class Crossed(Models):
+    """Scores a text under the models of the other folds; a language that they lack has infinite entropy."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = shared.value.entropies(batch.column(1).to_pylist())
-            release()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(h.tolist(), pa.list_(pa.float64()))], ["lang", "name", "h"])
+    def __init__(self, counts: dict[int, dict[str, tuple[np.ndarray, np.ndarray]]]) -> None:
+        self.parts = [Models(_added([c for f, c in counts.items() if f != k])) for k in range(FOLDS)]
+        self.langs = sorted({g for c in counts.values() for g in c})
+        self.temperature = 1.0
+        self.limit = np.full(len(self.langs), np.inf)
 
-    found = rows.select(rows[lang_col].cast("string"), rows[text_col].cast("string"), F.xxhash64(rows[text_col])).mapInArrow(run, "lang string, name long, h array<double>")
-    return [(r["lang"], r["h"]) for r in found.dropDuplicates(["lang", "name"]).collect()]
+    def entropies(self, texts: list[str]) -> np.ndarray:
+        out = np.full((len(texts), len(self.langs)), np.inf)
+        fold = np.array([fold_of(t) for t in texts], np.int64)
+        for k, part in enumerate(self.parts):
+            mine = np.flatnonzero(fold == k)
+            if len(mine) and part.langs:
+                out[np.ix_(mine, np.searchsorted(self.langs, part.langs))] = part.entropies([texts[i] for i in mine])
+        return out
 
 
-def _gathered(rows: DataFrame, text_col: str, lang_col: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Each language's n-grams and counts, sorted."""
-    found: dict[str, list] = {}
+class Held:
+    """Learning rows and models that don't count a text that they score: pairs of a label and entropies to go through, and
+    their sums, taken where the rows lie."""
+
+    def __init__(self, rows: DataFrame, models: Models) -> None:
+        self.rows, self.shared = rows, rows.sparkSession.sparkContext.broadcast(models)
+
+    def __iter__(self) -> Iterator[tuple[str, list[float]]]:
+        shared = self.shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = shared.value.entropies(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.tolist(), pa.list_(pa.float64()))], ["lang", "h"])
+
+        return ((r["lang"], r["h"]) for r in self.rows.mapInArrow(run, "lang string, h array<double>").toLocalIterator())
+
+    def sums(self, keep_share: float) -> list[Row]:
+        """lang, n, bin (the quantile of their entropies, each rounded up to STEPs), like0.. (one a temperature)."""
+        shared = self.shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                models = shared.value
+                place = {g: k for k, g in enumerate(models.langs)}
+                y = np.array([place.get(g, -1) for g in batch.column(0).to_pylist()], np.int64)
+                h = models.entropies(batch.column(1).to_pylist())
+                ok = np.flatnonzero((y >= 0) & np.isfinite(h[np.arange(len(y)), y]) if len(models.langs) else y > 0)
+                h, y, own = h[ok], y[ok], h[ok, y[ok]]
+                likes = np.empty((len(ok), len(TEMPERATURES)))
+                for k, t in enumerate(TEMPERATURES):
+                    low = h.min(1) if len(h) else own
+                    likes[:, k] = (low - own) * t - np.log(np.exp((low[:, None] - h) * t).sum(1))
+                out = [(models.langs[k], None, None, likes[y == k].sum(0).tolist()) for k in np.unique(y)]
+                pair, n = np.unique(np.stack([y, np.ceil(own / STEP).astype(np.int64)], 1), axis=0, return_counts=True)
+                out += [(models.langs[k], b, c, None) for (k, b), c in zip(pair.tolist(), n.tolist(), strict=True)]
+                release()
+                cols = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["lang", "bin", "n", "like"])
+
+        found = self.rows.mapInArrow(run, "lang string, bin long, n long, like array<double>")
+        likes = [F.sum(F.col("like")[k]).alias(f"like{k}") for k in range(len(TEMPERATURES))]
+        return found.groupBy("lang").agg(F.sum("n").alias("n"), F.percentile("bin", keep_share, F.col("n")).alias("bin"), *likes).collect()
+
+
+def _gathered(rows: DataFrame, text_col: str, lang_col: str) -> dict[int, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Each fold's and language's n-grams and counts, sorted."""
+    found: dict[int, dict[str, list]] = {}
     for r in gram_counts(rows, text_col, lang_col).collect():
-        found.setdefault(r["lang"], []).append((np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")))
-    counts = {g: _sum(*map(np.concatenate, zip(*parts, strict=True))) for g, parts in found.items()}
-    return {g: c for g, c in counts.items() if len(c[0])}
+        found.setdefault(r["fold"], {}).setdefault(r["lang"], []).append({r["lang"]: (np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8"))})
+    return {f: {g: c for parts in by.values() for g, c in _added(parts).items() if len(c[0])} for f, by in found.items()}
+
+
+def _added(counts: list[dict[str, tuple[np.ndarray, np.ndarray]]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The sums of several languages' counts."""
+    return {g: _sum(*map(np.concatenate, zip(*(c[g] for c in counts if g in c), strict=True))) for g in sorted({g for c in counts for g in c})}
 
 
-def learn(docs: DataFrame, learning: Column, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 2000, keep_share: float = 0.999) -> Models:
+def learn(docs: DataFrame, learning: Column, text_col: str = "text", lang_col: str = "lang", keep_share: float = 0.999) -> Models:
     """Models of the learning rows that have a label."""
     rows = docs.where(learning & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    sixteenth, place = F.pmod(F.xxhash64(docs[text_col]), F.lit(16)) == 0, F.xxhash64(docs[text_col], F.lit(1))
-    last = rows.where(sixteenth).select(place.alias("p")).distinct().orderBy("p").limit(calibration_rows).agg(F.max("p")).first()[0]
-    if last is None:
-        return Models(_gathered(rows, text_col, lang_col))
-    aside = sixteenth & (place <= last)
-    counts, held = _gathered(rows.where(~aside), text_col, lang_col), rows.where(aside)
-    without = Models(counts)
-    if without.langs:
-        without.calibrate(_held_entropies(held, without, text_col, lang_col), keep_share)
-    temperature, limit = without.temperature, dict(zip(without.langs, without.limit.tolist(), strict=True))
-    del without
-    for g, more in _gathered(held, text_col, lang_col).items():
-        counts[g] = _sum(*map(np.concatenate, zip(counts[g], more, strict=True))) if g in counts else more
-    models = Models(counts)
-    models.temperature, models.limit = temperature, np.array([limit.get(g, np.inf) for g in models.langs])
+    counts = _gathered(rows, text_col, lang_col)
+    models = Models(_added(list(counts.values())))
+    if models.langs:
+        crossed = Crossed(counts)
+        del counts
+        held = Held(rows.select(rows[lang_col].cast("string").alias("lang"), rows[text_col].cast("string").alias("text")), crossed)
+        crossed.calibrate(held, keep_share)
+        held.shared.unpersist()
+        models.temperature, models.limit = crossed.temperature, crossed.limit
     return models
 
 
